@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.langid import op4_language_id
+from treeloom.llm.mixing import op6_mixing
 from treeloom.llm.packing import op9_packing
 from treeloom.llm.quality import op7_quality
 
@@ -14,6 +15,7 @@ from treeloom.llm.quality import op7_quality
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
+        "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
         "op9_packing": op9_packing,
     }

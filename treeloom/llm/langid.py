@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,32 +75,34 @@ def _sample(docs: DataFrame, text: str, lang: str, sample_bytes: int) -> DataFra
     return rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_SAMPLE_BUCKETS)) <= F.col("below")).select("lang", "text").distinct()
 
 
-def _count_batches(order: int):
+def _count_runs(order: int):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        keys = [np.zeros(0, np.int64) for _ in range(order + 1)]
+        sums = [np.zeros(0, np.int64) for _ in range(order + 1)]
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            if len(data) == 0:
-                continue
             langs = batch.column("lang").to_pylist()
-            names = sorted(set(langs))
-            own = np.array([names.index(x) for x in langs])
+            names += sorted(set(langs) - set(names))
+            own = np.array([names.index(x) for x in langs], np.int64)
             row = np.repeat(np.arange(len(langs)), np.diff(offsets))
             depth = np.arange(len(data)) - offsets[row]
             for k in range(order + 1):
                 at = np.flatnonzero(depth >= k)
-                key = own[row[at]].astype(np.int64)
+                key = own[row[at]]
                 for j in range(k, -1, -1):
                     key = (key << 8) | data[at - j]
                 found, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[x] for x in found >> (8 * (k + 1))], pa.string()), pa.array(np.full(len(found), k, np.int32)), pa.array(found & ((1 << (8 * (k + 1))) - 1)), pa.array(n.astype(np.int64))],
-                    names=["lang", "k", "gram", "n"],
-                )
+                keys[k], which = np.unique(np.concatenate((keys[k], found)), return_inverse=True)
+                sums[k] = np.bincount(which, np.concatenate((sums[k], n)), len(keys[k])).astype(np.int64)
+        for k in range(order + 1):
+            lang = pa.DictionaryArray.from_arrays(pa.array(keys[k] >> (8 * (k + 1)), pa.int32()), pa.array(names, pa.string())).cast(pa.string()) if names else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(keys[k]), k, np.int32)), pa.array(keys[k] & ((1 << (8 * (k + 1))) - 1)), pa.array(sums[k])], names=["lang", "k", "gram", "n"])
 
     return counts
 
 
-def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 4, sample_bytes: int = 400_000, max_contexts: int = 8_000, min_count: int = 4) -> PpmModel:
+def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 4, sample_bytes: int = 400_000, max_contexts: int = 6_000, min_count: int = 4) -> PpmModel:
     """Context trees of the labelled rows of ``docs``.
 
     The sample is about ``sample_bytes`` of whole texts a language (all of them
@@ -109,8 +111,12 @@ def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order:
     that the model has the same size for any corpus.
     """
     prepare(docs.sparkSession)
-    grams = _sample(docs, text, lang, sample_bytes).mapInArrow(_count_batches(max_order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    return build_ppm(grams.toPandas(), max_order, max_contexts, min_count)
+    # The sample has a fixed size: a fixed number of tasks counts it.
+    grams = _sample(docs, text, lang, sample_bytes).coalesce(8).mapInArrow(_count_runs(max_order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("lang", "k", F.shiftright("gram", 8))
+    frequent = grams.withColumn("total", F.sum("n").over(whole)).where((F.col("total") >= min_count) | (F.col("k") == 0))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.desc("total"), "k", F.shiftright("gram", 8)))
+    return build_ppm(frequent.withColumn("rank", rank).where(F.col("rank") <= max_contexts).drop("rank", "total").toPandas(), max_order, max_contexts, min_count)
 
 
 def build_ppm(grams, max_order: int, max_contexts: int, min_count: int) -> PpmModel:

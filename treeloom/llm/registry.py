@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeloom.llm.ann import OP1_SQL, op1_ann
+from treeloom.llm.html_text import op10_html_text
 from treeloom.llm.langid import op4_language_id
 from treeloom.llm.mixing import op6_mixing
 from treeloom.llm.packing import op9_packing
 from treeloom.llm.quality import op7_quality
+from treeloom.llm.sharding import OP3_SQL, op3_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
+        "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
         "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
         "op9_packing": op9_packing,
+        "op10_html_text": op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ann": OP1_SQL, "op3_sharding": OP3_SQL}

@@ -10,6 +10,7 @@ from treeloom.llm.ann import OP1_SQL, op1_ann
 from treeloom.llm.html_text import op10_html_text
 from treeloom.llm.langid import op4_language_id
 from treeloom.llm.mixing import op6_mixing
+from treeloom.llm.near_dedup import op5_near_dedup
 from treeloom.llm.packing import op9_packing
 from treeloom.llm.quality import op7_quality
 from treeloom.llm.sharding import OP3_SQL, op3_sharding
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ann": op1_ann,
         "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
+        "op5_near_dedup": op5_near_dedup,
         "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
         "op9_packing": op9_packing,

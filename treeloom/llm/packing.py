@@ -15,7 +15,9 @@ An empty table gives no rows. Only the key and the text are read.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -40,64 +42,90 @@ class WordTokenizer:
 
     Texts of characters below U+0100 without apostrophes are split by array
     operations, and each distinct word is encoded once; the tokenizer itself
-    encodes all other texts.
+    encodes all other texts. Words, told apart by 64-bit hashes, keep their ids
+    for later texts.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, np.ndarray] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.limit = cache
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.base, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
+        """Encode ``new`` words as texts of many words; an id that ends a word tells them apart again."""
+        texts = [" ".join(new[at : at + 1024]) for at in range(0, len(new), 1024)]
+        ids = np.concatenate([np.array(code.ids, np.uint32) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        keys, base, size = np.concatenate((self.keys, keys)), np.concatenate((self.base, starts + len(self.pool))), np.concatenate((self.size, ends - starts))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.base, self.size, self.pool = keys[order], base[order], size[order], np.concatenate((self.pool, ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        simple = []
+        simple, raw = [], []
         for i, text in enumerate(texts):
-            if text.isascii() or (max(text) < "Ā" and unicodedata.is_normalized("NFC", text)):
-                if "'" not in text:
+            if "'" not in text:
+                try:
+                    code = text.lower().encode("latin-1")
+                except UnicodeEncodeError:
+                    code = None
+                if code is not None and (text.isascii() or unicodedata.is_normalized("NFC", text)):
                     simple.append(i)
+                    raw.append(code)
                     continue
             out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        for i, ids in zip(simple, self._encode_simple([texts[i].lower() for i in simple]), strict=True):
+        for i, ids in zip(simple, self._encode_simple(raw), strict=True):
             out[i] = ids
         return out
 
-    def _encode_simple(self, texts: list[str]) -> list[np.ndarray]:
-        joined = "\n".join(texts)
-        chars = np.frombuffer(joined.encode("latin-1"), np.uint8)
+    def _encode_simple(self, texts: list[bytes]) -> list[np.ndarray]:
+        joined = b"\n".join(texts)
+        chars = np.frombuffer(joined, np.uint8)
         kind = _KIND[chars]
-        if not len(chars):
-            return [np.zeros(0, np.uint32) for _ in texts]
         start = np.ones(len(kind), bool)
         start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(kind))
         inked = kind[starts] != 0
         starts, ends = starts[inked], ends[inked]
-        _, first, which = np.unique(span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
-        found = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        new = [w for w in found if w not in self.cache]
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = found
-        for at in range(0, len(new), 4096):
-            for word, code in zip(new[at : at + 4096], self.tokenizer.encode_batch(new[at : at + 4096], add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(code.ids, np.uint32)
-        codes = [self.cache[w] for w in found]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        pool = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        n = sizes[which] if len(which) else np.zeros(0, np.int64)
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        keys, first, which = np.unique(span_hashes(chars, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.limit:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            latin = joined.decode("latin-1")
+            self._learn(keys[new], [latin[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        place = at[which]
+        n = self.size[place]
         upto = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(base[which] - upto[:-1], n) + np.arange(upto[-1])] if len(which) else pool
-        lengths = np.array([len(t) for t in texts])
-        begins = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-        edge = upto[np.searchsorted(starts, np.append(begins, len(chars) + 1))]
+        ids = self.pool[np.repeat(self.base[place] - upto[:-1], n) + np.arange(upto[-1])]
+        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        edge = upto[np.searchsorted(starts, begins)]
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
+@functools.lru_cache(2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def cut_lengths(total: int, length: int, piece: int) -> list[int]:
     """Lengths of the pieces of a document of ``total`` tokens."""
     full, rest = divmod(total, length)
@@ -114,7 +142,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
     key_type = docs.schema[key].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             at, start, size, crc, total = [], [], [], [], []

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm.ann import OP1_SQL, op1_ann
+from treeloom.llm.audio_prints import op2_audio_prints
+from treeloom.llm.edit_counts import op8_edit_counts
 from treeloom.llm.html_text import op10_html_text
 from treeloom.llm.langid import op4_language_id
 from treeloom.llm.mixing import op6_mixing
@@ -19,11 +21,13 @@ from treeloom.llm.sharding import OP3_SQL, op3_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
+        "op2_audio_prints": op2_audio_prints,
         "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
         "op5_near_dedup": op5_near_dedup,
         "op6_mixing": op6_mixing,
         "op7_quality": op7_quality,
+        "op8_edit_counts": op8_edit_counts,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
     }

@@ -207,6 +207,14 @@ def predict_language(docs: DataFrame, model: PpmModel, text: str = "text") -> Da
     return marked.mapInArrow(score, schema)
 
 
+def keep_known(docs: DataFrame, model: PpmModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``; columns as they are."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    scored = predict_language(docs.toDF(*names.values()), model, names[text])
+    kept = scored.where((F.col("lang_pred") != UND) & (F.col("score") >= least)) if model.langs else scored
+    return kept.select(*[F.col(v).alias(k) for k, v in names.items()])
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """Languages of ``documents``, learned from the rows whose crc32(doc_id) mod 4 is not 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -169,7 +169,7 @@ def take(mixed: DataFrame, text: str = "text", columns: Sequence[str] = ()) -> D
     whole = (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long")
     copies = mixed.where("taken > 0").withColumn("__whole", whole).withColumn("__rest", F.col("taken") - F.col("__whole") * F.col("size"))
     rows = copies.withColumn("__copy", F.explode(F.expr("sequence(1L, __whole + if(__rest > 0, 1L, 0L))")))
-    head = F.expr(f"regexp_extract({text}, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){{', cast(__rest as string), '}}'), 0)")
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("__rest").cast("int")), "")
     cut = F.when(F.col("__copy") > F.col("__whole"), head).otherwise(F.col(text))
     return rows.withColumn(text, cut).select(*columns)
 

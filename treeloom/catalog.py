@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from treeloom.plans import report_queries, tree_queries
+from treeloom.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (report_queries, tree_queries)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for m in MODULES for name, f in m.found.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.found.sql.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,13 @@ def read_parallel(spark: SparkSession, sides: dict[str, str], split: str) -> Dat
     """
     out: DataFrame | None = None
     for name, path in sides.items():
-        raw = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "value"))
-        side = raw.select((F.col("line") + 1).alias("line"), tx.strip(F.translate("value", "\0", "")).alias(name)).where(F.col(name) != "")
+        raw = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+        # A line's number: the lines of the blocks before, and its place in its own.
+        ahead = raw.groupBy("block").agg(F.count("*").alias("n"))
+        ahead = ahead.select("block", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+        placed = raw.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("at"))).join(ahead, "block")
+        clean = tx.strip(F.translate(F.make_valid_utf8("value"), "\0", ""))
+        side = placed.select((F.col("ahead") + F.col("nth")).alias("line"), clean.alias(name)).where(F.col(name) != "")
         out = side if out is None else out.join(side, "line")
     return out.select(F.concat(F.lit(f"{split}_func_"), F.col("line").cast("string")).alias("func_name"), "line", *sides)
 

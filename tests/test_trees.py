@@ -119,3 +119,13 @@ def test_flatten_json(spark):
     rows = spark.createDataFrame([(1, '{"type":"a","children":[{"type":"b","text":"x"},{"type":"c"}]}'), (2, "no json"), (3, None), (4, "[1]")], "k long, t string")
     got = [(r.node_id, r.parent_id, r.path, r.type, r.n_children) for r in trees.flatten_json(rows, "k", "t").orderBy("node_id").collect()]
     assert got == [(0, -1, "", "a", 2), (1, 0, "0000", "b", 0), (2, 0, "0001", "c", 0)]
+
+
+def test_flows():
+    tree = node("block", node("return", node("variable", text="z")), node("parameter", text="x int"), node("variable", text="int"), node("variable", text="y"))
+    assert ta.return_flows(tree) == {("x", "z"), ("y", "z")}
+    inner = node("function", node("expression", node("variable", text="b")), node("parameter", text="a"))
+    assert ta.live_flows(inner) == set()
+    assert ta.live_flows(node("function", node("block", node("expression", node("variable", text="b"))), node("parameter", text="a"))) == {("a", "b")}
+    assert ta.edge_scores({("a", "b"), ("a", "c")}, {("a", "b")}) == (1.0, 0.5, pytest.approx(2 / 3))
+    assert ta.edge_scores(set(), set()) == (0.0, 0.0, 0.0)

@@ -296,3 +296,16 @@ def manifest_hash(spark: SparkSession, folder: str) -> DataFrame:
         up = F.lit(0).cast("long") if divisor is None else F.floor(F.col("part") / divisor)
         level = level.groupBy("source", up.alias("up")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sha2(joined.cast("binary"), 256).alias("line")).withColumnRenamed("up", "part")
     return level.select(F.col("source").alias("artifact"), F.col("n").alias("file_count"), F.col("size").alias("total_bytes"), F.col("line").alias("sha256"))
+
+
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@found.add(" UNION ALL ".join(f"SELECT 'tables' AS dataset, '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES))
+def run_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every table of a run, in one statement."""
+    counts = [table(spark, folder, t).groupBy(F.lit("tables").alias("dataset"), F.lit(t).alias("table_name")).agg(F.count("*").alias("n_rows")) for t in _TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

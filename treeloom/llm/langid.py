@@ -116,63 +116,54 @@ def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order:
     whole = Window.partitionBy("lang", "k", F.shiftright("gram", 8))
     frequent = grams.withColumn("total", F.sum("n").over(whole)).where((F.col("total") >= min_count) | (F.col("k") == 0))
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.desc("total"), "k", F.shiftright("gram", 8)))
-    return build_ppm(frequent.withColumn("rank", rank).where(F.col("rank") <= max_contexts).drop("rank", "total").toPandas(), max_order, max_contexts, min_count)
+    return build_ppm(frequent.withColumn("rank", rank).where(F.col("rank") <= max_contexts).select("lang", "k", "gram", "n").toArrow(), max_order)
 
 
-def build_ppm(grams, max_order: int, max_contexts: int, min_count: int) -> PpmModel:
-    """A model of counted byte runs: ``k`` context bytes, nearest last, then the byte itself, packed into ``gram``."""
-    langs = tuple(sorted(grams["lang"].unique()))
-    k, gram, n = (grams[x].to_numpy() for x in ("k", "gram", "n"))
-    own = grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    seen = np.unique(gram[k == 0]).astype(np.int64)
+def build_ppm(grams: pa.Table, max_order: int) -> PpmModel:
+    """A model of counted byte runs: ``k`` context bytes, nearest last, then the byte itself, packed into ``gram``.
+
+    With a context come all its suffixes: these are at least as frequent, and
+    shorter ones rank first among equals.
+    """
+    names = grams["lang"].combine_chunks().dictionary_encode()
+    names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+    order = np.argsort(np.array(names.dictionary.to_pylist(), object)) if len(names.dictionary) else np.zeros(0, int)
+    langs = tuple(names.dictionary.to_pylist()[i] for i in order)
+    own = np.argsort(order)[names.indices.to_numpy()] if langs else np.zeros(0, int)
+    k, gram, n = (grams[x].to_numpy().astype(np.int64) for x in ("k", "gram", "n"))
+    seen = np.unique(gram[k == 0])
     classes = np.zeros(256, np.int64)
     classes[seen] = np.arange(1, len(seen) + 1)
-    width = len(seen) + 1
-    context = gram >> 8
-    symbol = classes[gram & 255]
-    # A context is kept with all its suffixes: these are at least as frequent, and come first among equals.
-    kept: list[set[tuple[int, int]]] = []
-    for i in range(len(langs)):
-        totals: dict[tuple[int, int], int] = {}
-        for key, m in zip(zip(k[own == i].tolist(), context[own == i].tolist(), strict=True), n[own == i].tolist(), strict=True):
-            totals[key] = totals.get(key, 0) + m
-        ranked = sorted((x for x, m in totals.items() if m >= min_count or x[0] == 0), key=lambda x: (-totals[x], x))
-        chosen: set[tuple[int, int]] = {(0, 0)}
-        for length, c in ranked:
-            if len(chosen) < max_contexts and (length == 0 or (length - 1, c & ((1 << (8 * (length - 1))) - 1)) in chosen):
-                chosen.add((length, c))
-        kept.append(chosen)
-    nodes = sorted(set().union({(0, 0)}, *kept))
-    number = {x: i for i, x in enumerate(nodes)}
-    size = len(nodes)
+    width, unseen = len(seen) + 1, 256 - len(seen)
+    # A node is its length and context in one number, so that nodes are sorted by length.
+    deep = 8 * max_order
+    key, symbol = (k << deep) | (gram >> 8), classes[gram & 255]
+    nodes = np.unique(np.append(key, 0))
+    size, levels, context = len(nodes), nodes >> deep, nodes & ((1 << deep) - 1)
+    shorter = np.maximum(levels - 1, 0)
+    parent = np.searchsorted(nodes, (shorter << deep) | (context & ((np.int64(1) << 8 * shorter) - 1)))
     step = np.empty((2 * size, width + 1), np.int32)
-    step[:size] = np.arange(size, 2 * size)[:, None]
-    step[size:] = np.arange(size, 2 * size)[:, None]
-    parent = np.zeros(size, np.int64)
-    for i, (length, c) in enumerate(nodes):
-        if length:
-            parent[i] = number[length - 1, c & ((1 << (8 * (length - 1))) - 1)]
-            step[parent[i], classes[c >> (8 * (length - 1))]] = i
-    levels = np.array([length for length, _ in nodes])
-    unseen = max(256 - len(seen), 0)
+    step[:size] = step[size:] = np.arange(size, 2 * size, dtype=np.int32)[:, None]
+    step[parent[1:], classes[context[1:] >> 8 * shorter[1:]]] = np.arange(1, size)
     bits = np.empty((len(langs), size, width), np.float32)
+    base = np.full(width, 1 / 256)
+    base[0] = unseen / 256
+    at_all, p, count = np.searchsorted(nodes, key), np.empty((size, width), np.float32), np.empty((size, width), np.float32)
     for i in range(len(langs)):
-        count = np.zeros((size, width))
+        count[:] = 0
         mine = own == i
-        where = np.array([number.get(x, -1) if x in kept[i] else -1 for x in zip(k[mine].tolist(), context[mine].tolist(), strict=True)], np.int64)
-        np.add.at(count, (where[where >= 0], symbol[mine][where >= 0]), n[mine][where >= 0])
-        p = np.empty((size, width))
-        base = np.full(width, 1 / 256)
-        base[0] = unseen / 256
+        np.add.at(count, (at_all[mine], symbol[mine]), n[mine])
         for level in range(max_order + 1):
-            at = np.flatnonzero(levels == level)
-            c, below = count[at], p[parent[at]] if level else np.tile(base, (len(at), 1))
-            total, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            rest = np.where(c > 0, 0, below)
-            mass = rest.sum(1, keepdims=True)
-            coded = np.where(c > 0, c / np.maximum(total + distinct, 1), rest * distinct / np.maximum(total + distinct, 1) / np.where(mass > 0, mass, 1))
-            coded = np.where((mass > 0) | (total == 0), coded, c / np.maximum(total, 1))
-            p[at] = np.where(total > 0, coded, below)
+            lo, hi = np.searchsorted(levels, [level, level + 1])
+            for part in range(lo, hi, 2048):
+                at = slice(part, min(part + 2048, hi))
+                c, below = count[at].astype(float), p[parent[at]].astype(float) if level else base[None, :]
+                total, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+                rest = np.where(c > 0, 0, below)
+                mass = rest.sum(1, keepdims=True)
+                coded = np.where(c > 0, c, rest * distinct / np.where(mass > 0, mass, 1)) / np.maximum(total + distinct, 1)
+                coded = np.where(mass > 0, coded, c / np.maximum(total, 1))
+                p[at] = np.where(total > 0, coded, below)
         bits[i] = -np.log2(np.maximum(p, 1e-12))
         bits[i, :, 0] += np.log2(max(unseen, 1))
     return PpmModel(langs, max_order, classes, step, bits)

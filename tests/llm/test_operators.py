@@ -97,6 +97,14 @@ def test_audio_finds_shifted_and_noisy_copies(spark):
     assert got[0].copies == 2 and got[0].errors == 0 and got[1].offset == 0 and got[2].offset == -8
 
 
+def test_audio_prints_of_texts_are_those_of_their_audio(spark, edges):
+    apart = audio_prints.with_prints(audio_prints.derived_audio(edges), "audio")
+    pick = lambda d: sorted(((r.id is None, r.id, r.prints) for r in d.collect()), key=repr)
+    long = spark.createDataFrame([(9, "One. Two! Three? Four.\n" * 40)], "doc_id long, text string")
+    assert pick(apart) == pick(audio_prints.tune_prints(edges))
+    assert len(audio_prints.tune_prints(long).head()["prints"]) > 400
+
+
 # Sharding
 
 

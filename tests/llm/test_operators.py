@@ -205,6 +205,43 @@ def test_weighted_samples_estimate_similarity():
     assert equal == pytest.approx(near_dedup.weighted_jaccard((a, w(a)), (b, w(b))), abs=0.05)
 
 
+def versions(monkeypatch, own):
+    """Texts whose samples agree but for the places that ``own`` gives by their number of shingles, and where only 96 and 97 are similar."""
+
+    def samples(made, weight):
+        out = np.arange(near_dedup.SAMPLES, dtype=np.uint32)
+        at = own(len(made))
+        out[at] = 1000 * len(made) + at
+        return out
+
+    monkeypatch.setattr(near_dedup, "weighted_samples", samples)
+    return [(n, " ".join(f"w{0 if n > 95 else n}x{i}" for i in range(n + 4))) for n in [*range(30, 54), 96, 97]]
+
+
+def test_near_dedup_verifies_partners_beyond_the_best(spark, monkeypatch):
+    # 27 samples agree with each of the others, 20 with the true partner.
+    rows = versions(monkeypatch, lambda n: {96: np.arange(3, 11), 97: np.arange(11, 19)}.get(n, np.array([35])))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: min(n, 96) for n, _ in rows}
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng = np.random.default_rng(9)
+    keys = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
+    ruled_out = 0
+    for n in (1, 9, 60, 400, 3000):
+        for _ in range(60):
+            pair = []
+            for _ in range(2):
+                made = keys[:n][rng.random(n) < rng.choice([0.7, 0.95])]
+                pair.append((made, rng.choice([0.31, 1.0, 3.0], p=[0.1, 0.8, 0.1], size=len(made)) if n < 60 else 1.0 + (made % np.uint64(3))))
+            total, parts = zip(*((np.array([w.sum()]), np.frombuffer(near_dedup.sketch(m, w), np.uint8)[None, 8:]) for m, w in pair), strict=True)
+            may = near_dedup.may_reach(total[0], parts[0], total[1], parts[1], 0.8)[0]
+            assert may or near_dedup.weighted_jaccard(*pair) < 0.8
+            ruled_out += not may
+    assert ruled_out > 50
+
+
 def test_sets_round_trip():
     made = np.sort(np.random.default_rng(5).integers(0, 2**63, 50).astype(np.uint64))
     keys, weight = near_dedup.unpack_set(near_dedup.pack_set(made, np.arange(50.0)))

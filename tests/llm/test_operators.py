@@ -225,6 +225,26 @@ def test_near_dedup_verifies_partners_beyond_the_best(spark, monkeypatch):
     assert got == {n: min(n, 96) for n, _ in rows}
 
 
+def test_near_dedup_in_crowded_buckets(spark, monkeypatch):
+    # All share the first band; the true partners agree in two samples of every other one, the others in none.
+    monkeypatch.setattr(near_dedup, "BUCKET", 4)
+    last = np.arange(5, 36, 3)
+    rows = versions(monkeypatch, lambda n: last if n > 95 else np.arange(3, 36))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: min(n, 96) for n, _ in rows}
+
+
+def test_block_pairs_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    rows = near_dedup.block_pairs(spark.createDataFrame([(1, i, 40) for i in range(40)] + [(2, i, 5) for i in range(5)], "bucket long, node long, count long")).collect()
+    met = collections.Counter()
+    for a in rows:
+        for b in rows:
+            if a.bucket == b.bucket and a.node < b.node and (a.side < 0 or a.side != b.side):
+                met[a.node, b.node, a.bucket == 2] += 1
+    assert len(met) == 40 * 39 // 2 + 10 and set(met.values()) == {1}
+
+
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(9)
     keys = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))

@@ -245,6 +245,17 @@ def test_block_pairs_meet_once(spark, monkeypatch):
     assert len(met) == 40 * 39 // 2 + 10 and set(met.values()) == {1}
 
 
+def test_frequent_shingles_of_many_small_parts(spark, monkeypatch):
+    # Parts of five documents name every shingle; only what may be frequent in all of them reaches the driver.
+    monkeypatch.setattr(near_dedup, "MAX_HEAVY", 50, raising=False)
+    texts = [" ".join([*("one line in many of them" if i % 3 == 0 else "").split(), *(f"w{i}x{j}" for j in range(40))]) for i in range(60)]
+    h, ratio = near_dedup.heavy_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(12), "text")
+    sets = [plain_set(t, {}, 60) for t in texts]
+    df = collections.Counter(g for s in sets for g in s)
+    want = sorted((np.log(61 / (1 + f)) + 1) / (np.log(61 / 4) + 1) for f in df.values() if f > near_dedup.FLOOR * 60)
+    assert len(h) == 2 and np.allclose(sorted(ratio), want)
+
+
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(9)
     keys = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))

@@ -121,6 +121,16 @@ def test_sharding_brute_force_and_overflow(spark):
         assert total(r.shard_depth) <= 200 and (r.shard_depth == 0 or total(r.shard_depth - 1) > 200)
 
 
+def test_sharding_keeps_texts_of_equal_keys(spark):
+    rows = [(i % 3 or None, f"{i} " * 9) for i in range(60)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()
+    assert sorted(r.text for r in out) == sorted(t for _, t in rows) and all(r.n_bytes == len(r.text) for r in out)
+    held = collections.Counter()
+    for r in out:
+        held[r.shard_depth, r.shard_prefix, r.shard_part] += len(r.text)
+    assert all(held[r.shard_depth, r.shard_prefix, r.shard_part] == r.shard_bytes <= 100 for r in out)
+
+
 def test_sharding_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), 10).count() == 0
 
@@ -420,6 +430,18 @@ def test_shortest_pack_first_keeps_counts():
     assert found == histogram
 
 
+def test_packing_gives_the_sequences(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "a text that comes twice " * 300), (1, "a text that comes twice " * 300), (1, "another one with its key " * 30), (None, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), path).toPandas().sort_values(["sequence_id", "offset"])
+    found = np.concatenate([np.frombuffer(x, "<u4") for x in got.ids])
+    tool = packing.WordTokenizer(path).tokenizer
+    want = np.concatenate([[*tool.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows])
+    assert sorted(found) == sorted(want) and [len(x) // 4 for x in got.ids] == got.length.tolist()
+    whole = got.groupby("sequence_id").ids.apply(lambda x: len(b"".join(x)) // 4)
+    assert whole.max() == 2048 and whole.sum() == len(want)
+
+
 def test_packing_edges(spark, edges):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack_documents(edges, path).toPandas()

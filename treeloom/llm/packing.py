@@ -7,8 +7,11 @@ the open packs with the most room (the shortest packs) as long as it fits, and
 opens new packs otherwise; packs of one pattern are counted, never listed.
 Pieces then find their sequence by their rank among the pieces of their length.
 
+Each piece carries its token ids: those of a sequence's pieces in order of
+``offset`` are the sequence.
+
 Nulls, ties, edges: a null text is empty; an empty one holds the end token
-alone. Pieces of equal length are ranked by document, start and checksum, and
+alone. Pieces of equal length are ranked by document, start and ids, and
 what still ties is the same piece. Repeated rows are packed each on its own.
 An empty table gives no rows. Only the key and the text are read.
 """
@@ -19,7 +22,6 @@ import functools
 import heapq
 import os
 import unicodedata
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -137,7 +139,7 @@ def cut_lengths(total: int, length: int, piece: int) -> list[int]:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", length: int = 2048, piece: int = 512, end_id: int = 1) -> DataFrame:
-    """A row for each piece: key, ``start``, ``length``, ``ids_crc32`` of its ids as little-endian 32-bit integers, ``doc_tokens``."""
+    """A row for each piece: key, ``start``, ``length``, ``ids`` as little-endian 32-bit integers, ``doc_tokens``."""
     prepare(docs.sparkSession)
     key_type = docs.schema[key].dataType
 
@@ -145,7 +147,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
         tokenizer = word_tokenizer(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            at, start, size, crc, total = [], [], [], [], []
+            at, start, size, held, total = [], [], [], [], []
             for i, ids in enumerate(tokenizer.encode(texts)):
                 raw = np.append(ids, end_id).astype("<u4").tobytes()
                 n = len(raw) // 4
@@ -154,12 +156,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", k
                     at.append(i)
                     start.append(here)
                     size.append(m)
-                    crc.append(zlib.crc32(raw[4 * here : 4 * (here + m)]))
+                    held.append(raw[4 * here : 4 * (here + m)])
                     total.append(n)
                     here += m
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total))], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
+            start, size, total = (pa.array(x, pa.int64()) for x in (start, size, total))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), start, size, pa.array(held, pa.binary()), total], names=[key, "start", "length", "ids", "doc_tokens"])
 
-    return docs.select(key, text).mapInArrow(cut, f"{key} {key_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(key, text).mapInArrow(cut, f"{key} {key_type.simpleString()}, start long, length long, ids binary, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -232,7 +235,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", length: int = 2048) -> DataFram
     # One sorted key for look-ups: length and first rank.
     wide = np.int64(1) << np.int64(40)
     table = spark.sparkContext.broadcast((before, slots["length"].to_numpy() * wide + slots["first"].to_numpy(), slots[["first", "sequence", "offset"]].to_numpy()))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(key, "start", "ids_crc32")) - 1)
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(key, "start", "ids")) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead, keys, to = table.value
@@ -242,16 +245,17 @@ def pack(pieces: DataFrame, key: str = "doc_id", length: int = 2048) -> DataFram
             at = to[np.searchsorted(keys, size * wide + rank, "right") - 1].reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(at[:, 1] + rank - at[:, 0]), pa.array(at[:, 2])], names=[*batch.schema.names[:-2], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{key} {pieces.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{key} {pieces.schema[key].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", length: int = 2048, piece: int = 512, end_id: int = 1) -> DataFrame:
-    """Tokenise, cut and pack ``docs``: one row for each piece."""
+    """Tokenise, cut and pack ``docs``: one row for each piece, with its ids."""
     return pack(stored(tokenized_pieces(docs, tokenizer_path, text, key, length, piece, end_id), "pieces"), key, length)
 
 
 def op9_packing(spark, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    """All ``documents`` in sequences of at most 2048 tokens."""
+    """All ``documents`` in sequences of at most 2048 tokens; ids by their checksum."""
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer))
+    made = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(tokenizer))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -4,7 +4,7 @@ A shard is a prefix of the bits of a document's hash. Starting from the empty
 prefix, only shards above the byte limit split on their next bit, until each
 fits. Since a prefix never holds more than its own prefixes do, a document's
 shard is its shortest prefix within the limit; byte counts by prefix find it
-without moving a text. Documents that share all ``MAX_BITS`` bits (equal keys)
+without a text, and each row takes its text along to its shard. Documents that share all ``MAX_BITS`` bits (equal keys)
 can't be split by hashing: they fill overflow parts of their shard in turn, a
 document above the limit being a part alone.
 
@@ -83,20 +83,21 @@ def _overflow_parts(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``n_bytes``, ``shard_depth``, ``shard_prefix`` (the bits as a number), ``shard_part`` (0 but in overflows) and ``shard_bytes``."""
+    """``docs`` with ``n_bytes``, ``shard_depth``, ``shard_prefix`` (the bits as a number), ``shard_part`` (0 but in overflows) and ``shard_bytes``."""
     if limit < 1:
         raise ValueError("limit must be positive")
     out = ("n_bytes", "shard_depth", "shard_prefix", "shard_part", "shard_bytes")
-    rest = docs.drop(text, *out)
-    tie = F.xxhash64(F.col(text), *[F.col(f.name) for f in rest.schema.fields if not isinstance(f.dataType, T.MapType)])
+    rest = docs.drop(*out)
+    tie = F.xxhash64(*[F.col(f.name) for f in rest.schema.fields if not isinstance(f.dataType, T.MapType)])
     sized = docs.select(*rest.columns, hash_bits(F.col(key)).alias("__bits"), tie.alias("__tie"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("__salt"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     sized = stored(sized, "sized")
     shards = stored(directory(sized.select("__bits", "n_bytes"), limit), "directory")
     depths = [r["depth"] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # at most MAX_BITS + 1
-    # A document has exactly one of its prefixes in the directory; only the depths in use are tried.
+    # A hash has exactly one of its prefixes in the directory; only the depths in use are tried, without the texts.
     tried = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col("__bits"), d).alias("prefix")) for d in depths or [0]])
-    spread = sized.withColumn("__at", F.explode(tried))
-    placed = spread.join(shards.select(F.struct("depth", "prefix").alias("__at"), "shard_bytes"), "__at")
+    spread = sized.select("__bits").distinct().withColumn("__at", F.explode(tried))
+    homes = spread.join(shards.select(F.struct("depth", "prefix").alias("__at"), "shard_bytes"), "__at")
+    placed = sized.join(homes, "__bits")
     shown = [*rest.columns, "n_bytes", F.col("__at.depth").alias("shard_depth"), F.col("__at.prefix").alias("shard_prefix"), "shard_part", "shard_bytes"]
     plain = placed.withColumn("shard_part", F.lit(0).cast("long")).select(*shown)
     if MAX_BITS not in depths:
@@ -109,8 +110,9 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
 
 
 def op3_sharding(spark, sf_dir: str, limit: int = 1 << 20) -> DataFrame:
-    """All ``documents`` in shards of at most 1 MiB of text."""
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), limit)
+    """All ``documents`` in shards of at most 1 MiB of text; texts by their bytes."""
+    made = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), limit)
+    return made.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "shard_depth", "shard_prefix", "shard_part", "shard_bytes")
 
 
 OP3_SQL = f"""

@@ -105,6 +105,27 @@ def test_audio_prints_of_texts_are_those_of_their_audio(spark, edges):
     assert len(audio_prints.tune_prints(long).head()["prints"]) > 400
 
 
+def test_audio_short_recordings_and_passages_match(spark):
+    rng = np.random.default_rng(10)
+    song, passage = rng.integers(45, 80, 60), tune(rng.integers(45, 80, 30))
+    other = [tune(rng.integers(45, 80, 90)) for _ in range(4)]
+    a = np.concatenate((other[0][: 170 * audio_prints.HOP], passage, other[1]))
+    b = np.concatenate((other[2][: 150 * audio_prints.HOP], passage, other[3]))
+    rows = [(0, tune(song[:1])), (1, tune(song[:1])), (2, tune(song[:12])), (3, tune(song)), (4, a), (5, b)]
+    made = audio_prints.with_prints(spark.createDataFrame([(i, x.tobytes()) for i, x in rows], "id long, audio binary"), "audio")
+    got = {(r.query_id, r.match_id): r for r in audio_prints.search(made, F.col("id").isin(0, 2, 4)).collect()}
+    assert set(got) == {(0, 0), (2, 3), (4, 5)} and got[0, 0].copies == 2
+    assert got[2, 3].overlap == 3 and got[4, 5].offset == -20 and got[4, 5].overlap >= audio_prints.PASSAGE
+
+
+def test_audio_at_another_rate(spark):
+    song = np.random.default_rng(11).integers(45, 80, 60)
+    t = np.arange(11025 // 4) / 11025
+    finer = np.concatenate([9000 * np.sin(2 * np.pi * 440 * 2 ** ((p - 69) / 12) * t) for p in song]).astype("<i2")
+    a, b = (audio_prints.recording_prints(x) for x in (audio_prints.resampled(finer, 11025), tune(song)))
+    assert abs(len(a) - len(b)) <= 1 and audio_prints.bit_errors(a, b, 0)[0] < 0.1 * 32 * len(a)
+
+
 # Sharding
 
 

@@ -129,3 +129,11 @@ def test_flows():
     assert ta.live_flows(node("function", node("block", node("expression", node("variable", text="b"))), node("parameter", text="a"))) == {("a", "b")}
     assert ta.edge_scores({("a", "b"), ("a", "c")}, {("a", "b")}) == (1.0, 0.5, pytest.approx(2 / 3))
     assert ta.edge_scores(set(), set()) == (0.0, 0.0, 0.0)
+
+
+def test_stage_ablation_has_similarity_and_completeness(spark):
+    from treeloom.plans import algebra_queries
+
+    got = {r.variant: r for r in algebra_queries.stage_ablation(spark, "/root/testdata/sf0.001").collect()}
+    assert got["none"].similarity == got["none"].pec == got["types"].pec == 1
+    assert all(0 < r.similarity <= 1 and 0 < r.pec <= 1 for r in got.values()) and got["all"].similarity < 1

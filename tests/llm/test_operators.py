@@ -265,15 +265,55 @@ def test_near_dedup_in_crowded_buckets(spark, monkeypatch):
     assert got == {n: min(n, 96) for n, _ in rows}
 
 
-def test_block_pairs_meet_once(spark, monkeypatch):
+def test_blocks_meet_once(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    rows = near_dedup.block_pairs(spark.createDataFrame([(1, i, 40) for i in range(40)] + [(2, i, 5) for i in range(5)], "bucket long, node long, count long")).collect()
+    comp = lambda i: 7 if i < 25 else i
+    members = spark.createDataFrame([(1, i, 40, comp(i)) for i in range(40)] + [(2, i, 5, i) for i in range(5)], "bucket long, node long, count long, comp long")
     met = collections.Counter()
+    rows = near_dedup.in_blocks(members, False).collect()
     for a in rows:
         for b in rows:
-            if a.bucket == b.bucket and a.node < b.node and (a.side < 0 or a.side != b.side):
+            if a.bucket == b.bucket and a.node < b.node and a.comp != b.comp and (a.side < 0 or a.side != b.side):
                 met[a.node, b.node, a.bucket == 2] += 1
-    assert len(met) == 40 * 39 // 2 + 10 and set(met.values()) == {1}
+    assert len(met) == 40 * 39 // 2 - 25 * 24 // 2 + 10 and set(met.values()) == {1}
+    first = collections.Counter(r.bucket for r in near_dedup.in_blocks(members, True).collect())
+    assert first[2] == 5 and sum(first.values()) == 85 and max(first.values()) < 20
+
+
+def test_every_pair_has_one_turn():
+    node = np.sort(np.random.default_rng(8).integers(-(2**62), 2**62, 300)).view(np.uint64)
+    turns, first = collections.Counter(), 0
+    while first < len(node):
+        last = near_dedup.STEP * max(first, 1)
+        for i, j in near_dedup._turns(node, np.full(len(node), float(len(node))), first, last):
+            turns.update(zip(i.tolist(), j.tolist(), strict=True))
+        if first == 0:
+            assert 0.7 < len(turns) / (near_dedup.STEP * len(node) / 2) < 1.3
+        first = last
+    assert set(turns) == {(i, j) for i in range(300) for j in range(i)} and set(turns.values()) == {1}
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_near_dedup_of_a_large_group(spark, monkeypatch, parts):
+    monkeypatch.setattr(near_dedup, "BUCKET", 32)
+    rng = np.random.default_rng(12)
+    texts = [[f"w{i}" for i in rng.integers(0, 500, 60)]]
+    while len(texts) < 240:  # versions of versions, some far from all others
+        words = list(texts[rng.integers(len(texts))])
+        for at in rng.integers(0, 60, rng.choice([1, 1, 2, 6])):
+            words[at] = f"v{rng.integers(10**9)}"
+        texts.append(words)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    df = collections.Counter(g for _, t in rows for g in plain_set(t, {}, len(rows)))
+    sets, want = [plain_set(t, df, len(rows)) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = sum(min(w, sets[j][g]) for g, w in sets[i].items() if g in sets[j])
+            if shared / (sum(sets[i].values()) + sum(sets[j].values()) - shared) >= 0.8 - 1e-9:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    assert got == dict(enumerate(want)) and 10 < len(set(want)) < 200
 
 
 def test_frequent_shingles_of_many_small_parts(spark, monkeypatch):

@@ -73,16 +73,86 @@ def tune(pitches, note=0.25):
     return np.concatenate([9000 * np.sin(2 * np.pi * 440 * 2 ** ((p - 69) / 12) * t) for p in pitches]).astype("<i2")
 
 
-def test_audio_area_sums_match_plain_sums():
+def test_audio_prints_match_plain_sums():
     image = np.random.default_rng(2).random((30, 12))
     got = audio_prints.prints(image)
-    first = 0
-    for kind, y, h, w in audio_prints.FILTERS:
-        if kind == 2:
-            a, b = image[: w // 2, y : y + h].sum(), image[w // 2 : w, y : y + h].sum()
-            first = audio_prints.GRAY[np.searchsorted(audio_prints.STEPS, np.log1p(a) - np.log1p(b))]
-            place = audio_prints.FILTERS.index((kind, y, h, w))
-            assert (int(got[0]) >> (2 * (15 - place))) & 3 == first
+    assert len(got) == 30 - audio_prints.WINDOW + 1
+    for at in (0, 7, 14):
+        want = 0
+        for kind, y, h, w in audio_prints.FILTERS:
+            part = image[at : at + w]
+            early, late = part[: w // 2], part[w // 2 : 2 * (w // 2)]
+            low, high = slice(y, y + h // 2), slice(y + h // 2, y + 2 * (h // 2) if kind == 3 else y + h)
+            if kind == 0:
+                a = part[:, y : y + h].sum()
+                b = (part.sum() - a) * h / (12 - h)
+            elif kind == 1:
+                a, b = part[:, low].sum(), part[:, high].sum()
+            elif kind == 2:
+                a, b = early[:, y : y + h].sum(), late[:, y : y + h].sum()
+            elif kind == 3:
+                a, b = early[:, low].sum() + late[:, high].sum(), early[:, high].sum() + late[:, low].sum()
+            else:
+                a = part[w // 4 : w // 4 + w // 2, y : y + h].sum()
+                b = part[: w // 4, y : y + h].sum() + part[3 * w // 4 : 3 * w // 4 + w // 4, y : y + h].sum()
+            gap = np.log1p(a) - np.log1p(b)
+            want = want << 2 | [0, 1, 3, 2][sum(gap > step for step in (-0.25, 0.0, 0.25))]
+        assert got[at] == want
+    assert {kind for kind, *_ in audio_prints.FILTERS} == set(range(5))
+
+
+def test_audio_chroma_matches_a_plain_transform():
+    rng = np.random.default_rng(21)
+    samples = (tune(rng.integers(45, 80, 14)) + rng.normal(0, 100, 14 * 1378)).astype("<i2")
+    n = (len(samples) - audio_prints.FRAME) // audio_prints.HOP + 1
+    image = np.zeros((n, 12))
+    for i in range(n):
+        frame = samples[i * audio_prints.HOP : i * audio_prints.HOP + audio_prints.FRAME] * np.hanning(audio_prints.FRAME)
+        for k, power in enumerate(np.abs(np.fft.rfft(frame)) ** 2):
+            hertz = k * audio_prints.RATE / audio_prints.FRAME
+            if audio_prints.LOWEST <= hertz <= audio_prints.HIGHEST:
+                image[i, round(12 * np.log2(hertz / 440) + 69) % 12] += power
+    smooth = np.array([sum(w * image[i + j] for j, w in enumerate(audio_prints.SMOOTH)) for i in range(n - 4)])
+    assert np.allclose(audio_prints.chroma(samples), smooth / np.linalg.norm(smooth, axis=1, keepdims=True), atol=1e-4)
+    assert not audio_prints.chroma(np.zeros(20000, "<i2")).any()
+
+
+def test_audio_offsets_match_a_plain_histogram():
+    rng = np.random.default_rng(22)
+    sets = [rng.integers(0, 40, n).astype(np.uint32) for n in (1, 5, 30, 60)]
+    every, owner = np.concatenate(sets), np.repeat(np.arange(4), [1, 5, 30, 60])
+    place = np.concatenate([np.arange(len(x)) for x in sets])
+    order = np.argsort(every, kind="stable")
+    for query in (rng.integers(0, 40, 25).astype(np.uint32), sets[2][5:], sets[0]):
+        want = []
+        for j, x in enumerate(sets):
+            votes = collections.Counter(b - a for a in range(len(query)) for b in range(len(x)) if query[a] == x[b])
+            if votes and (best := min(votes, key=lambda o: (-votes[o], abs(o), o))) is not None and votes[best] >= min(audio_prints.LEAST_VOTES, len(query), len(x)):
+                want.append((j, best, votes[best]))
+        assert audio_prints.align(query, every[order], owner[order], place[order], np.array([1, 5, 30, 60])) == want
+
+
+def test_audio_agreement_is_the_best_segment():
+    rng = np.random.default_rng(23)
+    a, b = (rng.integers(0, 2**32, 120, dtype=np.uint32) for _ in range(2))
+    b[50:86] = a[40:76]
+    start, n, errors = audio_prints.agreement(a, b, 10)
+    bits = np.bitwise_count(a[: 110] ^ b[10:]).astype(int)
+    best = max(((0.3 * 32 - bits[i:j]).sum(), i, j) for i in range(110) for j in range(i + audio_prints.PASSAGE, 111))
+    assert (start, start + n) == best[1:] and errors == bits[start : start + n].sum()
+    assert audio_prints.agreement(a, rng.integers(0, 2**32, 120, dtype=np.uint32), 3) is None
+    assert audio_prints.agreement(a, a, 115) is None and audio_prints.agreement(a, a, 0) == (0, 120, 0)
+
+
+def test_audio_evidence_is_against_chance():
+    rng = np.random.default_rng(24)
+    least = np.log(1e7 / audio_prints.CHANCE)
+    song = audio_prints.recording_prints(tune(rng.integers(45, 80, 40)))
+    assert audio_prints.evidence(song, song) > least
+    held = audio_prints.recording_prints(tune([60] * 400))
+    assert audio_prints.evidence(held, held) < 25 < audio_prints.evidence(song, song) / 2  # one tone, however long
+    chance = max(audio_prints.evidence(a[:50], b[:50]) for a, b in ([audio_prints.recording_prints(tune(rng.integers(45, 80, 40))) for _ in range(2)] for _ in range(60)))
+    assert chance < least
 
 
 def test_audio_finds_shifted_and_noisy_copies(spark):
@@ -118,12 +188,41 @@ def test_audio_short_recordings_and_passages_match(spark):
     assert got[2, 3].overlap == 3 and got[4, 5].offset == -20 and got[4, 5].overlap >= audio_prints.PASSAGE
 
 
+def test_audio_planted_copies_among_tunes(spark, docs):
+    rows = docs.where("length(text) > 600").orderBy("doc_id").limit(60).select("doc_id", "text").collect()
+    cut = lambda t: ". ".join(t.split(". ")[2:])
+    planted = [(10_000 + i, cut(r.text)) for i, r in enumerate(rows) if r.text.count(". ") > 25] + [(20_000 + i, r.text) for i, r in enumerate(rows)]
+    made = audio_prints.tune_prints(spark.createDataFrame([(r.doc_id, r.text) for r in rows] + planted, "doc_id long, text string"))
+    member = {r.id: r.prints for r in made.collect()}
+    first = {}
+    for i in sorted(member):
+        first.setdefault(member[i], i)
+    everything = audio_prints.search(made, F.lit(True)).collect()
+    got = {(r.query_id, r.match_id) for r in everything}
+    wanted = {(first[member[i]], first[member[rows[i % 10_000].doc_id]]) for i, _ in planted}
+    assert len(wanted) > 60 and wanted <= got
+    text = dict([(r.doc_id, r.text) for r in rows] + planted)
+    notes = {i: set(re.split("[.?!\n]", t)) for i, t in text.items()}
+    assert all(notes[a] & notes[b] - {""} for a, b in got)
+    few = audio_prints.search(made, F.lit(True), k=2).collect()
+    assert {(r.query_id, r.match_id) for r in few} == {(r.query_id, r.match_id) for r in everything if r["rank"] <= 2}
+    assert all(r.matches == sum(x.query_id == r.query_id for x in everything) for r in few)
+
+
+def test_audio_edges(spark, edges):
+    made = audio_prints.tune_prints(edges)
+    assert audio_prints.search(made, F.lit(True)).columns == ["query_id", "rank", "match_id", "copies", "offset", "votes", "start", "overlap", "errors", "evidence", "matches"]
+    clash = audio_prints.with_prints(spark.createDataFrame([(1, b"\1\2" * 40000, "x", 3)], "id long, audio binary, prints string, votes long"), "audio")
+    assert clash.columns == ["id", "votes", "prints"] and clash.head()["prints"] is not None
+    assert audio_prints.search(made.where("false"), F.lit(True)).count() == 0
+
+
 def test_audio_at_another_rate(spark):
     song = np.random.default_rng(11).integers(45, 80, 60)
     t = np.arange(11025 // 4) / 11025
     finer = np.concatenate([9000 * np.sin(2 * np.pi * 440 * 2 ** ((p - 69) / 12) * t) for p in song]).astype("<i2")
     a, b = (audio_prints.recording_prints(x) for x in (audio_prints.resampled(finer, 11025), tune(song)))
-    assert abs(len(a) - len(b)) <= 1 and audio_prints.bit_errors(a, b, 0)[0] < 0.1 * 32 * len(a)
+    assert abs(len(a) - len(b)) <= 1 and audio_prints.agreement(a, b, 0)[2] < 0.1 * 32 * len(a)
 
 
 # Sharding

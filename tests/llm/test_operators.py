@@ -630,6 +630,53 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "Some prose, which is long enough to count as such, for certain."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<div class="page with-sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f'<article class="post category-social tag-search comments-open"><p>{PROSE}</p></article>', PROSE),
+        (f'<div class="layout sidebar"><main><p>{PROSE}</p></main></div>', PROSE),
+        (f"<div><div><p>Intro.</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><p>Short end.</p></div></div>", f"Intro.\n{PROSE}\n{PROSE}\nShort end."),
+        (f"<body><article><p>{PROSE}</p></article><article><p>Second.</p></article></body>", f"{PROSE}\nSecond."),
+        (f"<body><div><h1>Title</h1></div><div><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"Title\n{PROSE}\n{PROSE}"),
+        (f"<article><header><h1>Title</h1><p>A dek.</p></header><p>{PROSE}</p></article>", f"Title\nA dek.\n{PROSE}"),
+        ("<p>Before <script>x</script>after</p><p>a <button>b</button> c <svg><text>t</text></svg>d <label>e</label> f</p>", "Before after\na c d f"),
+        (f"<p>{PROSE}</p><![foo[ x ]]><p>b</p>", f"{PROSE}\nb"), (f"<p>{PROSE}</p><![ <p>more</p>", f"{PROSE}\nmore"), ("<p>a<![endif]-->b</p>", "ab"),
+        (f"<form><div><h1>T</h1><p>{PROSE}</p></div></form>", f"T\n{PROSE}"), (f'<div class="widget"><p>{PROSE}</p></div>', PROSE),
+        (f'<div class="masthead"><h1>Site</h1></div><div><p>{PROSE}</p></div>', PROSE),
+        (f'<div><h1>T</h1><p>{PROSE}</p></div><ol class="comment-list"><li><article class="comment"><p>No, no, no, no, no.</p></article></ol>', f"T\n{PROSE}"),
+        ('<pre><code>x <span class="comment">// kept</span></code></pre>', "x // kept"),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_main_text_of_generated_pages():
+    rng = np.random.default_rng(31)
+    say = lambda n: " ".join(rng.choice(["lake", "stone,", "over", "wind", "quiet", "rivers"], n)).capitalize() + "."
+    frames = ['<nav><a href="/">Home</a></nav>', "<header><h1>Site</h1><p>Slogan, of it.</p></header>", '<div class="ad-slot"><p>Buy, now, cheap, and more.</p></div>', "<aside><p>Side, by, side.</p></aside>", '<div id="sidebar"><p>About, us, here.</p></div>', '<div class="cookie-banner"><p>We use cookies, ok?</p></div>', "<form><p>Sign up, now.</p><input></form>", "<footer>&copy; us</footer>", '<section class="related-posts"><ul><li><a href="/a">One, two</a></ul></section>', "<script>if (a < b) {}</script>"]
+    for _ in range(120):
+        article = [(rng.choice(["p", "p", "p", "h2", "blockquote", "pre"]), say(int(rng.integers(1, 40)))) for _ in range(int(rng.integers(2, 9)))]
+        blocks = [f"<{t}>{x}</{t}>" for t, x in article]
+        title = say(4)
+        inner = f"<h1>{title}</h1>" + "".join(b + (rng.choice(["", "", "<!-- x -->", '<div class="advert">Sale, today.</div>', "\n"])) for b in blocks)
+        inner = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>', '<div class="page has-sidebar"><article class="post tag-ad">{}</article></div>']).replace("{}", inner)
+        around = rng.permutation(frames)
+        html = f"<html><body>{''.join(around[:5])}{inner}{''.join(around[5:])}</body></html>"
+        assert html_text.main_text(html) == "\n".join([title, *(x for _, x in article)]), html
+
+
+def test_main_text_takes_any_markup():
+    rng = np.random.default_rng(32)
+    parts = ["<", ">", "<![", "<!", "]]>", "<p>", "</p", "<div class='ad'>", "&#x", "&amp", "<a href=", "'", '"', "text, more", "<script>", "</script>", "<!--", "-->", "<?", "\0", "<td>", "</html>"]
+    for _ in range(3000):
+        assert isinstance(html_text.main_text("".join(rng.choice(parts, int(rng.integers(1, 25))))), str)
+
+
 def test_extract_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "old"), (1, "u", PAGE, "old"), (None, None, "", "old")], "page_id long, url string, html string, text string")
     got = html_text.extract(rows).collect()

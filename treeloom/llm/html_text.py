@@ -4,23 +4,34 @@ Each text block of a page (a paragraph, heading, list item, cell, or the text
 that stands directly in a container) earns points for its length and commas and
 passes them to its ancestors, fewer the farther they are. A container's points
 are discounted by its link density. The best container, widened to the article
-or main element around it, and its siblings that score well or read as prose
-are kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are known by element, role or class and never count.
+or main element around it, is kept whole, and so are its siblings that hold a
+heading or a paragraph and are not mostly links, however short, and a main
+heading before it.
+
+What never counts: scripts, forms' fields, menus, footers, sidebars by element
+or role, hidden elements, and a page's header. Classes and ids with words of
+adverts, notices, menus, comments and the like drop a container unless it holds
+an article or main element, or a main heading with a paragraph; ``with-sidebar``,
+``tag-search``, ``comments-open`` and the like say nothing. An article or main
+element is dropped by words of comments, adverts and teasers only, and never
+where nothing else is left. Dropped elements inside a paragraph don't split it.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by a line feed in page order. Nothing else is dropped.
 
 Nulls, ties, edges: a null or empty page, or one without text, gives an empty
-text. Of containers with equal scores the first in the page wins. Repeated rows
-are extracted one by one; deep nesting is no recursion. Columns named as an
-output are replaced.
+text. Where words drop all text of a page, they are not heeded. Markup that no
+rule of HTML covers is read as a comment; a page that the parser gives up on is
+cut at its tags from there on. Of containers with equal scores the first in the
+page wins. Repeated rows are extracted one by one; deep nesting is no recursion.
+Columns named as an output are replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,15 +42,21 @@ from pyspark.sql import types as T
 from treeloom.llm.common import prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-DROPPED = frozenset("head script style noscript template iframe svg math canvas object embed nav footer aside form button select textarea input label fieldset dialog menu audio video".split())
+BLOCKS = frozenset(
+    """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr
+    html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul""".split()
+)
+DROPPED = frozenset("head script style noscript template iframe svg canvas object embed nav footer aside button select textarea input label fieldset dialog menu audio video search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
-DROPPED_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion banner cookie cookies consent gdpr
-    notice notices notification notifications alert comment comments commentlist disqus replies respond sidebar aside menu navbar nav navigation breadcrumb breadcrumbs
-    pagination pager footer masthead topbar share sharing social related recommended recommendations newsletter subscribe signup popup modal overlay widget widgets toolbar
-    search login skip""".split()
+# Words of classes and ids. Those of a page's frame drop what holds a main heading, too.
+FRAME_WORDS = frozenset("banner breadcrumb breadcrumbs cookie cookies consent gdpr menu navbar nav navigation pagination pager footer masthead topbar toolbar skip login".split())
+TEASER_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promoted promotion comment comments commentlist disqus replies
+    respond related recommended recommendations""".split()
 )
+BOX_WORDS = frozenset("notice notices notification notifications alert sidebar aside share sharing social newsletter subscribe signup popup modal overlay widget widgets search".split())
+INLINE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo share sharing social".split())
+NO_WORDS = frozenset("with without has no is category cat tag open closed enabled disabled".split())  # what such a name says is another thing
 HEADER_WORDS = frozenset({"header", "hdr"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 PARAGRAPHS = frozenset({"p", "pre", "li", "td", "th", "dd", "dt", "blockquote", "figcaption", "caption", "summary", *HEADINGS})
@@ -49,30 +66,41 @@ SCOPES = frozenset({"table", "ul", "ol", "dl", "body", "html", "article", "secti
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NO_WORD = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_LONG_SIBLING, _SPARSE_LINKS = 80, 0.25
+_TAG = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|$)|<[!/?a-zA-Z][^>]*>?", re.I | re.S)
+_RIGHTS = re.compile(r"(©|\(c\)\s|copyright\b)", re.I)
+MOST_LINKS = 0.5
 
 
 def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
-    named = " ".join(v for k, v in attrs if k in ("class", "id") and v)
-    return set(_NO_WORD.split(_CAMEL.sub(" ", named).lower())) if named else set()
+    """The words of all classes and ids that say what an element is."""
+    out: set[str] = set()
+    for name in " ".join(v for k, v in attrs if k in ("class", "id") and v).split():
+        said = set(_NO_WORD.split(_CAMEL.sub(" ", name).lower()))
+        if not said & NO_WORDS:
+            out |= said
+    return out
 
 
 class _Page(HTMLParser):
-    """Nodes of a page in page order, as parallel lists, and its text blocks outside dropped parts."""
+    """Nodes of a page in page order, as parallel lists, and its text blocks outside of what never counts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.dropped, self.header = [-1], ["#"], [False], [False]
+        self.parent, self.tag, self.dropped, self.words = [-1], ["#"], [False], [frozenset()]
         self.open = [0]
         self.links = 0
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.pieces: list[str] = []
         self.linked = 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section is a comment up to the next ">", as in browsers."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def _flush(self) -> None:
         if self.pieces:
             if text := " ".join("".join(self.pieces).split()):
-                at = next(i for i in reversed(self.open) if self.tag[i] not in INLINE)
+                at = next(i for i in reversed(self.open) if i == 0 or self.tag[i] in BLOCKS)
                 self.blocks.append((at, text, min(self.linked, len(text))))
             self.pieces, self.linked = [], 0
 
@@ -94,7 +122,8 @@ class _Page(HTMLParser):
         if tag == "br":
             self.pieces.append(" ")
             return
-        if tag not in INLINE:
+        block = tag in BLOCKS
+        if block:
             self._flush()
             if tag in ENDS_P:
                 self._close_last(("p",), SCOPES)
@@ -107,12 +136,13 @@ class _Page(HTMLParser):
         up = self.open[-1]
         role = next((v.lower() for k, v in attrs if k == "role" and v), "")
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v) for k, v in attrs)
-        words = _words(attrs)
+        words = _words(attrs) if attrs else set()
         root = tag in ("html", "body")
+        gone = tag in DROPPED or hidden or role in DROPPED_ROLES or not block and words & INLINE_WORDS and not any(self.tag[i] in ("pre", "code") for i in self.open)
         self.parent.append(up)
         self.tag.append(tag)
-        self.dropped.append(self.dropped[up] or not root and (tag in DROPPED or hidden or role in DROPPED_ROLES or bool(words & DROPPED_WORDS)))
-        self.header.append(self.header[up] or not root and (tag == "header" or bool(words & HEADER_WORDS)))
+        self.dropped.append(self.dropped[up] or not root and bool(gone))
+        self.words.append(frozenset() if root or not block else frozenset(words))
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
 
@@ -122,9 +152,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for place in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[place]] == tag:
-                if any(t not in INLINE for t in [tag]):
+                if tag in BLOCKS:
                     self._flush()
-                elif any(self.tag[i] not in INLINE for i in self.open[place:]):
+                elif any(self.tag[i] in BLOCKS for i in self.open[place:]):
                     return  # an inline end tag doesn't close the blocks inside
                 self._close_to(place)
                 return
@@ -136,33 +166,61 @@ class _Page(HTMLParser):
         if self.links:
             self.linked += len(data)
 
-    def finish(self) -> None:
-        self.close()
+    def read(self, html: str) -> None:
+        try:
+            self.feed(html)
+            self.close()
+        except AssertionError:  # the parser's own way to say that it is lost
+            self.pieces.append(unescape(_TAG.sub(" ", self.rawdata)))
         self._flush()
 
 
+def _outside(page: _Page, heed_words: bool) -> list[bool]:
+    """Whether each node is outside of what counts: by its words, or in a page's header."""
+    parent, tag, words = page.parent, page.tag, page.words
+    n = len(tag)
+    named = [heed_words and bool(words[i] & TEASER_WORDS) if tag[i] in ("article", "main") else heed_words and (tag[i] == "form" or bool(words[i] & (FRAME_WORDS | TEASER_WORDS | BOX_WORDS))) for i in range(n)]
+    whole, title, prose = [False] * n, [False] * n, [False] * n  # holds an article or main element, a main heading, a paragraph
+    for i in range(n - 1, 0, -1):
+        if page.dropped[i]:
+            continue
+        whole[i] |= tag[i] in ("article", "main") and not named[i]
+        title[i] |= tag[i] == "h1"
+        prose[i] |= tag[i] == "p"
+        for x in (whole, title, prose):
+            x[parent[i]] |= x[i]
+    headed, article = [False] * n, [False] * n
+    for i in range(1, n):
+        article[i] = article[parent[i]] or tag[i] in ("article", "main")
+    for i in range(n - 1, 0, -1):
+        headed[i] |= tag[i] in HEADINGS
+        headed[parent[i]] |= headed[i]
+    out, header = [False] * n, [False] * n
+    for i in range(1, n):
+        up = parent[i]
+        kept = whole[i] or title[i] and prose[i] and not words[i] & FRAME_WORDS
+        header[i] = header[up] or (tag[i] == "header" or bool(words[i] & HEADER_WORDS)) and not (article[up] and headed[i]) and not whole[i]
+        out[i] = out[up] or named[i] and not kept or header[i]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
     page = _Page()
-    page.feed(html)
-    page.finish()
+    page.read(html)
     parent, tag = page.parent, page.tag
     n = len(tag)
-    in_article = [False] * n
-    titled = [False] * n  # a header inside an article that holds its title
-    for i in range(1, n):
-        in_article[i] = in_article[parent[i]] or tag[i] in ("article", "main")
-    for node, _, _ in page.blocks:
-        if tag[node] in HEADINGS and in_article[node]:
-            while node > 0 and not titled[node]:
-                titled[node] = True
-                node = parent[node]
-    blocks = [(i, text, linked) for i, text, linked in page.blocks if not page.header[i] or in_article[i] and titled[i]]
-    if not blocks:
+    for heed_words in (True, False):
+        out = _outside(page, heed_words)
+        blocks = [(i, text, linked) for i, text, linked in page.blocks if not out[i]]
+        if blocks:
+            break
+    else:
         return ""
     points, length, links = [0.0] * n, [0] * n, [0] * n
+    reads = [False] * n  # holds a heading or a paragraph
     for node, text, linked in blocks:
         worth = 1 + text.count(",") + min(len(text) / 100, 3)
         at, level = (parent[node], 0) if tag[node] in PARAGRAPHS else (node, 0)
@@ -171,27 +229,28 @@ def main_text(html: str | None) -> str:
             at, level = parent[at], level + 1
         length[node] += len(text)
         links[node] += linked
+        reads[node] |= tag[node] in PARAGRAPHS and not (_RIGHTS.match(text) and tag[node] not in HEADINGS)
     for i in range(n - 1, 0, -1):
         length[parent[i]] += length[i]
         links[parent[i]] += links[i]
+        reads[parent[i]] |= reads[i]
     score = [points[i] * (1 - links[i] / length[i]) if length[i] else 0.0 for i in range(n)]
-    best = max((i for i in range(n) if tag[i] not in INLINE and tag[i] not in PARAGRAPHS), key=lambda i: (score[i], -i))
+    best = max((i for i in range(n) if (i == 0 or tag[i] in BLOCKS) and tag[i] not in PARAGRAPHS), key=lambda i: (score[i], -i))
     at = best
     while at > 0:
         if tag[at] in ("article", "main"):
             best = at
         at = parent[at]
+    while best > 0 and length[parent[best]] == length[best]:
+        best = parent[best]  # what only wraps it has no siblings of its own to give
     kept = [False] * n
     kept[best] = True
     if best > 0:
-        need = max(10.0, 0.2 * score[best])
         for i in range(1, n):
-            if parent[i] == parent[best] and i != best and length[i]:
-                sparse = links[i] / length[i] < _SPARSE_LINKS
-                if tag[i] in HEADINGS or tag[i] in PARAGRAPHS and sparse and length[i] > _LONG_SIBLING or tag[i] not in PARAGRAPHS and score[i] >= need:
-                    kept[i] = True
+            if parent[i] == parent[best] and reads[i] and links[i] < MOST_LINKS * length[i]:
+                kept[i] = True
     for i in range(1, n):
-        kept[i] = kept[i] or kept[parent[i]]
+        kept[i] = kept[i] or kept[parent[i]] or tag[i] == "h1" and i < best and not out[i]
     return "\n".join(text for i, text, _ in blocks if kept[i])
 
 

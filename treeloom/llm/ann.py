@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import prepare, stored
 
 VECTOR_BLOCK = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192  # vectors are copied once for each block of queries
+QUERY_ROWS = 256  # queries whose estimates are held at a time
 EPSILON = 3.0
 
 
@@ -57,38 +58,43 @@ def encode(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarra
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, scalars: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries, ids and exact scores of up to ``k`` best of ``vectors`` for each query."""
     dims = vectors.shape[1]
-    signs = (np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
-    turned = ((queries - mean) @ turn).astype(np.float32)
     far, fit, on_mean = scalars.T
-    steady = (queries @ mean)[:, None] + on_mean[None, :] - mean @ mean
-    estimate = (turned @ signs.T) * (far / fit)[None, :] + steady
-    error = np.linalg.norm(turned, axis=1)[:, None] * (epsilon * far * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dims - 1, 1)))[None, :] + 1e-5 * (1 + np.abs(estimate))
-    own = query_ids[:, None] == ids[None, :]
-    estimate[own] = -np.inf
-    upper = estimate + error
-    at_query, at_id, at_score = [], [], []
-    for i in range(len(queries)):
-        allowed = np.flatnonzero(~own[i])
-        if not len(allowed):
-            continue
-        q = queries[i]
-        if len(allowed) > k:
-            first = allowed[np.argpartition(-estimate[i, allowed], k - 1)[:k]]
-            least = np.sort(vectors[first] @ q)[0]
-            allowed = allowed[upper[i, allowed] >= least]
-        exact = (vectors[allowed] * q).sum(1)
-        best = np.lexsort((ids[allowed], -exact))[:k]
-        at_query.append(np.full(len(best), i))
-        at_id.append(ids[allowed][best])
-        at_score.append(exact[best])
-    if not at_query:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # A code's direction by its length over its correction; what all vectors share for a query is left out until the end.
+    scaled = ((np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1) * (far / fit / np.sqrt(dims)).astype(np.float32)[:, None]).T
+    wide = (epsilon * far * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(dims - 1, 1))).astype(np.float32)
+    turned = ((queries - mean) @ turn).astype(np.float32)
+    reach, shared = np.linalg.norm(turned, axis=1), queries @ mean - mean @ mean
+    order = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[order], query_ids, side) for side in ("left", "right"))
+    at_query, at_id, at_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for lo in range(0, len(queries), QUERY_ROWS):
+        estimate = turned[lo : lo + QUERY_ROWS] @ scaled
+        estimate += on_mean.astype(np.float32)
+        for i in range(lo, min(lo + QUERY_ROWS, len(queries))):
+            row, q = estimate[i - lo], queries[i]
+            row[order[first[i] : last[i]]] = -np.inf
+            n = len(ids) - (last[i] - first[i])
+            if n <= 0:
+                continue
+            if n > k:
+                best = np.argpartition(row, len(ids) - k)[-k:]
+                least = (vectors[best] * q).sum(1).min() - shared[i]
+                slack = 1e-5 * (1 + abs(least) + np.abs(row[best]).max())
+                allowed = np.flatnonzero(row + reach[i] * wide >= least - slack)
+            else:
+                allowed = np.flatnonzero(row > -np.inf)
+            exact = (vectors[allowed] * q).sum(1)
+            best = np.lexsort((ids[allowed], -exact))[:k]
+            at_query.append(np.full(len(best), i))
+            at_id.append(ids[allowed][best])
+            at_score.append(exact[best])
     return np.concatenate(at_query), np.concatenate(at_id), np.concatenate(at_score)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Key and vector (as doubles) of the rows that take part."""
-    x = F.transform(vector, lambda v: v.cast("double"))
+    """Key and vector (single precision where the column is, else doubles) of the rows that take part."""
+    single = vectors.schema[vector].dataType.elementType.typeName() == "float"
+    x = F.transform(vector, lambda v: v.cast("float" if single else "double"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(finite & F.exists("x", lambda v: v != 0))
     lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -96,7 +102,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of at most ``size`` rows: their ids and components as packed doubles."""
+    """Blocks of at most ``size`` rows: their ids and packed components."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, xs, held = [], [], 0
@@ -144,17 +150,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
     dims = dims[0]
     mean = np.array(rows.agg(*[F.avg(F.col("x")[i]) for i in range(dims)]).head(), float)
     turn = rotation(dims, seed)
+    kind = np.dtype(np.float32 if rows.schema["x"].dataType.elementType.typeName() == "float" else np.float64)
     first = rows.where(is_query).groupBy("id").agg(F.min("x").alias("x"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(1)[i].as_py()).reshape(-1, dims)
+                x = np.frombuffer(batch.column(1)[i].as_py(), kind).reshape(-1, dims).astype(float)
                 codes, scalars = encode(x, mean, turn)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([codes.tobytes()], pa.binary()), pa.array([scalars.tobytes()], pa.binary())], names=["v_ids", "v_x", "codes", "scalars"])
 
     held = stored(_blocks(rows, VECTOR_BLOCK, "v").mapInArrow(index, "v_ids binary, v_x binary, codes binary, scalars binary"), "codes")
-    asked = stored(_blocks(first, QUERY_BLOCK, "q"), "queries")
+    asked = stored(_blocks(first.coalesce(max(1, -(-first.count() // QUERY_BLOCK))), QUERY_BLOCK, "q"), "queries")
     pairs = block_pairs(held, asked)
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +169,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
             got = batch.to_pydict()
             for i in range(batch.num_rows):
                 q_ids, ids = np.frombuffer(got["q_ids"][i], np.int64), np.frombuffer(got["v_ids"][i], np.int64)
-                queries, x = np.frombuffer(got["q_x"][i]).reshape(-1, dims), np.frombuffer(got["v_x"][i]).reshape(-1, dims)
+                queries, x = (np.frombuffer(got[name][i], kind).reshape(-1, dims).astype(float) for name in ("q_x", "v_x"))
                 codes, scalars = np.frombuffer(got["codes"][i], np.uint8).reshape(len(ids), -1), np.frombuffer(got["scalars"][i]).reshape(-1, 3)
                 at, found, score = search_block(queries, q_ids, x, ids, codes, scalars, mean, turn, k, epsilon)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": q_ids[at], "vec_id": found, "score": score}), preserve_index=False)

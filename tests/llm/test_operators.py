@@ -276,6 +276,37 @@ def test_ppm_is_a_probability_and_matches_a_plain_walk(spark):
     assert np.allclose(model.code_lengths(text, np.array([0, len(text)]))[0], want, rtol=1e-4)
 
 
+def plain_code_length(samples, text, order, least):
+    """Bits of ``text`` by escapes with exclusion, straight from counts of ``samples``."""
+    counts = collections.defaultdict(collections.Counter)
+    for sample in set(samples):
+        for i, byte in enumerate(sample):
+            for k in range(min(i, order) + 1):
+                counts[sample[i - k : i]][byte] += 1
+
+    def chances(context):
+        below = chances(context[1:]) if context else [1 / 256] * 256
+        seen = counts.get(context, {})
+        n, d = sum(seen.values()), len(seen)
+        if context and n < least:
+            return below
+        mass = sum(below[b] for b in range(256) if b not in seen)
+        if not mass:
+            return [seen.get(b, 0) / n for b in range(256)]
+        return [seen[b] / (n + d) if b in seen else d / (n + d) * below[b] / mass for b in range(256)]
+
+    return -sum(np.log2(chances(text[max(0, i - order) : i])[byte]) for i, byte in enumerate(text))
+
+
+def test_ppm_matches_plain_counts(spark):
+    samples = {"a": [b"abracadabra, abracadabra", b"a bra and a cad"], "b": [b"hokus pokus, fidibus", b"hokus pokus", b"hokus pokus"]}
+    rows = spark.createDataFrame([(t.decode(), k) for k, v in samples.items() for t in v], "text string, lang string")
+    model = langid.fit_ppm(rows, max_order=3, min_count=2)
+    for text in (b"abra", b"hokus", b"a pokus bra\xc3\xa9", b"zz", b"", b"us, a"):
+        want = [plain_code_length(v, text, 3, 2) for v in samples.values()]
+        assert np.allclose(model.code_lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], want, rtol=1e-4, atol=1e-4)
+
+
 def test_language_held_out(spark, docs):
     got = langid.op4_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
@@ -492,6 +523,46 @@ def test_mix_meets_targets_and_agrees(spark, docs):
     assert words == sum(r.taken for r in sums)
 
 
+def test_mix_of_overlapping_sources(spark):
+    rng = np.random.default_rng(41)
+    kinds = [["a"], ["a", "b"], ["b"], ["b", "c", None], ["a", "a"], [], None]
+    rows = [(i, "w " * int(rng.integers(0, 60)), kinds[int(rng.integers(len(kinds)))]) for i in range(300)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), F.col("sources")).toPandas()
+    pattern = {i: tuple(sorted(set(k), key=lambda x: (x is None, x or ""))) if k else () for i, _, k in rows}
+    sizes = collections.Counter()
+    for r in mixed.itertuples():
+        sizes[pattern[r.doc_id]] += r.size
+    sizes.pop((), None)
+    by_source = {s: sum(w for p, w in sizes.items() if s in p) for s in ("a", "b", "c", None)}
+    targets = mixing.capped_targets(by_source)
+    flow = mixing.min_cost_flow({p: sizes[p] for p in [("a",), ("a", "b"), ("b",), ("b", "c", None)]}, {s: round(t) for s, t in targets.items()})
+    taken = collections.Counter()
+    for r in mixed.itertuples():
+        taken[pattern[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 3 * r.size and (not pattern[r.doc_id] or r.target == targets[pattern[r.doc_id][0]])
+    assert {p: n for p, n in taken.items() if n} == {p: sum(f.values()) for p, f in flow.items() if sum(f.values())} and taken[()] == 0
+    for s, quota in targets.items():
+        assert sum(f.get(s, 0) for f in flow.values()) <= round(quota)
+
+
+def test_flow_is_cheapest_by_brute_force():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        patterns = {("a",): int(rng.integers(1, 4)), ("a", "b"): int(rng.integers(1, 4)), ("b",): int(rng.integers(1, 4))}
+        quotas = {"a": int(rng.integers(0, 9)), "b": int(rng.integers(0, 9))}
+        price = lambda words, n: sum(min(max(n - words * level, 0), words) * level for level in range(3))
+        best = None
+        for x in range(3 * patterns["a",] + 1):
+            for y in range(3 * patterns["b",] + 1):
+                for z in range(3 * patterns["a", "b"] + 1):
+                    for to_a in range(z + 1):
+                        if x + to_a <= quotas["a"] and y + z - to_a <= quotas["b"]:
+                            cost = price(patterns["a",], x) + price(patterns["b",], y) + price(patterns["a", "b"], z)
+                            best = max(best or (-1, 0), (x + y + z, -cost))
+        sent = {p: sum(f.values()) for p, f in mixing.min_cost_flow(patterns, quotas).items()}
+        assert (sum(sent.values()), -sum(price(patterns[p], n) for p, n in sent.items())) == best
+
+
 def test_mix_edges(spark, edges):
     got = mixing.mix(edges, F.array("source")).toPandas()
     assert len(got) == len(EDGES) and (got[got.text.isna() | (got.text == "")].taken == 0).all()
@@ -513,6 +584,37 @@ def test_quality_held_out(spark):
     assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
 
 
+def plain_features(text):
+    raw = text.encode()
+    share = lambda which: sum(b in which for b in raw) / max(len(raw), 1)
+    found, lines = re.findall(rb"[^ \t\r\x0b\x0c\n]+", raw), re.findall(rb"[^\n]+", raw)
+    pairs = list(zip(found[:-1], found[1:], strict=True))
+    kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", bytes(range(128, 256)), b"|", b"#%", b"&$", b"*", b"!", b".,"]
+    other = bytes(set(range(256)) - set(b"".join([*kinds, b"\n", b"abcdefghijklmnopqrstuvwxyz"])))
+    signs = sum(b in b"|#%&$*!" + other for b in raw)
+    n, m = max(len(found), 1), max(len(pairs), 1)
+    upper = lambda w: sum(65 <= b <= 90 for b in w) >= 2 and not any(97 <= b <= 122 for b in w)
+    return [
+        np.log1p(len(raw)), np.log1p(len(found)), np.log1p(len(lines)), *map(share, kinds), share(other), sum(map(len, found)) / n, sum(len(w) > 24 for w in found) / n, len(set(found)) / n,
+        sum(a == b for a, b in pairs) / m, len(set(pairs)) / m, len(set(lines)) / max(len(lines), 1), min(signs / n, 8), sum(map(upper, found)) / n,
+    ]
+
+
+def test_quality_features_and_threshold(docs):
+    import pyarrow as pa
+
+    texts = ["", " \n", "One, TWO two two!\nOne, TWO two two!\n\n", "日本 é | ## $ 12", "x" * 40, *(r.text for r in docs.limit(40).collect())]
+    got = quality.text_features(*common.utf8(pa.array(texts)))
+    assert np.allclose(got, [plain_features(t) for t in texts])
+    rng = np.random.default_rng(51)
+    x, y = rng.normal(size=(400, 3)), rng.integers(0, 2, 400)
+    x[:, 0] += y
+    model = quality.fit_bradley_terry(x, y, pairs=5000)
+    raw = np.clip((x - model.mean) / model.scale, -6, 6) @ model.weight
+    gain = lambda cut: (raw[y == 1] >= cut).mean() + (raw[y == 0] < cut).mean()
+    assert gain(model.threshold) == pytest.approx(max(gain(c) for c in raw)) and ((model.scores(x) >= model.cut) == (raw >= model.threshold)).all()
+
+
 def test_quality_edges(spark, edges):
     features = quality.with_features(edges)
     labels = spark.createDataFrame([(2, 0), (4, 1), (3, 0), (None, 1), (6, None)], "doc_id long, quality int")
@@ -548,9 +650,26 @@ def test_edits_equal_full_counts():
 
 def test_edit_work_is_local(spark, edges):
     made = F.array(F.struct(F.lit(70000).alias("start"), F.lit(1).alias("length"), F.lit("x").alias("insert")), F.lit(None))
-    got = edit_counts.count_after_edits(edges, made, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).toPandas()
+    tools = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    got = edit_counts.apply_edits(edit_counts.build_trees(edges, *tools), made, *tools).toPandas()
     assert len(got) == len(EDGES) and got.encoded_again.max() < 50
     assert got[got.doc_id == 6].chars_after.tolist() == [150000]
+    assert edit_counts.build_trees(edges.where("false"), *tools).count() == 0
+
+
+def test_kept_trees_are_edited_again(spark, docs):
+    tools = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    whole = edit_counts.Counter(*tools)
+    edit = lambda start, n, insert: F.array(F.struct(F.lit(start).alias("start"), F.lit(n).alias("length"), F.lit(insert).alias("insert")))
+    held = common.stored(edit_counts.build_trees(docs.select("doc_id", "text"), *tools), "trees")
+    for turn, made in enumerate((edit(100, 7, "  Some 12 new words, "), edit(20, 0, "x"), edit(90, 30, ""))):
+        held = common.stored(edit_counts.apply_edits(held, made, *tools), f"trees-{turn}")
+        rows = held.collect()
+        assert all(r.tokens_after == len(whole.encoding.encode_ordinary(r.text)) and r.chars_after == len(r.text) for r in rows)
+        assert all(r.encoded_again <= 120 for r in rows) and max(len(r.text) for r in rows) > 5000
+    # A tree of another text is built anew.
+    again = edit_counts.apply_edits(held.withColumn("text", F.concat("text", F.lit(" more"))), edit(0, 0, ""), *tools).collect()
+    assert all(r.tokens_after == len(whole.encoding.encode_ordinary(r.text)) and r.encoded_again >= len(r.text) for r in again)
 
 
 # Packing

@@ -8,9 +8,16 @@ pre-token ahead) until a boundary of the new text falls on one of the old, from
 where on both split alike; only what lies between is encoded again, and the
 sums above the touched blocks are updated.
 
+Trees are kept: ``build_trees`` gives each document its tree as a binary column,
+to be stored beside the text; ``apply_edits`` takes texts and trees, and returns
+them as they are after the edits, so that a later run starts from there and
+encodes no more than what its own edits touch.
+
 Nulls, ties, edges: a null text is an empty one; null edits, and null fields of
 an edit, are no edit, position 0, length 0 or no text. Positions and lengths are
-cut to the text as it is when the edit is made; edits apply in array order.
+cut to the text as it is when the edit is made; edits apply in array order. A
+null tree, or one of another number of characters than its text has, is built
+anew, which counts as encoded.
 Repeated rows are counted one by one. An empty table gives no rows. Columns
 named as an output are replaced.
 """
@@ -19,10 +26,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +80,33 @@ class TokenTree:
         pieces = counter.pattern.findall(text)
         self._build(list(map(len, pieces)), counter.counts(pieces))
 
+    @classmethod
+    def kept(cls, text: str, packed: bytes | None, counter: Counter) -> TokenTree:
+        """The tree of ``text`` as ``packed`` holds it; built anew where it doesn't."""
+        if packed:
+            numbers = np.frombuffer(zstandard.decompress(packed), np.uint32).tolist()
+            n = numbers[0]
+            ends = [0, *itertools.accumulate(numbers[1 : n + 1])]
+            chars, tokens = numbers[n + 1 : n + 1 + ends[-1]], numbers[n + 1 + ends[-1] :]
+            if sum(chars) == len(text):
+                tree = cls.__new__(cls)
+                tree.counter, tree.text, tree.encoded = counter, text, 0
+                tree._sum([(chars[a:b], tokens[a:b]) for a, b in itertools.pairwise(ends)])
+                return tree
+        tree = cls(text, counter)
+        tree.encoded = len(text)
+        return tree
+
+    def pack(self) -> bytes:
+        """The numbers of blocks and of their pre-tokens, then characters and tokens of all these."""
+        parts = [[len(self.blocks)], [len(c) for c, _ in self.blocks], *(c for c, _ in self.blocks), *(t for _, t in self.blocks)]
+        return zstandard.compress(np.array(list(itertools.chain(*parts)), np.uint32).tobytes(), 1)
+
     def _build(self, chars: list[int], tokens: list[int]) -> None:
-        self.blocks = [(chars[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
+        self._sum([(chars[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])])
+
+    def _sum(self, blocks: list[tuple[list[int], list[int]]]) -> None:
+        self.blocks = blocks
         self.width = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, (c, t) in enumerate(self.blocks):
@@ -157,34 +192,48 @@ class TokenTree:
 OUT = ("n_edits", "tokens_before", "tokens_after", "chars_after", "encoded_again")
 
 
-def count_after_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``tokens_before`` and ``tokens_after`` its edits, and ``encoded_again``, the characters that these made to be encoded.
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", to: str = "tree") -> DataFrame:
+    """``docs`` with the segment tree of each text as ``to``."""
+    prepare(docs.sparkSession)
+    rest = docs.drop(to)
+    schema = T.StructType([*rest.schema.fields, T.StructField(to, T.BinaryType())])
+    place = rest.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = counter(ranks_path, pattern)
+        for batch in batches:
+            trees = [TokenTree(value or "", tool).pack() for value in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, pa.binary())], names=schema.names)
+
+    return rest.mapInArrow(run, schema)
+
+
+def apply_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, text: str = "text", tree: str = "tree") -> DataFrame:
+    """``docs`` with ``text`` and ``tree`` as they are after the edits, ``tokens_before`` and ``tokens_after``, and ``encoded_again``, the characters that were encoded.
 
-    ``edits`` is an array of structs of ``start``, ``length``, ``insert``. The
-    edited text replaces ``text`` with ``keep_text``; otherwise it is left out.
+    ``edits`` is an array of structs of ``start``, ``length``, ``insert``.
     """
     prepare(docs.sparkSession)
-    rest = docs.drop(text, *OUT)
-    extra = [T.StructField(text, T.StringType())] * keep_text
-    schema = T.StructType([*rest.schema.fields, *extra, *(T.StructField(x, T.LongType()) for x in OUT)])
+    rest = docs.drop(text, tree, *OUT)
+    schema = T.StructType([*rest.schema.fields, T.StructField(text, T.StringType()), T.StructField(tree, T.BinaryType()), *(T.StructField(x, T.LongType()) for x in OUT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(ranks_path, pattern)
         for batch in batches:
-            rows, texts = [], []
-            for value, changes in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                tree = TokenTree(value or "", tool)
-                before = tree.total
+            rows, texts, trees = [], [], []
+            for value, packed, changes in zip(*(batch.column(batch.num_columns - i).to_pylist() for i in (3, 2, 1)), strict=True):
+                held = TokenTree.kept(value or "", packed, tool)
+                before = held.total
                 made = [x for x in changes or [] if x is not None]
                 for x in made:
-                    tree.edit(x["start"] or 0, x["length"] or 0, x["insert"] or "")
-                rows.append((len(made), before, tree.total, len(tree.text), tree.encoded))
-                if keep_text:
-                    texts.append(tree.text)
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(OUT)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *([pa.array(texts, pa.string())] if keep_text else []), *columns], names=schema.names)
+                    held.edit(x["start"] or 0, x["length"] or 0, x["insert"] or "")
+                rows.append((len(made), before, held.total, len(held.text), held.encoded))
+                texts.append(held.text)
+                trees.append(held.pack() if held.encoded or made else packed)
+            counts = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(OUT)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array(trees, pa.binary()), *counts], names=schema.names)
 
-    return docs.select(*rest.columns, F.col(text).alias("__text"), edits.alias("__edits")).mapInArrow(run, schema)
+    return docs.select(*rest.columns, F.col(text).alias("__text"), F.col(tree).alias("__tree"), edits.alias("__edits")).mapInArrow(run, schema)
 
 
 def derived_edits(key: Column, text: Column, source: Column) -> Column:
@@ -198,6 +247,6 @@ def op8_edit_counts(spark, sf_dir: str, ranks: str = "byte_bpe_50k.tiktoken") ->
     """Token counts of all ``documents`` before and after three edits each."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    edits = derived_edits(F.col("doc_id"), F.col("text"), F.col("source"))
-    return count_after_edits(docs.select("doc_id", "source", "text"), edits, public_tokenizers.path(ranks), public_tokenizers.PATTERN).drop("source")
+    tools = public_tokenizers.path(ranks), public_tokenizers.PATTERN
+    trees = build_trees(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), *tools)
+    return apply_edits(trees, derived_edits(F.col("doc_id"), F.col("text"), F.col("source")), *tools).select("doc_id", *OUT)

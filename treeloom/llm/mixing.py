@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import prepare
+from treeloom.llm.common import prepare, stored
 
 BUCKETS = 4096
 MAX_PATTERNS = 20_000
@@ -119,10 +119,12 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_repeats: int = 3
     return flow
 
 
-def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: int = 0, size: Column | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size`` and ``target`` (of its first source) and ``taken``, in words.
 
-    ``sources`` is an array of the sources a document belongs to. Patterns and
+    ``sources`` is an array of the sources a document belongs to, ``size`` its
+    words (counted in ``text`` by default; once, as what is planned on is written
+    and read again). Patterns and
     sources are few (at most ``MAX_PATTERNS``, else an error), so the flow is
     solved on the driver; all else is grouped and cumulated by Spark: running
     sums within a pattern go through ``BUCKETS`` hash ranges, so that a pattern
@@ -133,14 +135,17 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     order = F.xxhash64(F.col(key), F.lit(seed))
     sized = kept.withColumns({
         "__sources": F.array_sort(F.array_distinct(sources), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)),
-        "size": word_count(F.col(text)), "__order": order, "__tie": F.xxhash64(*[F.col(f.name) for f in kept.schema.fields if not isinstance(f.dataType, T.MapType)]),
+        "size": word_count(F.col(text)) if size is None else size.cast("long"), "__order": order, "__tie": F.xxhash64(*[F.col(f.name) for f in kept.schema.fields if not isinstance(f.dataType, T.MapType)]),
     }).withColumn("__bucket", F.shiftrightunsigned("__order", 52).cast("int"))
+    sized = stored(sized, "sized")
     cells = sized.groupBy("__sources", "__bucket").agg(F.sum("size").alias("words"))
     per_pattern = cells.groupBy("__sources").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(per_pattern) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    by_code = lambda s: (s is None, [] if s is None else [ord(c) for c in s])
     patterns = {tuple(r["__sources"]): int(r["words"] or 0) for r in per_pattern if r["__sources"]}
-    names = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, [] if s is None else [ord(c) for c in s]))
+    patterns = {p: patterns[p] for p in sorted(patterns, key=lambda p: list(map(by_code, p)))}  # of equally cheap flows always the same
+    names = sorted({s for p in patterns for s in p}, key=by_code)
     sizes = {s: sum(w for p, w in patterns.items() if s in p) for s in names}
     targets = capped_targets(sizes, weights, max_repeats)
     flow = min_cost_flow(patterns, {s: round(t) for s, t in targets.items()}, max_repeats)
@@ -176,5 +181,5 @@ def take(mixed: DataFrame, text: str = "text", columns: Sequence[str] = ()) -> D
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to the weights 1, 2, 3 of their sources."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    return mix(docs, F.array("source"), size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")

@@ -123,8 +123,8 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     """``docs`` with ``size``, ``source_size`` and ``target`` (of its first source) and ``taken``, in words.
 
     ``sources`` is an array of the sources a document belongs to, ``size`` its
-    words (counted in ``text`` by default; once, as what is planned on is written
-    and read again). Patterns and
+    words (counted in ``text`` by default). What is planned on is written and read
+    again: the sums, and the rows where they hold no texts. Patterns and
     sources are few (at most ``MAX_PATTERNS``, else an error), so the flow is
     solved on the driver; all else is grouped and cumulated by Spark: running
     sums within a pattern go through ``BUCKETS`` hash ranges, so that a pattern
@@ -137,8 +137,9 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
         "__sources": F.array_sort(F.array_distinct(sources), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)),
         "size": word_count(F.col(text)) if size is None else size.cast("long"), "__order": order, "__tie": F.xxhash64(*[F.col(f.name) for f in kept.schema.fields if not isinstance(f.dataType, T.MapType)]),
     }).withColumn("__bucket", F.shiftrightunsigned("__order", 52).cast("int"))
-    sized = stored(sized, "sized")
-    cells = sized.groupBy("__sources", "__bucket").agg(F.sum("size").alias("words"))
+    if text not in kept.columns:
+        sized = stored(sized, "sized")  # no copy of the texts
+    cells = stored(sized.groupBy("__sources", "__bucket").agg(F.sum("size").alias("words")), "cells")
     per_pattern = cells.groupBy("__sources").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(per_pattern) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")

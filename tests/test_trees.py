@@ -1,5 +1,6 @@
-"""Tree algebra against hand-made values, brute force and metamorphic properties."""
+"""Trees as node tables against plain recursion, hand-made values and brute force."""
 
+import json
 import random
 from functools import lru_cache
 
@@ -9,21 +10,31 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treeloom.functions import text as tx
-from treeloom.operators import tree_algebra as ta
-from treeloom.operators import trees
+from treeloom.operators import edit_distance as ed
+from treeloom.operators import evaluation, trees
+from treeloom.operators import node_tables as nt
 
 
 def node(kind, *children, text=""):
     return {"type": kind, "text": text, "children": list(children)}
 
 
+def walk(tree, depth=0):
+    yield depth, tree
+    for child in tree["children"]:
+        yield from walk(child, depth + 1)
+
+
+def listed(tree):
+    return [d for d, _ in walk(tree)], [n["type"] for _, n in walk(tree)]
+
+
 T1, T2, T3 = node("a", node("b", node("d")), node("c")), node("a", node("b"), node("c")), node("a", node("c"), node("b", node("e")))
 
 
-@pytest.mark.parametrize(("a", "b", "distance", "like"), [(T1, T1, 0, 1.0), (T1, T2, 1, 1 - 1 / 7), (T1, T3, 3, 0.625), (T2, T3, 3, 1 - 3 / 7)])
-def test_edit_distance_fixtures(a, b, distance, like):
-    assert ta.tree_edit_distance(a, b) == distance
-    assert ta.ted_similarity(a, b) == pytest.approx(like)
+@pytest.mark.parametrize(("a", "b", "distance"), [(T1, T1, 0), (T1, T2, 1), (T1, T3, 3), (T2, T3, 3)])
+def test_edit_distance_fixtures(a, b, distance):
+    assert ed.distance(listed(a), listed(b)) == distance
 
 
 def as_tuple(n):
@@ -38,11 +49,10 @@ def forest_distance(a, b):
     return min(forest_distance(a[:-1] + ca, b) + 1, forest_distance(a, b[:-1] + cb) + 1, forest_distance(a[:-1], b[:-1]) + forest_distance(ca, cb) + (ka != kb))
 
 
-def random_tree(seed, n):
-    rng = random.Random(seed)
-    made = [node(rng.choice("abc"))]
+def random_tree(rng, n, kinds="abc", texts=("",)):
+    made = [node(rng.choice(kinds), text=rng.choice(texts))]
     for _ in range(n - 1):
-        made.append(node(rng.choice("abc")))
+        made.append(node(rng.choice(kinds), text=rng.choice(texts)))
         rng.choice(made[:-1])["children"].append(made[-1])
     return made[0]
 
@@ -50,54 +60,138 @@ def random_tree(seed, n):
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 8), st.integers(1, 8))
 def test_edit_distance_brute_force(seed, n, m):
-    a, b = random_tree(seed, n), random_tree(seed + 1, m)
-    assert ta.tree_edit_distance(a, b) == forest_distance((as_tuple(a),), (as_tuple(b),)) == ta.tree_edit_distance(b, a)
-
-
-def test_missing_trees():
-    assert ta.ted_similarity(None, None) == 1.0
-    assert ta.ted_similarity(T1, None) == 0.0
-
-
-RULES = ta.Rules(aliases={"num": "number", "stmt": "statement"}, remove=frozenset({"comment", "public"}), skip=frozenset({"paren"}))
-
-
-def test_unify_renames_removes_and_compresses():
-    tree = node("program", node("stmt", node("num", text="1"), node(";", text=";"), text="1;"), node("comment", text="x"), node("paren", node("num", text="1"), node("num", text="2"), text="(1, 2)"), text="1; (1, 2)")
-    small = ta.unify(tree, RULES)
-    assert as_tuple(small) == ("program", (("number", ()), ("expression", (("number", ()), ("number", ())))))
-
-
-def test_unify_without_flags_is_the_tree():
-    assert as_tuple(ta.unify(T3, RULES, False, False, False)) == as_tuple(T3)
-
-
-def test_unify_limits():
-    deep = node("x")
-    for _ in range(60):
-        deep = node("x", deep, text="t")
-    assert ta.size(ta.unify(deep, RULES, compress=False)) == 51
-    assert ta.unify(node("x", *[node("y")] * 501), RULES) is None
-    assert len(ta.unify(node("x", *[node("y", text=str(i)) for i in range(400)]), RULES)["children"]) == 300
-
-
-def test_deepest_root():
-    inner = node("f", node("g"), node("h"))
-    got = ta.deepest_root(node("program", node("source_file", inner)))
-    assert got["type"] == "f" and got["meta"] == {"deepest_root_from": ["program", "source_file"]}
-
-
-def test_printers():
-    tree = node("call", node("name", text="f"), node("args", node("(", text="("), node("name", text="x")))
-    assert ta.s_expression(tree) == "(call (name f) (args (() (name x)))"
-    assert ta.indented(T1) == "a\n  b\n    d\n  c"
-    assert ta.leaf_paths(T1) == ["a>b>d", "a>c"]
-
-
-def test_names():
-    tree = node("block", node("identifier", text="total"), node("call", node("identifier", text="run"), text="run()"), node("identifier", text="return"))
-    variables, functions = ta.names(tree, frozenset({"identifier"}), frozenset({"call"}), frozenset({"return"}))
-    assert variables == {"total"} and functions == {"run"}
+    a, b = random_tree(random.Random(seed), n), random_tree(random.Random(seed + 1), m)
+    assert ed.distance(listed(a), listed(b)) == forest_distance((as_tuple(a),), (as_tuple(b),)) == ed.distance(listed(b), listed(a))
+
+
+def test_edit_similarity_of_missing_trees(spark):
+    kind = "array<struct<place: int, depth: int, type: string, text: string>>"
+    as_rows = lambda t: [(i, d, k, "") for i, (d, k) in enumerate(zip(*listed(t), strict=True))]
+    rows = [(1, None, None), (2, as_rows(T1), None), (3, as_rows(T1), as_rows(T2)), (4, as_rows(T1), as_rows(T3)), (5, [], None)]
+    got = {r.k: (r.distance, r.similarity) for r in ed.edit_similarity(spark.createDataFrame(rows, f"k int, a {kind}, b {kind}"), "k", "a", "b").collect()}
+    assert got == {1: (None, 1.0), 2: (None, 0.0), 3: (1, pytest.approx(1 - 1 / 7)), 4: (3, 0.625), 5: (None, 1.0)}
+
+
+RULES = nt.Rules(aliases={"num": "number", "stmt": "statement"}, remove=("comment", "public"), skip=("paren", "group"))
+
+
+def plain_unify(tree, rules, compress=True):
+    """The rules of unification on one tree, from the leaves up: a list of no or one tree."""
+    kind = rules.aliases.get(tree["type"].lower(), tree["type"].lower())
+    text = tree["text"].translate({36: None, 64: None}).strip(";").strip()
+    below = [x for c in tree["children"] for x in plain_unify(c, rules, compress)]
+    bare = lambda t: "".join(x for x in t if x not in " ()").rstrip(";")
+    if compress:
+        if kind in rules.remove or text.lower() in rules.remove:
+            return []
+        if len(below) == 1 and (bare(text) == bare(below[0]["text"]) and kind not in nt.ROOTS or tree["type"] in rules.skip):
+            return below
+        if not below and (tree["type"] in nt.PUNCTUATION and text in ("", tree["type"]) or not text and not kind):
+            return []
+        if below and tree["type"] in rules.skip:
+            kind = "expression"
+    return [node(kind, *below, text=text)]
+
+
+def plain_print(tree):
+    inner = [plain_print(c) for c in tree["children"]] or ([tree["text"]] if tree["text"] and tree["text"] not in nt.PUNCTUATION else [])
+    return "(" + " ".join([tree["type"], *inner]) + ")"
+
+
+def many_trees(n):
+    rng = random.Random(5)
+    kinds, texts = ["num", "stmt", "paren", "group", "comment", "(", ";", "", "program", "x"], ["", "", "1", "(1)", "1;", "$1", "public", "a b", ";"]
+    made = [random_tree(rng, rng.choice([1, 2, 5, 12, 40]), kinds, texts) for _ in range(n)]
+    deep = node("x", text="end")
+    for i in range(200):
+        deep = node(rng.choice(["x", "paren"]), deep, text=f"t{i}")
+    return [*made, deep]
+
+
+@pytest.fixture(scope="module")
+def read(spark):
+    made = many_trees(150)
+    rows = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(made)], "k long, t string")
+    return made, nt.read_nodes(rows, "k", "t", "json").cache()
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_unify_and_print_equal_plain_recursion(read, compress):
+    made, nodes = read
+    small = nt.unify(nodes, "k", RULES, compress=compress)
+    got = {r.k: r.s_expression for r in nt.s_expressions(small, "k").collect()}
+    want = {i: plain_print(x[0]) for i, t in enumerate(made) if (x := plain_unify(t, RULES, compress))}
+    assert got == want
+    lines = {r.k: r.indented for r in nt.indented(small, "k").collect()}
+    assert lines == {i: "\n".join("  " * d + n["type"] for d, n in walk(plain_unify(made[i], RULES, compress)[0])) for i in want}
+
+
+def test_unify_without_flags_is_the_tree(read):
+    made, nodes = read
+    got = nt.unify(nodes, "k", RULES, False, False, False).orderBy("k", "node_id").collect()
+    assert [(r.k, r.depth, r.type, r.leaf) for r in got] == [(i, d, n["type"], not n["children"]) for i, t in enumerate(made) for d, n in walk(t)]
+
+
+def test_limits_leave_out_nothing_unless_asked(spark):
+    deep = node("x", text="0")
+    for i in range(60):
+        deep = node("x", deep, text=str(i + 1))
+    rows = [(1, json.dumps(deep)), (2, json.dumps(node("x", *[node("y", text=str(i)) for i in range(501)])))]
+    nodes = nt.read_nodes(spark.createDataFrame(rows, "k long, t string"), "k", "t", "json")
+    count = lambda **limits: {r.k: r["count"] for r in nt.unify(nodes, "k", nt.Rules(), **limits).groupBy("k").count().collect()}
+    assert count() == {1: 61, 2: 502}
+    assert count(max_depth=50) == {1: 51, 2: 502} and count(max_children=500) == {1: 61} and count(first_children=300) == {1: 61, 2: 301}
+
+
+def test_deepest_root(spark):
+    rows = [(1, json.dumps(node("program", node("source_file", node("f", node("g"), node("h")))))), (2, json.dumps(node("program", node("f"), node("g")))), (3, json.dumps(node("program")))]
+    nodes = nt.read_nodes(spark.createDataFrame(rows, "k long, t string"), "k", "t", "json")
+    got = nt.deepest_root(nt.unify(nodes, "k", nt.Rules(), compress=False), "k")
+    assert {(r.k, r.wrapped, r.s_expression) for r in nt.s_expressions(got, "k").join(got.select("k", "wrapped").distinct(), "k").collect()} == {(1, 2, "(f (g) (h))"), (2, 0, "(program (f) (g))"), (3, 0, "(program)")}
+
+
+def test_paths_and_features_equal_those_of_flat_trees(spark, read):
+    made, nodes = read
+    want = {}
+    for i, t in enumerate(made):
+        stack = []
+        for d, n in walk(t):
+            stack = [*stack[:d], n["type"]]
+            if not n["children"]:
+                want[i, ">".join(stack)] = want.get((i, ">".join(stack)), 0) + 1
+    assert {(r.k, r.path): r.n for r in nt.label_paths(nodes, "k").collect()} == want
+    docs = spark.createDataFrame([(1, "one two, 3\nfour\n\n5 six!"), (2, "a")], "doc_id long, text string")
+    flat = trees.nodes(trees.leaves(docs))
+    place = F.struct("path").alias("node_id")
+    any_depth = flat.select("doc_id", place, "depth", "type", "text", "n_children")
+    pick = lambda d: sorted(map(tuple, d.select("doc_id", "feature", "n").collect()))
+    assert pick(nt.structural_features(any_depth, "doc_id")) == pick(trees.structural_features(trees.leaves(docs)))
+
+
+def test_read_nodes_of_pages(spark):
+    rows = [(1, "<p>a<p>b<br></div><ul><li>c</ul><![if x]>d"), (2, ""), (3, None)]
+    got = nt.read_nodes(spark.createDataFrame(rows, "k long, t string"), "k", "t", "html").orderBy("k", "node_id").collect()
+    want = [("document", 0, -1, 9, 2), ("p", 1, 0, 2, 1), ("#text", 2, 1, 2, 0), ("p", 1, 0, 9, 4), ("#text", 2, 3, 4, 0), ("br", 2, 3, 5, 0), ("ul", 2, 3, 8, 1), ("li", 3, 6, 8, 1), ("#text", 4, 7, 8, 0), ("#text", 2, 3, 9, 0)]
+    assert [(r.type, r.depth, r.parent_id, r.last_id, r.n_children) for r in got if r.k == 1] == want
+    assert [r.type for r in got if r.k != 1] == ["document", "document"]
+    assert nt.read_nodes(spark.createDataFrame([(1, "[1]"), (2, "{"), (3, None)], "k long, t string"), "k", "t", "json").count() == 0
+
+
+def test_completeness(spark):
+    trees_of = lambda t: nt.read_nodes(spark.createDataFrame([(1, json.dumps(t))], "k long, t string"), "k", "t", "json")
+    groups, aliases = {"A": ("x", "y"), "B": ("z", "x"), "C": ("w",)}, {"yy": "y"}
+    had = nt.categories(trees_of(node("yy", node("Z "), node("other"), node("t", text="12"))), "k", groups, aliases, {"C": F.col("text").rlike("^[0-9]+$")})
+    left = nt.categories(trees_of(node("z")), "k", groups, aliases)
+    assert [(r.found, r.strange) for r in had.collect()] == [(["A", "B", "C"], 1)]
+    got = nt.completeness(had, left, "k", {"all": "ABC", "core": "AC", "none": "D"}).head()
+    assert (got.pec_all, got.pec_core, got.pec_none, got.lost_all, got.loss_core) == (0.3333, 0.0, 1.0, "A,C", 1.0)
+
+
+@pytest.mark.parametrize("width", [4, 1024])
+def test_next_in_order_over_many_ranges(spark, width):
+    values = sorted(random.Random(3).sample(range(-5000, 5000), 700))
+    got = {r.v: r.next for r in evaluation.next_in_order(spark.createDataFrame([(v,) for v in values], "v long"), "v", width).collect()}
+    assert got == dict(zip(values, values[1:] + values[:1], strict=True))
 
 
 def test_unit_float_fixtures(spark):
@@ -121,19 +215,9 @@ def test_flatten_json(spark):
     assert got == [(0, -1, "", "a", 2), (1, 0, "0000", "b", 0), (2, 0, "0001", "c", 0)]
 
 
-def test_flows():
-    tree = node("block", node("return", node("variable", text="z")), node("parameter", text="x int"), node("variable", text="int"), node("variable", text="y"))
-    assert ta.return_flows(tree) == {("x", "z"), ("y", "z")}
-    inner = node("function", node("expression", node("variable", text="b")), node("parameter", text="a"))
-    assert ta.live_flows(inner) == set()
-    assert ta.live_flows(node("function", node("block", node("expression", node("variable", text="b"))), node("parameter", text="a"))) == {("a", "b")}
-    assert ta.edge_scores({("a", "b"), ("a", "c")}, {("a", "b")}) == (1.0, 0.5, pytest.approx(2 / 3))
-    assert ta.edge_scores(set(), set()) == (0.0, 0.0, 0.0)
-
-
 def test_stage_ablation_has_similarity_and_completeness(spark):
     from treeloom.plans import algebra_queries
 
     got = {r.variant: r for r in algebra_queries.stage_ablation(spark, "/root/testdata/sf0.001").collect()}
-    assert got["none"].similarity == got["none"].pec == got["types"].pec == 1
-    assert all(0 < r.similarity <= 1 and 0 < r.pec <= 1 for r in got.values()) and got["all"].similarity < 1
+    assert got["none"].similarity == got["none"].pec_all == got["types"].pec_all == 1
+    assert all(0 < r.similarity <= 1 and 0 < r.pec_core <= 1 for r in got.values()) and got["all"].similarity < 1

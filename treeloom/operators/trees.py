@@ -22,7 +22,6 @@ from treeloom.functions import text as tx
 # Leaf types and their canonical names; punctuation is removed.
 CANONICAL = {"word": "identifier", "mixed": "identifier", "number": "literal"}
 REMOVED = ("punct",)
-MAX_DEPTH = 50
 
 
 def leaf_type(text: Column) -> Column:
@@ -97,11 +96,11 @@ def bag_similarity(a: DataFrame, b: DataFrame, on: Sequence[str], label: str) ->
     return both.groupBy(*on).agg((F.sum(F.least("na", "nb")) / F.sum(F.greatest("na", "nb"))).alias("bag_similarity"))
 
 
-def flatten_json(trees: DataFrame, key: str, tree: str) -> DataFrame:
+def flatten_json(trees: DataFrame, key: str, tree: str, max_depth: int | None = None) -> DataFrame:
     """Rows of nodes of JSON trees ``{type, text, children}``: ``node_id`` in pre-order, ``parent_id``, ``pos``, ``depth``, ``path``, ``type``, ``text``, ``n_children``.
 
     A text that is no JSON object, or null, gives no rows. Nodes deeper than
-    ``MAX_DEPTH`` are left out.
+    ``max_depth`` are left out, by default none.
     """
     kind = trees.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, node_id int, parent_id int, pos int, depth int, path string, type string, text string, n_children int"
@@ -121,7 +120,7 @@ def flatten_json(trees: DataFrame, key: str, tree: str) -> DataFrame:
                 stack, number = [(root, -1, 0, 0, "")], 0
                 while stack:
                     node, parent, pos, depth, path = stack.pop()
-                    children = [c for c in node.get("children") or [] if isinstance(c, dict)] if depth < MAX_DEPTH else []
+                    children = [c for c in node.get("children") or [] if isinstance(c, dict)] if max_depth is None or depth < max_depth else []
                     for column, v in zip(out, (number, parent, pos, depth, path, str(node.get("type", "")), str(node.get("text") or ""), len(children)), strict=True):
                         column.append(v)
                     owner.append(i)

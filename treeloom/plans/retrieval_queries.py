@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from treeloom.operators import evaluation as ev
 from treeloom.operators import vectors as vec
 from treeloom.plans.common import Queries
-from treeloom.sources.tables import table
+from treeloom.sources.tables import kept, table
 
 found = Queries()
 
@@ -36,10 +36,16 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, doc_id, score, rank, best_rank FROM ranked WHERE rank <= 5"""
 
 
+def _weights(texts: DataFrame, keys: list[str], sizes: tuple[int, ...], sublinear: bool = False) -> DataFrame:
+    """TF-IDF weights of ``text``. Terms are counted once and weighed once: both tables are read for several ends."""
+    counts = kept(vec.term_counts(texts, keys, F.col("text"), sizes), "terms")
+    return kept(vec.tfidf(counts, texts.agg(F.count("*").alias("n")), keys, sublinear), "weights")
+
+
 def _benchmark_scores(spark: SparkSession, folder: str, sizes: tuple[int, ...], sublinear: bool) -> DataFrame:
     items, docs = table(spark, folder, "benchmark"), table(spark, folder, "documents")
     both = items.select(F.lit("q").alias("side"), F.col("item_id").alias("id"), "text").unionByName(docs.select(F.lit("t").alias("side"), F.col("doc_id").alias("id"), "text"))
-    weights = vec.tfidf(vec.term_counts(both, ["side", "id"], F.col("text"), sizes), both.agg(F.count("*").alias("n")), ["side", "id"], sublinear)
+    weights = _weights(both, ["side", "id"], sizes, sublinear)
     side = lambda s, name: weights.where(F.col("side") == s).select(F.col("id").alias(name), "term", "weight")
     return vec.cosine_scores(side("q", "query_id"), side("t", "doc_id"), "query_id", "doc_id").withColumn("score", F.round("score", 6))
 
@@ -64,10 +70,10 @@ _SEARCH = """scored AS (SELECT a.id AS query_id, b.id AS target_id, round(sum(a.
 def _search(spark: SparkSession, folder: str) -> DataFrame:
     """Cosines over pairs of words of the documents whose id is divisible by 100 with all others."""
     docs = table(spark, folder, "documents")
-    weights = vec.tfidf(vec.term_counts(docs, ["doc_id"], F.col("text"), (2,)), docs.agg(F.count("*").alias("n")), ["doc_id"])
+    weights = _weights(docs.select("doc_id", "text"), ["doc_id"], (2,))
     queries = weights.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     scores = vec.cosine_scores(queries, weights.withColumnRenamed("doc_id", "target_id"), "query_id", "target_id")
-    return scores.where("query_id <> target_id").withColumn("score", F.round("score", 6))
+    return kept(scores.where("query_id <> target_id").withColumn("score", F.round("score", 6)), "scores")
 
 
 @found.add(f"""WITH {_DOCS_SIDES}, {_terms_sql('both_sides', 'only')}, {_weights_sql()}, {_SEARCH},
@@ -120,7 +126,7 @@ def _examples(spark: SparkSession, folder: str) -> DataFrame:
     """Aligned pairs as positives, pairs with the next pair's reply as negatives, with their cosine: only the terms of a pair meet, never all pairs."""
     pairs = _aligned(spark, folder)
     sides = pairs.select(F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left_text").alias("text")), F.struct(F.lit("r").alias("side"), F.col("right_text").alias("text")))).alias("x"), F.col("pair_id").alias("id")).select("x.*", "id")
-    weights = vec.tfidf(vec.term_counts(sides, ["side", "id"], F.col("text")), sides.agg(F.count("*").alias("n")), ["side", "id"])
+    weights = _weights(sides, ["side", "id"], (1,))
     shifted = ev.next_in_order(pairs.select("pair_id"), "pair_id")
     examples = pairs.select("pair_id", F.col("pair_id").alias("other"), F.lit(1).alias("label")).unionByName(shifted.select("pair_id", F.col("next").alias("other"), F.lit(0).alias("label")))
     a = weights.where("side = 'l'").select(F.col("id").alias("pair_id"), "term", F.col("weight").alias("wa"))
@@ -152,9 +158,10 @@ SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGI
 def clone_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """A threshold chosen on seven tenths of the examples, tested on the rest."""
     part = F.conv(F.substring(F.md5(F.concat(F.col("pair_id").cast("string"), F.lit("|"), F.col("label").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rows = _examples(spark, folder).withColumns({"calibration": part < 0.7, "all_rows": F.lit(1)}).persist()  # read for the threshold, the counts and the curves
+    rows = kept(_examples(spark, folder).withColumns({"calibration": part < 0.7, "all_rows": F.lit(1)}), "examples")  # read for the threshold, the counts and the curves
     cut = ev.youden_threshold(rows.where("calibration"), ["all_rows"])
-    test = rows.where("NOT calibration").join(F.broadcast(cut), "all_rows")  # one row
+    cut = kept(cut, "threshold")
+    test = kept(rows.where("NOT calibration").join(F.broadcast(cut), "all_rows"), "test")  # one row
     return ev.binary_metrics(test, ["all_rows"], F.col("score") >= F.col("threshold")).join(ev.ranking_metrics(test, ["all_rows"]), "all_rows").join(cut, "all_rows").drop("all_rows")
 
 

@@ -27,3 +27,12 @@ def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, c
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Rows of each window and value of ``by``; rows later than ``delay`` are dropped by the engine."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+
+
+def collect_windows(counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Write all windows that change in a batch as Parquet, with the batch's number; the last one of a window holds. A batch that is run again replaces its own rows."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

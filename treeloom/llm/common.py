@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from treeloom.sources.tables import kept as stored
+from treeloom.sources.tables import shared_dir
+
+__all__ = ["mix64", "prepare", "shared_dir", "span_hashes", "stored", "utf8", "words"]
 
 ARROW_ROWS = 256
 
@@ -19,23 +21,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="treeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: later stages, and retries after lost executors, start from it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as its bytes and the n + 1 offsets of its rows in them; a null is an empty text."""
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32

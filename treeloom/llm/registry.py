@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeloom.llm.alignment import op13_alignment
 from treeloom.llm.ann import OP1_SQL, op1_ann
 from treeloom.llm.audio_prints import op2_audio_prints
 from treeloom.llm.edit_counts import op8_edit_counts
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_edit_counts": op8_edit_counts,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
+        "op13_alignment": op13_alignment,
     }
 
 

@@ -12,6 +12,7 @@ from treeloom.llm.audio_prints import op2_audio_prints
 from treeloom.llm.edit_counts import op8_edit_counts
 from treeloom.llm.html_text import op10_html_text
 from treeloom.llm.langid import op4_language_id
+from treeloom.llm.metric_search import OP12_SQL, op12_exact_topk
 from treeloom.llm.mixing import op6_mixing
 from treeloom.llm.near_dedup import op5_near_dedup
 from treeloom.llm.packing import op9_packing
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_edit_counts": op8_edit_counts,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
+        "op12_exact_topk": op12_exact_topk,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1_SQL, "op3_sharding": OP3_SQL}
+    return {"op1_ann": OP1_SQL, "op3_sharding": OP3_SQL, "op12_exact_topk": OP12_SQL}

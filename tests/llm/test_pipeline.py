@@ -17,7 +17,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in registry.queries()}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in registry.queries()}
     assert "pipeline" in entry.queries()
 
 

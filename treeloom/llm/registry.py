@@ -18,6 +18,7 @@ from treeloom.llm.near_dedup import op5_near_dedup
 from treeloom.llm.packing import op9_packing
 from treeloom.llm.quality import op7_quality
 from treeloom.llm.sharding import OP3_SQL, op3_sharding
+from treeloom.llm.turn_repair import op11_turn_repair
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_edit_counts": op8_edit_counts,
         "op9_packing": op9_packing,
         "op10_html_text": op10_html_text,
+        "op11_turn_repair": op11_turn_repair,
         "op12_exact_topk": op12_exact_topk,
         "op13_alignment": op13_alignment,
     }

@@ -45,10 +45,10 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.common import prepare, span_hashes, stored, utf8
 
-PIECE = 1 << 20  # merge steps of a piece, at most
+PIECE = 1 << 19  # merge steps of a piece, at most
 FREQUENT = 1 << 17
-BATCH_BYTES = 4 << 20
-CACHE = 1 << 20
+BATCH_BYTES = 1 << 20
+CACHE = 1 << 19
 
 _WS = np.zeros(256, bool)
 _WS[[*range(9, 14), *range(28, 33)]] = True
@@ -151,7 +151,10 @@ class PairTokenizer:
         if len(data) == 0:
             return none, none
         starts, ends = stretches(data, offsets)
-        keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # Hashes are made for about a batch of bytes at a time, as one text may be long.
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), BATCH_BYTES)))
+        hashes = [span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in zip(cuts, [*cuts[1:], len(starts)], strict=True) if i < j]
+        keys, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.limit or max(map(len, self.pool)) > 8 * self.limit:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -339,27 +342,31 @@ def tokenized(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, pi
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Keys and texts (bytes and offsets) of about ``most`` bytes, each filled text behind a space."""
-    keys: list[pa.Array] = []
-    parts: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    held = 0
+    """Keys and texts (bytes and offsets) of at most ``most`` bytes, or of one text, each filled text behind a space."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        keys, parts, sizes = zip(*held, strict=True)
+        return pa.concat_arrays(keys), np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        size = np.diff(offsets)
-        filled = size > 0
-        spaced = np.full(len(data) + int(filled.sum()), 32, np.uint8)
-        moved = np.repeat(np.cumsum(filled), size)
-        spaced[np.arange(len(data)) + moved] = data
-        keys.append(batch.column(0))
-        parts.append(spaced)
-        sizes.append(size + filled)
-        held += len(spaced)
-        if held >= most:
-            yield pa.concat_arrays(keys), np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            keys, parts, sizes, held = [], [], [], 0
-    if keys:
-        yield pa.concat_arrays(keys), np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most - size, "right")) - 1)
+            hi = min(hi, batch.num_rows)
+            sizes = np.diff(offsets[lo : hi + 1])
+            filled = sizes > 0
+            spaced = np.full(int(offsets[hi] - offsets[lo] + filled.sum()), 32, np.uint8)
+            spaced[np.arange(offsets[hi] - offsets[lo]) + np.repeat(np.cumsum(filled), sizes)] = data[offsets[lo] : offsets[hi]]
+            held.append((batch.column(0).slice(lo, hi - lo), spaced, sizes + filled))
+            size, lo = size + len(spaced), hi
+            if size >= most or lo < batch.num_rows:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
 def _merged(batch: pa.RecordBatch, i: int, tokenizer: PairTokenizer) -> Merged:

@@ -162,12 +162,25 @@ def test_paths_and_features_equal_those_of_flat_trees(spark, read):
     assert {(r.k, r.path): r.n for r in nt.label_paths(nodes, "k").collect()} == want
     docs = spark.createDataFrame([(1, "one two, 3\nfour\n\n5 six!"), (2, "a")], "doc_id long, text string")
     flat = trees.nodes(trees.leaves(docs))
-    place = F.struct("path").alias("node_id")
-    any_depth = flat.select("doc_id", place, "depth", "type", "text", "n_children")
+    any_depth = flat.select("doc_id", F.col("path").alias("node_id"), "depth", "type", "text", "n_children")
     pick = lambda d: sorted(map(tuple, d.select("doc_id", "feature", "n").collect()))
     assert pick(nt.structural_features(any_depth, "doc_id")) == pick(trees.structural_features(trees.leaves(docs)))
 
 
+def test_trees_of_equal_keys_stay_apart(spark):
+    page = json.dumps(node("a", node("b", node("c")), node("d")))
+    nodes = nt.read_nodes(spark.createDataFrame([(1, page), (1, page)], "k long, t string"), "k", "t", "json")
+    got = nt.indented(nt.unify(nodes, "tree", nt.Rules(), compress=False), "tree").collect()
+    assert [(r.tree.key, r.indented) for r in got] == [(1, "a\n  b\n    c\n  d")] * 2
+
+
+def test_deep_pages_take_linear_time(spark):
+    deep = "<div>" * 30000 + "x"
+    nodes = nt.read_nodes(spark.createDataFrame([(1, deep)], "k long, t string"), "k", "t", "html")
+    assert nodes.where("last_id = 30001").count() == 30002
+    assert nt.placed(nodes, "k").where("size(types) = 7").count() == 29996
+
+
 def test_read_nodes_of_pages(spark):
     rows = [(1, "<p>a<p>b<br></div><ul><li>c</ul><![if x]>d"), (2, ""), (3, None)]
     got = nt.read_nodes(spark.createDataFrame(rows, "k long, t string"), "k", "t", "html").orderBy("k", "node_id").collect()

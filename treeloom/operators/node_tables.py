@@ -11,13 +11,16 @@ whatever its depth. Only reading a source is done row by row.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeloom.functions import text as tx
 from treeloom.operators import trees
@@ -29,6 +32,15 @@ PUNCTUATION = tuple("\" ' < > ( ) { } [ ] , . : ; ... =".split())
 _COLUMNS = {"node_id": pa.int32(), "last_id": pa.int32(), "parent_id": pa.int32(), "pos": pa.int32(), "depth": pa.int32(), "type": pa.string(), "text": pa.string(), "n_children": pa.int32()}
 
 
+_MASK = (1 << 64) - 1
+
+
+@lru_cache(1 << 14)
+def _text_hash(text: str | None) -> int:
+    raw = (text or "").encode()
+    return zlib.crc32(raw) << 32 | zlib.adler32(raw)
+
+
 @dataclass(frozen=True)
 class Rules:
     """What unification renames (``aliases``), removes with all below (types or lower-cased texts) and skips (types)."""
@@ -92,7 +104,9 @@ READERS = {"html": _html, "json": _json}
 def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
     """The nodes of the trees that ``source`` holds as ``kind`` (``html`` or ``json`` of ``{type, text, children}``).
 
-    An empty or null page is a root alone; what is no JSON object gives no rows.
+    ``tree`` (the key and the row's number) tells trees of equal keys apart; the
+    operators below take it, or the key where it is unique, as their ``key``. An
+    empty or null page is a root alone; what is no JSON object gives no rows.
     """
     reader = READERS[kind]
 
@@ -100,9 +114,11 @@ def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
         for batch in batches:
             owner: list[int] = []
             out: dict[str, list] = {name: [] for name in _COLUMNS}
-            for at, value in enumerate(batch.column(1).to_pylist()):
-                base, above = len(owner), []
+            for at, value in enumerate(batch.column(2).to_pylist()):
+                base, above, i = len(owner), [], -1
                 for i, (depth, name, text) in enumerate(reader(value)):
+                    for closed in above[depth:]:
+                        out["last_id"][base + closed] = i - 1
                     del above[depth:]
                     up = above[-1] if above else -1
                     owner.append(at)
@@ -110,13 +126,16 @@ def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
                         column.append(x)
                     if above:
                         out["n_children"][base + up] += 1
-                    for a in above:
-                        out["last_id"][base + a] = i
                     above.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(v, _COLUMNS[k]) for k, v in out.items())], names=[key, *_COLUMNS])
+                for closed in above:
+                    out["last_id"][base + closed] = i
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, _COLUMNS[k]) for k, v in out.items())], names=[key, "tree", *_COLUMNS])
 
+    kind_of = rows.schema[key].dataType.simpleString()
     schema = ", ".join(f"{k} {'string' if t == pa.string() else 'int'}" for k, t in _COLUMNS.items())
-    return rows.select(key, source).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}")
+    numbered = rows.select(key, F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("tree"), source)
+    return numbered.mapInArrow(run, f"{key} {kind_of}, tree struct<key: {kind_of}, row: bigint>, {schema}")
 
 
 def _within(rows: DataFrame, key: str) -> DataFrame:
@@ -203,34 +222,67 @@ def sequences(nodes: DataFrame, key: str, order: str = "node_id", to: str = "nod
     return nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), "depth", "type", "text"))).alias(to))
 
 
-def contexts(nodes: DataFrame, key: str) -> DataFrame:
-    """``nodes`` with ``types``, those from the root down to the node; one pass over each tree's sequence with a stack."""
-    seq = sequences(nodes, key)
-    kind = "struct<stack: array<string>, out: array<array<string>>>"
-    step = lambda acc, x: F.struct(F.concat(F.slice(acc["stack"], 1, x["depth"]), F.array(x["type"])).alias("stack"), F.concat(acc["out"], F.array(F.concat(F.slice(acc["stack"], 1, x["depth"]), F.array(x["type"])))).alias("out"))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<array<string>>").alias("out")).cast(kind)
-    both = seq.withColumn("__types", F.aggregate("nodes", start, step, lambda acc: acc["out"]))
-    zipped = F.explode(F.arrays_zip("nodes", "__types"))
-    found = both.select(key, zipped.alias("x")).select(key, F.col("x.nodes.place").alias("node_id"), F.col("x.__types").alias("types"))
-    return nodes.join(found, [key, "node_id"])
-
+def placed(nodes: DataFrame, key: str, order: str = "node_id", last: int = 7, whole: bool = False) -> DataFrame:
+    """``nodes`` with ``types`` (the ``last`` ones from above down to the node), ``place`` and ``line``, hashes of its places and of its types from the root.
 
-def label_paths(nodes: DataFrame, key: str, glue: str = ">") -> DataFrame:
-    """Distinct paths of types from the root to each leaf, with their numbers ``n``."""
+    With ``whole``, also ``label_path`` of leaves (all types, joined by ``>``) and
+    ``index_path`` (places below the root as a tuple is written, ``(0, 1)``). A
+    task reads its trees in pre-order and holds what is above one node.
+    """
+    extra = {"types": pa.list_(pa.string()), "place": pa.int64(), "line": pa.int64()} | ({"label_path": pa.string(), "index_path": pa.string()} if whole else {})
     leaf = F.col("leaf") if "leaf" in nodes.columns else F.col("n_children") == 0
-    return contexts(nodes, key).where(leaf).groupBy(key, F.array_join("types", glue).alias("path")).agg(F.count("*").alias("n"))
-
+    sorted_ = nodes.withColumn("__leaf", leaf).repartition(key).sortWithinPartitions(key, order)
 
-def structural_features(nodes: DataFrame, key: str, last: int = 7) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, types, places, below = None, [], [], []
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in extra}
+            for k, depth, kind, is_leaf in zip(*(batch.column(c).to_pylist() for c in (key, "depth", "type", "__leaf")), strict=True):
+                if k != tree or depth == 0:
+                    tree, types, places, below = k, [], [], []
+                del types[depth:], places[depth:], below[depth + 1 :]
+                pos = 0
+                if depth:
+                    pos = below[depth] if len(below) > depth else 0
+                    below[depth:] = [pos + 1]
+                else:
+                    below = [1]
+                types.append(kind)
+                up_place, up_line = places[-1] if places else (17, 17)
+                places.append(((up_place * 0x9E3779B97F4A7C15 + pos + 1 & _MASK) * 0xBF58476D1CE4E5B9 & _MASK, (up_line * 0x9E3779B97F4A7C15 + _text_hash(kind) & _MASK) * 0x94D049BB133111EB & _MASK))
+                out["types"].append(types[-last:])
+                for name, h in zip(("place", "line"), places[-1], strict=True):
+                    h ^= h >> 31
+                    out[name].append(h - (1 << 64) if h >> 63 else h)
+                if whole:
+                    steps = [n - 1 for n in below[1 : depth + 1]]
+                    out["label_path"].append(">".join(types) if is_leaf else None)
+                    out["index_path"].append(str(tuple(steps)))
+            keep = [c for c in batch.schema.names if c != "__leaf"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, extra[k]) for k, v in out.items())], names=[*keep, *extra])
+
+    kinds = {"types": T.ArrayType(T.StringType()), "place": T.LongType(), "line": T.LongType(), "label_path": T.StringType(), "index_path": T.StringType()}
+    schema = T.StructType([f for f in nodes.schema.fields if f.name not in extra])
+    for name in extra:
+        schema = schema.add(name, kinds[name])
+    return sorted_.drop(*extra).mapInArrow(run, schema)
+
+
+def label_paths(nodes: DataFrame, key: str) -> DataFrame:
+    """Distinct paths of types from the root to each leaf, joined by ``>``, with their numbers ``n``."""
+    return placed(nodes, key, whole=True).where("label_path IS NOT NULL").groupBy(key, F.col("label_path").alias("path")).agg(F.count("*").alias("n"))
+
+
+def structural_features(nodes: DataFrame, key: str, last: int = 7, order: str = "node_id") -> DataFrame:
     """Features of all nodes with their counts: type, depth, arity, edge, and for leaves the path of the ``last`` types."""
     kind = lambda c: tx.normalize_token(c)
     own, depth, arity = kind(F.col("type")), F.least("depth", F.lit(8)).cast("string"), F.least("n_children", F.lit(8)).cast("string")
-    path = F.array_join(F.transform(F.slice("types", F.greatest(F.size("types") - last + 1, F.lit(1)), last), kind), "_")
+    path = F.array_join(F.transform("types", kind), "_")
     features = F.array_compact(F.array(
         F.concat(F.lit("node_"), own), F.concat(F.lit("depth_"), depth, F.lit("_"), own), F.concat(F.lit("arity_"), own, F.lit("_"), arity),
         F.when(F.col("depth") > 0, F.concat(F.lit("edge_"), kind(F.try_element_at("types", F.lit(-2))), F.lit("_"), own)), F.when(F.col("n_children") == 0, F.concat(F.lit("path_"), path)),
     ))
-    return contexts(nodes, key).select(key, F.explode(features).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+    return placed(nodes, key, order, last).select(key, F.explode(features).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
 
 
 def categories(nodes: DataFrame, key: str, groups: Mapping[str, Sequence[str]], aliases: Mapping[str, str], also: Mapping[str, Column] | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def plain(frame: pd.DataFrame) -> list[tuple]:
             return None if np.isnan(v) else round(float(v), 5) + 0.0
         if isinstance(v, (np.integer, np.bool_)):
             return v.item()
-        return None if v is None or v is pd.NaT else v
+        return None if v is None or v is pd.NaT or v is pd.NA else v
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(value(v) for v in row) for row in frame.itertuples(index=False)), key=repr)

@@ -12,6 +12,8 @@ from treeloom.functions import text as tx
 from treeloom.operators import evaluation as ev
 from treeloom.operators import reports
 from treeloom.operators import vectors as vec
+from treeloom.operators.materialized import Materialized
+from treeloom.operators.run_record import RunRecord
 from treeloom.sources import files, sinks
 from treeloom.streaming import queue
 
@@ -110,7 +112,14 @@ def test_export_goes_on(spark, tmp_path):
     path = f"{tmp_path}/x"
     sinks.export_lines(rows.where("id = 1"), path, ["t"], "id")
     sinks.export_lines(rows, path, ["t"], "id")
-    assert sorted(r.value for r in spark.read.text(f"{path}/t").collect()) == ["", "b c"]
+    assert sorted(r.value for r in spark.read.text(f"{path}/column=t").collect()) == ["", "b c"]
+
+
+def test_export_keeps_lines_together_where_keys_tie(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, f"a{i}", f"b{i}") for i in range(300)], "id long, a string, b string").repartition(7)
+    sinks.export_lines(rows, f"{tmp_path}/x", ["a", "b"], "id")
+    got = files.read_parallel(spark, {c: f"{tmp_path}/x/column={c}" for c in ("id", "a", "b")}, "s", r"part-(\d+)").collect()
+    assert sorted((int(r.id), r.a, r.b) for r in got) == sorted((i % 3, f"a{i}", f"b{i}") for i in range(300))
 
 
 def test_jsonl(spark, tmp_path):
@@ -128,6 +137,64 @@ def test_parallel_lines(spark, tmp_path):
     assert [g[:2] for g in got] == [("train_func_1", "x"), ("train_func_3", "z")]
 
 
+def test_lines_have_their_files_numbers(spark, tmp_path):
+    for side in "ab":
+        (tmp_path / side).mkdir()
+        for name, n in (("x", 5000), ("y", 70)):
+            (tmp_path / side / f"{name}.txt").write_text("".join(f"{side}{name}{i}\n" if i % 11 else " \n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = files.read_parallel(spark, {s: str(tmp_path / s) for s in "ab"}, "t").collect()
+        assert spark.read.text(str(tmp_path / "a")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(f"t_func_{i}", k, i, f"a{name}{i}", f"b{name}{i}") for k, name, n in (("1", "x", 5000), ("2", "y", 70)) for i in range(1, n + 1) if i % 11]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_refresh_reads_its_batch_and_equals_a_full_run(spark, tmp_path):
+    rows = [("a", 1.0), ("a", 3.0), ("b", None), ("a", 8.0), ("c", 2.0), (None, 5.0)]
+    table = lambda part: spark.createDataFrame(part, "g string, v double")
+    parts, whole = (Materialized(spark, f"{tmp_path}/{n}", ["g"], ["v"]) for n in ("parts", "whole"))
+    with pytest.raises(ValueError, match="never"):
+        parts.result()
+    assert parts.refresh(table(rows[:3]), "one") == 1
+    assert [parts.refresh(table(rows[3:]), "two") for _ in range(2)] == [2, 2]
+    whole.refresh(table(rows), "all")
+    pick = lambda m: sorted(map(tuple, m.result().collect()), key=str)
+    assert pick(parts) == pick(whole)
+    assert ("a", 3, 4.0, 3.6056, 1.0, 8.0) in pick(parts) and ("b", 1, None, None, None, None) in pick(parts)
+    assert parts.current()[0] == 2 and parts.has("one") and not parts.has("three")
+
+
+def test_catalogue_tables(spark, tmp_path):
+    name = "store_test"
+    assert sinks.create_if_missing(spark, name, "v long, d string", "d", f"file://{tmp_path}/t") and not sinks.create_if_missing(spark, name, "v long, d string")
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "v long, d string")
+    pick = lambda: sorted(tuple(r) for r in spark.table(name).collect())
+    sinks.append(rows, name)
+    sinks.replace_partitions(spark.createDataFrame([("x", 9)], "d string, v long"), name)
+    assert pick() == [(2, "y"), (9, "x")]
+    sinks.truncate(spark, name)
+    assert pick() == []
+    sinks.replace_all(rows, name)
+    sinks.replace_all(rows.where("v = 1"), name)
+    assert pick() == [(1, "x")]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_run_record(spark, tmp_path):
+    record = RunRecord(spark)
+    record.step("a", spark.range(5), lambda d: d.write.parquet(f"{tmp_path}/a"), total=F.sum("id"))
+    row = record.row("s", "d", {"k": 1}, [__file__, "/none"]).head()
+    step, env = json.loads(row.steps)["a"], json.loads(row.environment)
+    assert (step["n_rows"], step["total"]) == (5, 10) and step["seconds"] > 0
+    assert len(env["scripts"]["test_text_and_files.py"]) == 64 and env["scripts"]["none"] is None and env["packages"]["pyspark"]
+    record.steps["b"] = {"seconds": 2 * step["seconds"]}
+    assert record.overhead("b", "a") == 100.0
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "one").write_bytes(b"abc")

@@ -134,7 +134,7 @@ def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
 
     kind_of = rows.schema[key].dataType.simpleString()
     schema = ", ".join(f"{k} {'string' if t == pa.string() else 'int'}" for k, t in _COLUMNS.items())
-    numbered = rows.select(key, F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("tree"), source)
+    numbered = rows.select(key, F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("tree"), F.col(source).alias("__source"))
     return numbered.mapInArrow(run, f"{key} {kind_of}, tree struct<key: {kind_of}, row: bigint>, {schema}")
 
 

@@ -165,24 +165,26 @@ _LANGUAGES = ("de", "en", "es", "fr", "it")
 WITH {LEAVES_SQL}, present AS (SELECT DISTINCT doc_id, lang, type FROM leaves JOIN documents USING (doc_id)),
 totals AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 grid AS (SELECT l.lang, k.type FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS lang) l, (SELECT unnest(['word', 'number', 'mixed', 'punct', 'space']) AS type) k),
-cells AS (SELECT g.lang, g.type, round(100.0 * count(p.doc_id) / max(t.n), 4) AS percent FROM grid g LEFT JOIN present p ON p.lang = g.lang AND p.type = g.type LEFT JOIN totals t ON t.lang = g.lang GROUP BY g.lang, g.type),
-wide AS (SELECT type AS category, coalesce(max(CASE WHEN lang = 'de' THEN percent END), 0.0) AS de, coalesce(max(CASE WHEN lang = 'en' THEN percent END), 0.0) AS en, coalesce(max(CASE WHEN lang = 'es' THEN percent END), 0.0) AS es,
-  coalesce(max(CASE WHEN lang = 'fr' THEN percent END), 0.0) AS fr, coalesce(max(CASE WHEN lang = 'it' THEN percent END), 0.0) AS it FROM cells GROUP BY type)
-SELECT category, de, en, es, fr, it, round((de + en + es + fr + it) / 5, 4) AS average FROM wide
-UNION ALL SELECT 'AVERAGE ALL', round(avg(de), 4), round(avg(en), 4), round(avg(es), 4), round(avg(fr), 4), round(avg(it), 4), round(avg((de + en + es + fr + it) / 5), 4) FROM wide
-UNION ALL SELECT 'AVERAGE CORE', round(avg(de), 4), round(avg(en), 4), round(avg(es), 4), round(avg(fr), 4), round(avg(it), 4), round(avg((de + en + es + fr + it) / 5), 4) FROM wide WHERE category <> 'space'
+cells AS (SELECT g.lang, g.type, (200000000 * count(p.doc_id) + max(t.n)) // (2 * max(t.n)) AS units FROM grid g LEFT JOIN present p ON p.lang = g.lang AND p.type = g.type LEFT JOIN totals t ON t.lang = g.lang GROUP BY g.lang, g.type),
+wide AS (SELECT type AS category, {", ".join(f"coalesce(max(CASE WHEN lang = '{x}' THEN units END), 0) AS {x}" for x in _LANGUAGES)} FROM cells GROUP BY type),
+sums AS (SELECT category, {", ".join(_LANGUAGES)}, 1 AS n FROM wide UNION ALL SELECT 'AVERAGE ALL', {", ".join(f"sum({x})" for x in _LANGUAGES)}, count(*) FROM wide UNION ALL SELECT 'AVERAGE CORE', {", ".join(f"sum({x})" for x in _LANGUAGES)}, count(*) FROM wide WHERE category <> 'space')
+SELECT category, {", ".join(f"((2 * {x} + n) // (2 * n)) / 10000 AS {x}" for x in _LANGUAGES)}, ((2 * ({" + ".join(_LANGUAGES)}) + 5 * n) // (10 * n)) / 10000 AS average FROM sums
 """)
 def dim_grid_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Completeness by category and language, as a pivot with sub-totals; a language or category without documents shows zeros."""
+    """Completeness by category and language, as a pivot with sub-totals; a language or category without documents shows zeros.
+
+    Percents are whole numbers of ten-thousandths, and means of them are rounded
+    by whole numbers, halves up, so that no order of rows changes a digit.
+    """
     docs = table(spark, folder, "documents")
     present = leaves(docs, keep=["lang"]).select("doc_id", "lang", "type").distinct().groupBy("lang", "type").agg(F.count("*").alias("n_with"))
     totals = docs.groupBy("lang").agg(F.count("*").alias("n"))
     grid = spark.range(1).select(F.explode(F.array(*map(F.lit, _LANGUAGES))).alias("lang")).withColumn("type", F.explode(F.array(*map(F.lit, ("word", "number", "mixed", "punct", "space")))))
-    cells = reports.dense(grid, present, ["lang", "type"]).join(totals, "lang", "left").withColumn("percent", F.round(100.0 * F.coalesce("n_with", F.lit(0)) / F.col("n"), 4))
-    wide = cells.groupBy(F.col("type").alias("category")).pivot("lang", list(_LANGUAGES)).agg(F.max("percent")).na.fill(0.0)
-    mean = sum(map(F.col, _LANGUAGES[1:]), F.col(_LANGUAGES[0])) / 5
-    total = lambda name, rows: rows.agg(*[F.round(F.avg(x), 4).alias(x) for x in _LANGUAGES], F.round(F.avg(mean), 4).alias("average")).withColumn("category", F.lit(name))
-    return wide.withColumn("average", F.round(mean, 4)).unionByName(total("AVERAGE ALL", wide)).unionByName(total("AVERAGE CORE", wide.where("category <> 'space'")))
+    cells = reports.dense(grid, present, ["lang", "type"]).join(totals, "lang", "left").withColumn("units", F.expr("(200000000 * coalesce(n_with, 0) + n) div (2 * n)"))
+    wide = cells.groupBy(F.col("type").alias("category")).pivot("lang", list(_LANGUAGES)).agg(F.max("units")).na.fill(0)
+    total = lambda name, rows: rows.agg(*[F.sum(x).alias(x) for x in _LANGUAGES], F.count("*").alias("n")).withColumn("category", F.lit(name))
+    sums = wide.withColumn("n", F.lit(1).cast("long")).unionByName(total("AVERAGE ALL", wide)).unionByName(total("AVERAGE CORE", wide.where("category <> 'space'")))
+    return sums.select("category", *[F.expr(f"((2 * {x} + n) div (2 * n)) / 10000").alias(x) for x in _LANGUAGES], F.expr(f"((2 * ({' + '.join(_LANGUAGES)}) + 5 * n) div (10 * n)) / 10000").alias("average"))
 
 
 _LINE_METRICS = [("l_quantity", 2), ("l_extendedprice", 2), ("l_discount", 5), ("l_tax", 5)]

@@ -31,23 +31,42 @@ def read_jsonl(spark: SparkSession, path: str | list[str], aliases: dict[str, Se
     return good, rows.where(bad).select("file", "value")
 
 
-def read_parallel(spark: SparkSession, sides: dict[str, str], split: str) -> DataFrame:
-    """Line i of each file beside line i of the others: ``func_name`` ({split}_func_{i}, from 1) and a column for each side.
+def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line of the files below ``path``: ``file``, ``line`` (from 1, of its file) and ``value``.
 
-    NUL characters go, lines are stripped, invalid UTF-8 is replaced. A line
-    that is blank on any side is left out; the numbers stay those of the files.
+    A large file is read in blocks by many tasks: a line's number is that of the
+    lines in its file's blocks before, and its place in its own.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    ahead = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return raw.withColumn("nth", nth).join(ahead, ["file", "block"]).select("file", (F.col("ahead") + F.col("nth")).alias("line"), "value")
+
+
+def read_parallel(spark: SparkSession, sides: dict[str, str], split: str, stem: str | None = None) -> DataFrame:
+    """Line i of each file beside line i of the others: ``func_name`` ({split}_func_{i}, from 1), ``file``, ``line`` and a column for each side.
+
+    Where a side has several files, its k-th by name goes with the k-th of the
+    others, or with that of equal ``stem`` (the first group of a pattern); ``file``
+    is that number or stem, and lines count within it. NUL characters go, lines
+    are stripped, invalid UTF-8 is replaced. A line that is blank on any side is
+    left out; the numbers stay those of the files.
     """
     out: DataFrame | None = None
     for name, path in sides.items():
-        raw = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
-        # A line's number: the lines of the blocks before, and its place in its own.
-        ahead = raw.groupBy("block").agg(F.count("*").alias("n"))
-        ahead = ahead.select("block", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-        placed = raw.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("at"))).join(ahead, "block")
+        lines = number_lines(spark, path)
+        if stem is None:
+            # A row for each file.
+            files = lines.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("string").alias("nth"))
+            lines = lines.join(F.broadcast(files), "file")
+        else:
+            lines = lines.withColumn("nth", F.regexp_extract("file", stem, 1))
         clean = tx.strip(F.translate(F.make_valid_utf8("value"), "\0", ""))
-        side = placed.select((F.col("ahead") + F.col("nth")).alias("line"), clean.alias(name)).where(F.col(name) != "")
-        out = side if out is None else out.join(side, "line")
-    return out.select(F.concat(F.lit(f"{split}_func_"), F.col("line").cast("string")).alias("func_name"), "line", *sides)
+        side = lines.select(F.col("nth").alias("file"), "line", clean.alias(name)).where(F.col(name) != "")
+        out = side if out is None else out.join(side, ["file", "line"])
+    return out.select(F.concat(F.lit(f"{split}_func_"), F.col("line").cast("string")).alias("func_name"), "file", "line", *sides)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writes as whole new versions: keyed inserts, upserts and replacements.
+"""Writes as whole new versions: keyed inserts, upserts and replacements; exports; tables of the catalogue.
 
 Plain Parquet has no in-place update; each function returns the rows of the new
 version, to be written with ``mode("overwrite")`` or, for ``replace_by``, with
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,19 +47,63 @@ def append_csv(rows: DataFrame, path: str) -> None:
 
 
 def export_lines(rows: DataFrame, path: str, columns: Sequence[str], key: str) -> None:
-    """Parallel line files, one folder for each of ``columns``: line i of one belongs to line i of the others.
+    """Parallel line files in ``path``/column=name, of all ``columns`` and the key: line i of part k of one belongs to line i of part k of the others.
 
-    Rows are sorted by ``key`` once and white space becomes single spaces; keys
-    already in ``path``/keys are skipped, so that an interrupted export goes on.
+    One job sorts the rows by ranges of ``key`` and writes all the files of a
+    range in one task, so that lines stay aligned whatever ties there are. White
+    space becomes single spaces. Keys already exported are skipped, so that an
+    interrupted export goes on; it then adds parts.
     """
     spark = rows.sparkSession
     try:
-        done = spark.read.text(f"{path}/keys").select(F.col("value").alias("__done"))
+        done = spark.read.text(f"{path}/column={key}").select(F.col("value").alias("__done"))
         rows = rows.join(done, F.col(key).cast("string") == F.col("__done"), "left_anti")
-    except Exception as e:  # noqa: BLE001  only a missing folder is a first export
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    ordered = rows.orderBy(key)
-    for column in columns:
-        ordered.select(F.trim(F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), r"\s+", " "))).write.mode("append").text(f"{path}/{column}")
-    ordered.select(F.col(key).cast("string")).write.mode("append").text(f"{path}/keys")
+    names = [key, *(c for c in columns if c != key)]
+    said = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "))
+    placed = rows.select(*names).repartitionByRange(key, *[F.col(c) for c in names[1:]]).select("*", F.monotonically_increasing_id().alias("__nth"))
+    each = placed.select(F.struct(key, F.struct(*names[1:]), "__nth").alias("__at"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), said(c).alias("value")) for c in names])).alias("x"))
+    each.select("__at", "x.column", "x.value").sortWithinPartitions("column", "__at").select("value", "column").write.mode("append").partitionBy("column").text(path)
+
+
+def create_if_missing(spark: SparkSession, name: str, columns: str, partition: str | None = None, location: str | None = None) -> bool:
+    """Make the catalogue table ``name`` of ``columns`` (as DDL) unless it exists; whether it was made."""
+    if spark.catalog.tableExists(name):
+        return False
+    by = f" PARTITIONED BY ({partition})" if partition else ""
+    at = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{by}{at}")
+    return True
+
+
+def _insert(rows: DataFrame, name: str, overwrite: bool, mode: str) -> None:
+    """Rows in the table's order of columns; partitions that they don't have stay with ``mode`` dynamic, go with static."""
+    spark = rows.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=overwrite)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def append(rows: DataFrame, name: str) -> None:
+    """Add ``rows`` to the catalogue table ``name``."""
+    _insert(rows, name, False, "static")
+
+
+def replace_partitions(rows: DataFrame, name: str) -> None:
+    """Put ``rows`` in place of those partitions of the catalogue table that they have."""
+    _insert(rows, name, True, "dynamic")
+
+
+def replace_all(rows: DataFrame, name: str) -> None:
+    """Put ``rows`` in place of all rows of the catalogue table."""
+    _insert(rows, name, True, "static")
+
+
+def truncate(spark: SparkSession, name: str) -> None:
+    """Leave the catalogue table without rows; it keeps its place, inside the warehouse or not."""
+    replace_all(spark.createDataFrame([], spark.table(name).schema), name)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from treeloom.plans import algebra_queries, report_queries, retrieval_queries, statement_queries, store_queries, tree_queries
+from treeloom.plans import algebra_queries, report_queries, retrieval_queries, statement_queries, store_queries, tree_queries, unified_queries
 from treeloom.plans.common import Query
 
-MODULES = (report_queries, tree_queries, retrieval_queries, algebra_queries, statement_queries, store_queries)
+MODULES = (report_queries, tree_queries, retrieval_queries, algebra_queries, statement_queries, store_queries, unified_queries)
 
 
 def queries() -> dict[str, Query]:

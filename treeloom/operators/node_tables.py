@@ -29,7 +29,7 @@ from treeloom.operators import trees
 WRAPPERS = ("compilation_unit", "program", "source_file", "translation_unit")
 ROOTS = ("module", "program", "source_file")
 PUNCTUATION = tuple("\" ' < > ( ) { } [ ] , . : ; ... =".split())
-_COLUMNS = {"node_id": pa.int32(), "last_id": pa.int32(), "parent_id": pa.int32(), "pos": pa.int32(), "depth": pa.int32(), "type": pa.string(), "text": pa.string(), "n_children": pa.int32()}
+NODE_COLUMNS = {"node_id": pa.int32(), "last_id": pa.int32(), "parent_id": pa.int32(), "pos": pa.int32(), "depth": pa.int32(), "type": pa.string(), "text": pa.string(), "n_children": pa.int32()}
 
 
 _MASK = (1 << 64) - 1
@@ -101,6 +101,37 @@ def _json(source: str | None) -> Iterator[tuple[int, str, str]]:
 READERS = {"html": _html, "json": _json}
 
 
+def flattened(kind: str, source: str | None) -> list[list]:
+    """The nodes of one source in pre-order, as lists of the columns of a node."""
+    out: list[list] = []
+    above: list[list] = []
+    for i, (depth, name, text) in enumerate(READERS[kind](source)):
+        for closed in above[depth:]:
+            closed[1] = i - 1
+        del above[depth:]
+        up = above[-1] if above else None
+        out.append([i, i, up[0] if up else -1, up[7] if up else 0, depth, name, text, 0])
+        if up:
+            up[7] += 1
+        above.append(out[-1])
+    for closed in above:
+        closed[1] = len(out) - 1
+    return out
+
+
+def s_expression(source: str | None) -> str | None:
+    """One JSON tree as ``s_expressions`` writes it; null for what is no tree."""
+    nodes = flattened("json", source)
+    if not nodes:
+        return None
+    out = []
+    for (_, _, _, _, depth, name, text, n), following in zip(nodes, [*(x[4] for x in nodes[1:]), 0], strict=True):
+        said = text.strip()
+        shown = f" {said}" if n == 0 and said and said not in PUNCTUATION else ""
+        out.append((" " if depth else "") + f"({name}{shown}" + ")" * max(0, depth - following + 1))
+    return "".join(out)
+
+
 def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
     """The nodes of the trees that ``source`` holds as ``kind`` (``html`` or ``json`` of ``{type, text, children}``).
 
@@ -108,32 +139,21 @@ def read_nodes(rows: DataFrame, key: str, source: str, kind: str) -> DataFrame:
     operators below take it, or the key where it is unique, as their ``key``. An
     empty or null page is a root alone; what is no JSON object gives no rows.
     """
-    reader = READERS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner: list[int] = []
-            out: dict[str, list] = {name: [] for name in _COLUMNS}
+            made: list[list] = []
             for at, value in enumerate(batch.column(2).to_pylist()):
-                base, above, i = len(owner), [], -1
-                for i, (depth, name, text) in enumerate(reader(value)):
-                    for closed in above[depth:]:
-                        out["last_id"][base + closed] = i - 1
-                    del above[depth:]
-                    up = above[-1] if above else -1
-                    owner.append(at)
-                    for column, x in zip(out.values(), (i, i, up, out["n_children"][base + up] if above else 0, depth, name, text, 0), strict=True):
-                        column.append(x)
-                    if above:
-                        out["n_children"][base + up] += 1
-                    above.append(i)
-                for closed in above:
-                    out["last_id"][base + closed] = i
+                found = flattened(kind, value)
+                made += found
+                owner += [at] * len(found)
             at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, _COLUMNS[k]) for k, v in out.items())], names=[key, "tree", *_COLUMNS])
+            columns = zip(*made, strict=True) if made else [[] for _ in NODE_COLUMNS]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(v, t) for v, t in zip(columns, NODE_COLUMNS.values(), strict=True))], names=[key, "tree", *NODE_COLUMNS])
 
     kind_of = rows.schema[key].dataType.simpleString()
-    schema = ", ".join(f"{k} {'string' if t == pa.string() else 'int'}" for k, t in _COLUMNS.items())
+    schema = ", ".join(f"{k} {'string' if t == pa.string() else 'int'}" for k, t in NODE_COLUMNS.items())
     numbered = rows.select(key, F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("tree"), F.col(source).alias("__source"))
     return numbered.mapInArrow(run, f"{key} {kind_of}, tree struct<key: {kind_of}, row: bigint>, {schema}")
 
@@ -217,6 +237,115 @@ def indented(nodes: DataFrame, key: str, to: str = "indented") -> DataFrame:
     return _printed(nodes, key, F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("type")), to, "\n")
 
 
+def flat_texts(nodes: DataFrame, key: str, labelled: bool = False, to: str = "flat") -> DataFrame:
+    """Each tree in one line, in pre-order: types and texts of leaves, or ``node_`` and ``leaf_`` tokens if ``labelled``."""
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    leaf = F.col("leaf") if "leaf" in nodes.columns else F.col("n_children") == 0
+    if labelled:
+        piece = F.concat(F.lit("node_"), tx.normalize_token(F.col("type")), F.when(leaf & (text != ""), F.concat(F.lit(" leaf_"), tx.normalize_token(text))).otherwise(""))
+    else:
+        piece = F.concat("type", F.when(leaf & (text != ""), F.concat(F.lit(" "), text)).otherwise(""))
+    return _printed(nodes, key, piece, to, " ")
+
+
+def bracketed(nodes: DataFrame, key: str, named: Sequence[str] = ("variable", "integer", "number"), to: str = "bracketed") -> DataFrame:
+    """``(type child child)`` for each tree; a leaf is its text (its type if it has none), behind its type and a colon for ``named`` types."""
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    leaf = F.col("leaf") if "leaf" in nodes.columns else F.col("n_children") == 0
+    following = F.coalesce(F.lead("depth").over(Window.partitionBy(key).orderBy("node_id")), F.lit(0))
+    label = F.when(F.col("type").isin(*named), F.concat("type", F.lit(":"), text)).when(text != "", text).otherwise(F.col("type"))
+    shown = F.when(leaf, F.concat(label, F.repeat(F.lit(")"), F.col("depth") - F.col("__next")))).otherwise(F.concat(F.lit("("), "type"))
+    return _printed(nodes.withColumn("__next", following), key, F.concat(F.when(F.col("depth") > 0, " ").otherwise(""), shown), to)
+
+
+def source_text(nodes: DataFrame, key: str, to: str = "source") -> DataFrame:
+    """The text that a tree stands for: the root's, or its leaves' texts in order where the root has none."""
+    leaf = F.col("leaf") if "leaf" in nodes.columns else F.col("n_children") == 0
+    parts = F.array_sort(F.collect_list(F.when(leaf, F.struct("node_id", F.coalesce("text", F.lit("")).alias("t")))))
+    root = F.max(F.when(F.col("depth") == 0, F.coalesce("text", F.lit(""))))
+    return nodes.groupBy(key).agg(root.alias("__root"), F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("__leaves")).select(key, F.when(F.col("__root") != "", F.col("__root")).otherwise(F.col("__leaves")).alias(to))
+
+
+def attributes(nodes: DataFrame, key: str, to: str = "attributes") -> DataFrame:
+    """Nodes of each tree as ``n_nodes``, and the words of all their texts."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    return nodes.groupBy(key).agg(F.count("*").alias("n_nodes"), F.sum(words).cast("long").alias(to))
+
+
+def changed_types(original: DataFrame, unified: DataFrame, key: str) -> DataFrame:
+    """Types of original nodes whose place in the unified tree holds another type, or nothing, with their numbers ``n``.
+
+    A node's place is its position among its siblings and theirs above it; both
+    trees meet in one join on the hash of these.
+    """
+    left = placed(original, key).select(key, "place", "depth", "type")
+    right = placed(unified, key).select(key, "place", "depth", F.col("type").alias("__other"))
+    both = left.join(right, [key, "place", "depth"], "left")
+    return both.where(F.col("__other").isNull() | (F.col("__other") != F.col("type"))).groupBy(key, F.col("type").alias("removed_type")).agg(F.count("*").alias("n"))
+
+
+def path_sets(nodes: DataFrame, key: str, to: str = "paths") -> DataFrame:
+    """Hashes of the distinct paths of types from the root to the leaves of each tree."""
+    leaf = F.col("leaf") if "leaf" in nodes.columns else F.col("n_children") == 0
+    return placed(nodes.withColumn("__end", leaf), key).where("__end").groupBy(key).agg(F.collect_set("line").alias(to))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared elements of two sets over all; 1 where both are empty or null."""
+    none = F.array().cast("array<bigint>")
+    x, y = F.coalesce(a, none), F.coalesce(b, none)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(1.0))
+
+
+def degraded(nodes: DataFrame, key: str, severity: Column, seed: Column) -> DataFrame:
+    """``nodes`` after a corruption that any run repeats, by numbers from 0 to 1 drawn from ``seed`` and a node's places.
+
+    A type other than the root's is masked below 0.55 of ``severity``, a text
+    emptied below 0.7 of it, and a child goes with all below under ``severity``;
+    where all children would go, the first of the least number stays. ``key``
+    must tell severities apart.
+    """
+    path = F.col("index_path")
+    rows = placed(nodes, key, whole=True).withColumns({"__s": severity, "__drop": tx.unit_float(seed, path, F.lit("drop")), "__h": tx.unit_float(seed, path, F.lit("node"))})
+    among = Window.partitionBy(key, "parent_id")
+    spared = (F.max("__drop").over(among) < F.col("__s")) & (F.struct("__drop", "pos") == F.min(F.struct("__drop", "pos")).over(among))
+    dead = (F.col("depth") > 0) & (F.col("__drop") < F.col("__s")) & ~spared
+    upto = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__dead", dead).withColumn("__gone", F.max(F.when(F.col("__dead"), F.col("last_id"))).over(upto)).where(F.coalesce("__gone", F.lit(-1)) < F.col("node_id"))
+    kind = F.when((F.col("depth") > 0) & (F.col("__h") < 0.55 * F.col("__s")), F.concat(F.lit("masked_"), tx.normalize_token(F.col("type"), "node"))).otherwise(F.col("type"))
+    text = F.when(F.col("__h") < 0.70 * F.col("__s"), F.lit("")).otherwise(F.col("text"))
+    carried = [c for c in nodes.columns if c not in ("depth", "type", "text", "leaf")]
+    following = F.lead("depth").over(Window.partitionBy(key).orderBy("node_id"))
+    return rows.withColumn("leaf", ~F.coalesce(following > F.col("depth"), F.lit(False))).select(*carried, "depth", kind.alias("type"), text.alias("text"), "leaf")
+
+
+def category_rows(groups: Mapping[str, Sequence[str]], by_language: Mapping[str, Mapping[str, Sequence[str]]]) -> list[tuple[str, str, str]]:
+    """A table of categories as rows (language, type, category): ``groups`` for the language ``''``, and for those that have other types in some category."""
+    tables = {"": groups} | {language: {**groups, **own} for language, own in by_language.items()}
+    return [(language, kind, category) for language, table in tables.items() for category, kinds in table.items() for kind in dict.fromkeys(kinds)]
+
+
+def table_categories(nodes: DataFrame, key: str, table: DataFrame, aliases: Mapping[str, str], type_texts: Sequence[str] = (), language: Column | None = None) -> DataFrame:
+    """``found``, the sorted categories of each tree, by a table of ``language``, ``type`` and ``category``; ``strange`` counts nodes without any.
+
+    A node has the categories of its raw and of its canonical type (a program's
+    is module). A text that names a type is a TYPE where the node is of that
+    kind. ``language`` is that of the node's tree; one that the table lacks is ``''``.
+    """
+    raw, canonical = trees.canonical(F.col("type"), {}), trees.canonical(F.col("type"), dict(aliases))
+    typed = F.lower("text").isin(*type_texts) & ((canonical == "type") | raw.isin(*type_texts) | raw.endswith("_type")) if type_texts else F.lit(False)
+    names = F.array_distinct(F.array(raw, F.when(canonical == "program", "module").otherwise(canonical)))
+    known = F.broadcast(table.select(F.col("language").alias("__l")).distinct())  # a row a language
+    spoken = nodes.withColumn("__lang", language if language is not None else F.lit("")).join(known, F.col("__l") == F.col("__lang"), "left")
+    kinds = spoken.groupBy(key, F.coalesce("__l", F.lit("")).alias("__lang"), names.alias("__names"), F.coalesce(typed, F.lit(False)).alias("__typed")).agg(F.count("*").alias("__n"))
+    rows = F.broadcast(table.select(F.col("language").alias("__l"), F.col("type").alias("__t"), "category"))  # a few types for each category
+    each = kinds.withColumn("__name", F.explode("__names")).join(rows, (F.col("__lang") == F.col("__l")) & (F.col("__name") == F.col("__t")), "left")
+    listed = each.groupBy(key, "__names", "__typed", "__n").agg(F.collect_set("category").alias("__of"))
+    have = F.when(F.col("__typed"), F.array_union("__of", F.array(F.lit("TYPE")))).otherwise(F.col("__of"))
+    found = listed.withColumn("__have", have).groupBy(key)
+    return found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("__have")))).alias("found"), F.sum(F.when(F.size("__have") == 0, F.col("__n")).otherwise(0)).alias("strange"))
+
+
 def sequences(nodes: DataFrame, key: str, order: str = "node_id", to: str = "nodes") -> DataFrame:
     """The nodes of each tree in pre-order, as structs of ``place``, ``depth``, ``type`` and ``text``."""
     return nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), "depth", "type", "text"))).alias(to))
@@ -300,12 +429,12 @@ def categories(nodes: DataFrame, key: str, groups: Mapping[str, Sequence[str]],
 
 
 def completeness(original: DataFrame, unified: DataFrame, key: str, views: Mapping[str, Sequence[str]]) -> DataFrame:
-    """For each view (some categories): the share of the original tree's categories that the unified one has (1 where there are none), its ``loss``, and which are lost and extra."""
+    """For each view (some categories): the share of the original tree's categories that the unified one has (1 where there are none), its ``loss``, how many there were and are, and which are lost and extra."""
     both = original.select(key, F.col("found").alias("o"), "strange").join(unified.select(key, F.col("found").alias("u")), key, "left").withColumn("u", F.coalesce("u", F.array().cast("array<string>")))
     shown = []
     for name, wanted in views.items():
         only = F.array(*map(F.lit, wanted))
         o, u = F.array_intersect("o", only), F.array_intersect("u", only)
         score = F.coalesce(F.try_divide(F.size(F.array_intersect(o, u)), F.size(o)), F.lit(1.0))
-        shown += [F.bround(score, 4).alias(f"pec_{name}"), F.bround(1 - score, 4).alias(f"loss_{name}"), F.array_join(F.array_except(o, u), ",").alias(f"lost_{name}"), F.array_join(F.array_except(u, o), ",").alias(f"extra_{name}")]
+        shown += [F.size(o).alias(f"had_{name}"), F.size(F.array_intersect(o, u)).alias(f"kept_{name}"), F.bround(score, 4).alias(f"pec_{name}"), F.bround(1 - score, 4).alias(f"loss_{name}"), F.array_join(F.array_except(o, u), ",").alias(f"lost_{name}"), F.array_join(F.array_except(u, o), ",").alias(f"extra_{name}")]
     return both.select(key, *shown, "strange")

@@ -252,6 +252,27 @@ def correlations(spark: SparkSession, folder: str) -> DataFrame:
     return reports.correlations(docs, ["task"], "x", "y")
 
 
+_COEFFICIENTS = "lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)"
+_RANKED_SQL = f"""WITH pairs AS (SELECT source AS task, n_chars::DOUBLE AS x, len(string_split(text, ' '))::DOUBLE AS y FROM documents UNION ALL SELECT 'ids ' || source, doc_id::DOUBLE, n_chars::DOUBLE FROM documents),
+ranked AS (SELECT *, {_RANK.format(g="task", v="x")} AS rx, {_RANK.format(g="task", v="y")} AS ry FROM pairs),
+r AS (SELECT task, count(*) AS n, round(corr(x, y), 6) AS pearson_r, round(corr(rx, ry), 6) AS spearman_r FROM ranked GROUP BY task),
+long AS (SELECT task, n, 'pearson' AS kind, pearson_r AS r FROM r UNION ALL SELECT task, n, 'spearman', spearman_r FROM r),
+sides AS (SELECT *, (n - 2) / 2.0 AS a0, 1 - r * r AS x0, 1 - r * r < ((n - 2) / 2.0 + 1) / ((n - 2) / 2.0 + 2.5) AS near FROM long),
+args AS (SELECT *, CASE WHEN near THEN a0 ELSE 0.5 END AS a, CASE WHEN near THEN 0.5 ELSE a0 END AS b, CASE WHEN near THEN x0 ELSE 1 - x0 END AS x FROM sides),
+folded AS (SELECT *, list_reduce(list_transform(generate_series(600, 1, -1), lambda k: CASE WHEN k % 2 = 0 THEN (k / 2) * (b - k / 2) * x / ((a + k - 1) * (a + k)) ELSE -(a + (k - 1) / 2) * (a + b + (k - 1) / 2) * x / ((a + k - 1) * (a + k)) END), lambda f, t: 1 + t / f, 1.0::DOUBLE) AS fraction FROM args),
+p AS (SELECT task, kind, r, n, CASE WHEN x0 <= 0 THEN 0 WHEN x0 >= 1 THEN 1 WHEN near THEN exp({_COEFFICIENTS}) / a / fraction ELSE 1 - exp({_COEFFICIENTS}) / a / fraction END AS p FROM folded)
+SELECT task, max(n) AS n, max(r) FILTER (kind = 'pearson') AS pearson_r, max(r) FILTER (kind = 'spearman') AS spearman_r, round(max(p) FILTER (kind = 'pearson'), 9) AS pearson_p, round(max(p) FILTER (kind = 'spearman'), 9) AS spearman_p FROM p GROUP BY task"""
+
+
+@found.add(_RANKED_SQL)
+def correlation_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlations of two measures of a document and of its id with one, by source, with their p-values."""
+    docs = table(spark, folder, "documents")
+    measures = docs.select(F.col("source").alias("task"), F.col("n_chars").cast("double").alias("x"), F.size(F.split("text", " ")).cast("double").alias("y"))
+    ids = docs.select(F.concat(F.lit("ids "), F.col("source")).alias("task"), F.col("doc_id").cast("double").alias("x"), F.col("n_chars").cast("double").alias("y"))
+    return reports.correlation_tests(measures.unionByName(ids), ["task"], "x", "y")
+
+
 @found.add("""
 WITH pairs AS (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS price, count(*) AS n FROM orders GROUP BY ALL)
 SELECT o_orderpriority, round(avg(price), 4) AS macro_price, sum(n)::BIGINT AS n_rows, NULL::DOUBLE AS median_price FROM pairs GROUP BY o_orderpriority

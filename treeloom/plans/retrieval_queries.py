@@ -234,3 +234,37 @@ def embedding_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("label").agg(F.count("*").alias("n_pairs"), F.round(F.avg(vec.dense_cosine(F.col("a"), F.col("b"))), 6).alias("mean_cosine"))
 
 
+
+
+_TRAIN = "('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % 10 < 7"
+
+
+@found.add(f"""WITH texts AS (SELECT doc_id, {_TRAIN} AS train, {_WORDS} AS ws FROM documents), words AS (SELECT doc_id, train, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS p FROM texts),
+paired AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS w2 FROM words), grams AS (SELECT doc_id, train, w AS term FROM words UNION ALL SELECT doc_id, train, w || ' ' || w2 FROM paired WHERE w2 IS NOT NULL),
+tf AS (SELECT doc_id, train, term, count(*) AS tf FROM grams GROUP BY ALL), known AS (SELECT term, count(*) AS df FROM tf WHERE train GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 5000),
+model AS (SELECT term, ln((1 + (SELECT count(*) FILTER ({_TRAIN}) FROM documents)) / (1 + df)) + 1 AS idf FROM known)
+SELECT doc_id, count(idf) AS n_terms, count(*) - count(idf) AS n_unseen, round(sum((1 + ln(tf)) * idf), 4) AS weight, round(sqrt(sum(pow((1 + ln(tf)) * idf, 2))), 4) AS norm FROM tf LEFT JOIN model USING (term) WHERE NOT train GROUP BY doc_id""")
+def tfidf_fitted(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents weighed by a model of the 5000 most frequent words and pairs of words of seven tenths of the others."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", (F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("long") % 10 < 7).alias("train"))
+    counts = kept(vec.term_counts(docs, ["doc_id", "train"], F.col("text"), (1, 2)), "terms")
+    model = kept(vec.fit_tfidf(counts.where("train"), docs.agg(F.count_if("train").alias("n")), 5000), "tfidf-model")
+    test = counts.where("NOT train")
+    weights = vec.transform_tfidf(test, model, ["doc_id"], sublinear=True).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("weight").alias("weight"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    full = test.groupBy("doc_id").agg(F.count("*").alias("n")).join(weights, "doc_id", "left")
+    return full.select("doc_id", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), (F.col("n") - F.coalesce("n_terms", F.lit(0))).alias("n_unseen"), F.round("weight", 4).alias("weight"), F.round("norm", 4).alias("norm"))
+
+
+@found.add("""
+WITH hashed AS (SELECT doc_id, lang, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS nth, count(*) OVER (PARTITION BY lang) AS n FROM hashed)
+SELECT doc_id, lang, nth <= floor(n * 0.7 + 0.5) AS calibration FROM placed""")
+def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven tenths of the documents of each language, exactly, and the rest."""
+    return ev.stratified_split(table(spark, folder, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.7)
+
+
+@found.add()
+def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlap of stems of each turn and the next one, and of their longest common subsequence."""
+    return ev.rouge_stemmed(_aligned(spark, folder), "pair_id", "left_text", "right_text")

@@ -8,9 +8,12 @@ its parameter. ``STATEMENTS_SQL`` makes the same node rows in DuckDB.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.functions import registered
 from treeloom.functions import text as tx
 from treeloom.operators import code_trees as ct
 from treeloom.operators import node_tables as nt
@@ -164,3 +167,34 @@ SELECT u.doc_id, u.name, u.node_id, coalesce(d.node_id, -1) AS def_id FROM (SELE
 def reaching_definitions(spark: SparkSession, folder: str) -> DataFrame:
     """The last parameter of its name before each variable, -1 where there is none."""
     return ct.reaching_definitions(statement_nodes(spark, folder), "doc_id", ("parameter",), ("variable",)).na.fill(-1, ["def_id"])
+
+
+def _named_trees(spark: SparkSession, folder: str) -> str:
+    """A view of the turns' trees (``doc_id``, ``tree``), and the functions of this library for SQL text; the view's name."""
+    registered.register(spark)
+    name = f"statement_trees_{uuid.uuid4().hex}"
+    kept(statement_trees(turns(spark, folder)).select("doc_id", "text", "tree"), "statement-trees").createOrReplaceTempView(name)
+    return name
+
+
+@found.add(f"WITH {STATEMENTS_SQL} SELECT doc_id, node_id, last_id, parent_id, pos, depth, type, text, n_children FROM nodes WHERE n_children <> 1")
+def sql_tree_flatten(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes with no or several children, by the table function in SQL text."""
+    return spark.sql(f"SELECT t.doc_id, n.* FROM {_named_trees(spark, folder)} t, LATERAL tree_flatten(t.tree) n WHERE n.n_children <> 1")
+
+
+@found.add(rf"""WITH {STATEMENTS_SQL}, led AS (SELECT *, coalesce(lead(depth) OVER (PARTITION BY doc_id ORDER BY node_id), 0) AS following, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said FROM nodes)
+SELECT doc_id, string_agg(CASE WHEN depth > 0 THEN ' ' ELSE '' END || '(' || type || CASE WHEN n_children = 0 AND said <> '' AND said NOT IN ({_listed(nt.PUNCTUATION)}) THEN ' ' || said ELSE '' END || repeat(')', greatest(depth - following + 1, 0)), '' ORDER BY node_id) AS s_expression FROM led GROUP BY doc_id""")
+def sql_s_expressions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn's tree in brackets, by the scalar function in SQL text."""
+    return spark.sql(f"SELECT doc_id, s_expr(tree) AS s_expression FROM {_named_trees(spark, folder)}")
+
+
+@found.add()
+def sql_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Edit distance and similarity, common subsequence and METEOR of each turn and the next one, by scalar functions in SQL text."""
+    name = _named_trees(spark, folder)
+    return spark.sql(f"""
+        SELECT a.doc_id, ted_distance(a.tree, b.tree) AS distance, round(ted_similarity(a.tree, b.tree), 6) AS similarity,
+          lcs_len(split(a.text, ' '), split(b.text, ' ')) AS lcs, round(meteor(split(a.text, ' '), split(b.text, ' ')), 6) AS meteor
+        FROM {name} a JOIN {name} b ON b.doc_id = a.doc_id + 1""")

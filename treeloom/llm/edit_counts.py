@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -72,6 +73,11 @@ def counter(ranks_path: str, pattern: str) -> Counter:
     return Counter(ranks_path, pattern)
 
 
+def _mark(text: str) -> list[int]:
+    """64 bits that tell a text from others, as two numbers."""
+    return np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), np.uint32).tolist()
+
+
 class TokenTree:
     """A segment tree over blocks of pre-tokens."""
 
@@ -85,10 +91,10 @@ class TokenTree:
         """The tree of ``text`` as ``packed`` holds it; built anew where it doesn't."""
         if packed:
             numbers = np.frombuffer(zstandard.decompress(packed), np.uint32).tolist()
-            n = numbers[0]
-            ends = [0, *itertools.accumulate(numbers[1 : n + 1])]
-            chars, tokens = numbers[n + 1 : n + 1 + ends[-1]], numbers[n + 1 + ends[-1] :]
-            if sum(chars) == len(text):
+            mark, n, numbers = numbers[:2], numbers[2], numbers[3:]
+            ends = [0, *itertools.accumulate(numbers[:n])]
+            chars, tokens = numbers[n : n + ends[-1]], numbers[n + ends[-1] :]
+            if mark == _mark(text):
                 tree = cls.__new__(cls)
                 tree.counter, tree.text, tree.encoded = counter, text, 0
                 tree._sum([(chars[a:b], tokens[a:b]) for a, b in itertools.pairwise(ends)])
@@ -98,8 +104,8 @@ class TokenTree:
         return tree
 
     def pack(self) -> bytes:
-        """The numbers of blocks and of their pre-tokens, then characters and tokens of all these."""
-        parts = [[len(self.blocks)], [len(c) for c, _ in self.blocks], *(c for c, _ in self.blocks), *(t for _, t in self.blocks)]
+        """A mark of the text, the numbers of blocks and of their pre-tokens, then characters and tokens of all these."""
+        parts = [_mark(self.text), [len(self.blocks)], [len(c) for c, _ in self.blocks], *(c for c, _ in self.blocks), *(t for _, t in self.blocks)]
         return zstandard.compress(np.array(list(itertools.chain(*parts)), np.uint32).tobytes(), 1)
 
     def _build(self, chars: list[int], tokens: list[int]) -> None:

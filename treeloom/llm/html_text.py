@@ -9,9 +9,15 @@ heading or a paragraph and are not mostly links, however short, and a main
 heading before it.
 
 What never counts: scripts, forms' fields, menus, footers, sidebars by element
-or role, hidden elements, and a page's header. Classes and ids with words of
-adverts, notices, menus, comments and the like drop a container unless it holds
-an article or main element, or a main heading with a paragraph; ``with-sidebar``,
+or role, hidden elements, a page's header, menu cells of a table that lays out a
+page, and what follows a heading that says "3 comments" or the like. Classes and
+ids with words of adverts, notices, menus, comments and the like drop a container
+unless it holds an article or main element, or a main heading with a paragraph.
+A box's word (share, widget, sidebar, ...) needs a second sign (fields, mostly
+links, no sentence) where other words stand beside it, as in ``share-price`` and
+``elementor-widget``, or where the box is a headed part of an article with
+sentences; and a widget or the like that holds far more prose than the rest of
+the page is none. ``with-sidebar``,
 ``tag-search``, ``comments-open`` and the like say nothing. An article or main
 element is dropped by words of comments, adverts and teasers only, and never
 where nothing else is left. Dropped elements inside a paragraph don't split it.
@@ -56,6 +62,13 @@ TEASER_WORDS = frozenset(
 )
 BOX_WORDS = frozenset("notice notices notification notifications alert sidebar aside share sharing social newsletter subscribe signup popup modal overlay widget widgets search".split())
 INLINE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo share sharing social".split())
+# Words beside which a box's word still says all: "share-buttons" is a box, "share-price" and "elementor-widget" are names of something else.
+PLAIN_WORDS = frozenset(
+    """area article bar block body bottom box btn button buttons card col column container content entry footer form head header icons inline inner item js left link links list main message
+    nav of on outer page panel post primary right row secondary section site text the this title to top us wrap wrapper""".split()
+)
+HOLDING_WORDS = frozenset("widget widgets share sharing social search overlay modal popup alert".split())  # may name what holds an article
+HOLDS_MORE = 4
 NO_WORDS = frozenset("with without has no is category cat tag open closed enabled disabled".split())  # what such a name says is another thing
 HEADER_WORDS = frozenset({"header", "hdr"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
@@ -67,18 +80,23 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NO_WORD = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|$)|<[!/?a-zA-Z][^>]*>?", re.I | re.S)
+_SENTENCE = re.compile(r"\w\W*\s\W*\w.*[.!?…。！？]", re.S)
+_COMMENTS = re.compile(r"(\d[\d.,]*\s+)?(reader\s+|user\s+)?(comments?|replies|responses)(\s*\(\d[\d.,]*\))?\s*:?", re.I)
 _RIGHTS = re.compile(r"(©|\(c\)\s|copyright\b)", re.I)
 MOST_LINKS = 0.5
 
 
-def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """The words of all classes and ids that say what an element is."""
+def _words(attrs: list[tuple[str, str | None]]) -> tuple[set[str], int]:
+    """The words of all classes and ids that say what an element is, and whether they say that it is a box: 2, or 1 if other words are beside."""
     out: set[str] = set()
+    box = 0
     for name in " ".join(v for k, v in attrs if k in ("class", "id") and v).split():
-        said = set(_NO_WORD.split(_CAMEL.sub(" ", name).lower()))
+        said = set(_NO_WORD.split(_CAMEL.sub(" ", name).lower())) - {""}
         if not said & NO_WORDS:
             out |= said
-    return out
+            if said & BOX_WORDS:
+                box = max(box, 2 if said <= BOX_WORDS | FRAME_WORDS | TEASER_WORDS | PLAIN_WORDS else 1)
+    return out, box
 
 
 class _Page(HTMLParser):
@@ -86,7 +104,7 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.dropped, self.words = [-1], ["#"], [False], [frozenset()]
+        self.parent, self.tag, self.dropped, self.words, self.box, self.fields = [-1], ["#"], [False], [frozenset()], [0], [False]
         self.open = [0]
         self.links = 0
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
@@ -132,17 +150,20 @@ class _Page(HTMLParser):
             if tag == "body":
                 self._close_last(("head",), frozenset())
         if tag in VOID:
+            self.fields[self.open[-1]] |= tag == "input"
             return
         up = self.open[-1]
         role = next((v.lower() for k, v in attrs if k == "role" and v), "")
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and _HIDDEN.search(v) for k, v in attrs)
-        words = _words(attrs) if attrs else set()
+        words, box = _words(attrs) if attrs else (set(), 0)
         root = tag in ("html", "body")
         gone = tag in DROPPED or hidden or role in DROPPED_ROLES or not block and words & INLINE_WORDS and not any(self.tag[i] in ("pre", "code") for i in self.open)
         self.parent.append(up)
         self.tag.append(tag)
         self.dropped.append(self.dropped[up] or not root and bool(gone))
         self.words.append(frozenset() if root or not block else frozenset(words))
+        self.box.append(box if block and not root else 0)
+        self.fields.append(tag in ("form", "input", "textarea", "select"))
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
 
@@ -175,12 +196,50 @@ class _Page(HTMLParser):
         self._flush()
 
 
+def _boxes(page: _Page, article: list[bool], headed: list[bool]) -> list[bool]:
+    """Whether each node is a box by its words, and by a second sign where these leave doubt.
+
+    Doubtful are names with other words in them, and parts of an article with a
+    heading of their own and a sentence. Signs are fields to fill in, a text that
+    is mostly links, or one without a sentence.
+    """
+    parent = page.parent
+    n = len(parent)
+    length, links, prose, fields = [0] * n, [0] * n, [0] * n, list(page.fields)
+    for node, text, linked in page.blocks:
+        length[node] += len(text)
+        links[node] += linked
+        prose[node] += (len(text) - linked) * bool(_SENTENCE.search(text))
+    for i in range(n - 1, 0, -1):
+        for x in (length, links, prose):
+            x[parent[i]] += x[i]
+        fields[parent[i]] |= fields[i]
+    named = [False] * n
+    for i in range(1, n):
+        if page.box[i]:
+            sure = page.box[i] == 2 and not (article[parent[i]] and headed[i] and prose[i])
+            named[i] = sure or fields[i] or not prose[i] or links[i] >= MOST_LINKS * length[i]
+    # What holds far more prose than all outside of boxes is no box, but for those that never hold an article.
+    inside = [False] * n
+    for i in range(1, n):
+        inside[i] = inside[parent[i]] or named[i] or page.dropped[i]
+    rest = sum((len(text) - linked) * bool(_SENTENCE.search(text)) for node, text, linked in page.blocks if not inside[node])
+    return [x and not (page.words[i] & HOLDING_WORDS and not page.words[i] & (BOX_WORDS - HOLDING_WORDS) and not fields[i] and prose[i] > HOLDS_MORE * rest) for i, x in enumerate(named)]
+
+
 def _outside(page: _Page, heed_words: bool) -> list[bool]:
-    """Whether each node is outside of what counts: by its words, or in a page's header."""
+    """Whether each node is outside of what counts: by its words, in a page's header, or as readers' comments."""
     parent, tag, words = page.parent, page.tag, page.words
     n = len(tag)
-    named = [heed_words and bool(words[i] & TEASER_WORDS) if tag[i] in ("article", "main") else heed_words and (tag[i] == "form" or bool(words[i] & (FRAME_WORDS | TEASER_WORDS | BOX_WORDS))) for i in range(n)]
     whole, title, prose = [False] * n, [False] * n, [False] * n  # holds an article or main element, a main heading, a paragraph
+    headed, article = [False] * n, [False] * n
+    for i in range(1, n):
+        article[i] = article[parent[i]] or tag[i] in ("article", "main")
+    for i in range(n - 1, 0, -1):
+        headed[i] |= tag[i] in HEADINGS
+        headed[parent[i]] |= headed[i]
+    boxes = _boxes(page, article, headed) if heed_words else [False] * n
+    named = [heed_words and bool(words[i] & TEASER_WORDS) if tag[i] in ("article", "main") else heed_words and (tag[i] == "form" or boxes[i] or bool(words[i] & (FRAME_WORDS | TEASER_WORDS))) for i in range(n)]
     for i in range(n - 1, 0, -1):
         if page.dropped[i]:
             continue
@@ -189,18 +248,54 @@ def _outside(page: _Page, heed_words: bool) -> list[bool]:
         prose[i] |= tag[i] == "p"
         for x in (whole, title, prose):
             x[parent[i]] |= x[i]
-    headed, article = [False] * n, [False] * n
-    for i in range(1, n):
-        article[i] = article[parent[i]] or tag[i] in ("article", "main")
-    for i in range(n - 1, 0, -1):
-        headed[i] |= tag[i] in HEADINGS
-        headed[parent[i]] |= headed[i]
     out, header = [False] * n, [False] * n
     for i in range(1, n):
         up = parent[i]
         kept = whole[i] or title[i] and prose[i] and not words[i] & FRAME_WORDS
         header[i] = header[up] or (tag[i] == "header" or bool(words[i] & HEADER_WORDS)) and not (article[up] and headed[i]) and not whole[i]
         out[i] = out[up] or named[i] and not kept or header[i]
+    said = {node: text for node, text, _ in page.blocks}
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        children.setdefault(parent[i], []).append(i)
+    for i in range(1, n):
+        if tag[i] in HEADINGS and tag[i] != "h1" and _COMMENTS.fullmatch(said.get(i, "")):
+            # The comments go on to the next heading of that rank.
+            for j in [x for x in children[parent[i]] if x >= i]:
+                if j > i and tag[j] in HEADINGS and tag[j] <= tag[i] or whole[j]:
+                    break
+                out[j] = True
+    for i in range(1, n):
+        out[i] = out[i] or out[parent[i]]
+    return out
+
+
+def _menu_cells(page: _Page, blocks: list[tuple[int, str, int]]) -> set[int]:
+    """Cells of a table that lays out a page, one that holds paragraphs or a main heading, whose text is links alone."""
+    parent, tag = page.parent, page.tag
+    lays: set[int] = set()
+    for node, _, _ in blocks:
+        if tag[node] in ("p", "h1"):
+            at = parent[node]
+            while at > 0 and tag[at] != "table":
+                at = parent[at]
+            lays.add(at)
+    length: dict[int, list[int]] = {}
+    for node, text, linked in blocks:
+        at = node
+        while at > 0 and tag[at] not in ("td", "th"):
+            at = parent[at]
+        if at > 0:
+            sums = length.setdefault(at, [0, 0])
+            sums[0] += len(text)
+            sums[1] += linked
+    out = set()
+    for cell, (n, linked) in length.items():
+        at = parent[cell]
+        while at > 0 and tag[at] != "table":
+            at = parent[at]
+        if at in lays and linked >= n:
+            out.add(cell)
     return out
 
 
@@ -215,6 +310,10 @@ def main_text(html: str | None) -> str:
     for heed_words in (True, False):
         out = _outside(page, heed_words)
         blocks = [(i, text, linked) for i, text, linked in page.blocks if not out[i]]
+        if "table" in tag and (cells := _menu_cells(page, blocks)):
+            for i in range(1, n):
+                out[i] = out[i] or out[parent[i]] or i in cells
+            blocks = [b for b in blocks if not out[b[0]]] or blocks
         if blocks:
             break
     else:
@@ -249,6 +348,10 @@ def main_text(html: str | None) -> str:
         for i in range(1, n):
             if parent[i] == parent[best] and reads[i] and links[i] < MOST_LINKS * length[i]:
                 kept[i] = True
+        # A paragraph between these is part of the text, even if it is one link.
+        run = [i for i in range(1, n) if kept[i]]
+        for i in range(run[0], run[-1]):
+            kept[i] |= parent[i] == parent[best] and tag[i] in PARAGRAPHS
     for i in range(1, n):
         kept[i] = kept[i] or kept[parent[i]] or tag[i] == "h1" and i < best and not out[i]
     return "\n".join(text for i, text, _ in blocks if kept[i])

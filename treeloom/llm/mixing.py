@@ -169,15 +169,11 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     return outside.unionByName(inside).select(*kept.columns, "size", "source_size", "target", taken.alias("taken"))
 
 
-def take(mixed: DataFrame, text: str = "text", columns: Sequence[str] = ()) -> DataFrame:
-    """The rows of a mix: a document as often as it is taken; of a last part, its first words up to the edge, white space as it stands."""
+def take(mixed: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """The rows of a mix: a document as often as it is taken, always whole. A last part counts as once more from half a document on, so that a source keeps to its target but for half of the document at its edge."""
     columns = list(columns) or [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
-    whole = (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long")
-    copies = mixed.where("taken > 0").withColumn("__whole", whole).withColumn("__rest", F.col("taken") - F.col("__whole") * F.col("size"))
-    rows = copies.withColumn("__copy", F.explode(F.expr("sequence(1L, __whole + if(__rest > 0, 1L, 0L))")))
-    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("__rest").cast("int")), "")
-    cut = F.when(F.col("__copy") > F.col("__whole"), head).otherwise(F.col(text))
-    return rows.withColumn(text, cut).select(*columns)
+    copies = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return mixed.where("taken > 0").withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

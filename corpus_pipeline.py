@@ -35,12 +35,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; one at the edge of a source's quota is cut there."""
+    """Documents as often as the mix of sources takes them, always whole."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the mix adds columns of its own
     key, text, source = (names[c] for c in ("doc_id", "text", "source"))
     plan = mixing.mix(docs.toDF(*names.values()), F.array(source), key, text)
-    rows = mixing.take(plan, text, list(names.values())).toDF(*docs.columns)
-    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return mixing.take(plan, list(names.values())).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

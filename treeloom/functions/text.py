@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,12 @@ def ngrams(words: Column, n: int, glue: str = "_") -> Column:
     return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), glue))).otherwise(F.array().cast("array<string>"))
 
 
+def preprocessed(text: Column, stopwords: Sequence[str] = (), n: int = 1) -> Column:
+    """Lower-cased words of ASCII letters, digits and underscores without ``stopwords``, as n-grams joined by underscores; all else parts words."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_]+", " "), " "), lambda w: w != "")
+    return ngrams(F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words, n)
+
+
 def unit_float(*parts: Column) -> Column:
     """A number from 0 to 1 drawn from ``parts``: the first 8 bytes of the SHA-256 digest of the parts joined by a pipe, over 2^64."""
     digest = F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)

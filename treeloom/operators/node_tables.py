@@ -50,6 +50,11 @@ class Rules:
     skip: tuple[str, ...] = ()
 
 
+def expanded(names: Mapping[str, str]) -> dict[str, str]:
+    """A map with a key for each of the comma-separated names of ``names``'s keys; of equal ones the last counts."""
+    return {part.strip(): value for keys, value in names.items() for part in keys.split(",") if part.strip()}
+
+
 class _Elements(HTMLParser):
     """Depth, name and text of a page's elements and texts in page order; stray end tags are dropped."""
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.functions import text as tx
 from treeloom.operators import evaluation as ev
+from treeloom.operators import reports
 from treeloom.operators import vectors as vec
 from treeloom.plans.common import Queries
-from treeloom.sources.tables import kept, table
+from treeloom.sources.tables import kept, select_rows, table
 
 found = Queries()
 
@@ -42,24 +44,24 @@ def _weights(texts: DataFrame, keys: list[str], sizes: tuple[int, ...], sublinea
     return kept(vec.tfidf(counts, texts.agg(F.count("*").alias("n")), keys, sublinear), "weights")
 
 
-def _benchmark_scores(spark: SparkSession, folder: str, sizes: tuple[int, ...], sublinear: bool) -> DataFrame:
+def _benchmark_top(spark: SparkSession, folder: str, sizes: tuple[int, ...], sublinear: bool) -> DataFrame:
+    """The five nearest documents of each benchmark item; their ids are made different, as both count from 0."""
     items, docs = table(spark, folder, "benchmark"), table(spark, folder, "documents")
-    both = items.select(F.lit("q").alias("side"), F.col("item_id").alias("id"), "text").unionByName(docs.select(F.lit("t").alias("side"), F.col("doc_id").alias("id"), "text"))
-    weights = _weights(both, ["side", "id"], sizes, sublinear)
-    side = lambda s, name: weights.where(F.col("side") == s).select(F.col("id").alias(name), "term", "weight")
-    return vec.cosine_scores(side("q", "query_id"), side("t", "doc_id"), "query_id", "doc_id").withColumn("score", F.round("score", 6))
+    side = lambda rows, key, asks: rows.select((F.col(key) * 2 + int(asks)).alias("id"), "text", F.lit(asks).alias("query"), F.lit(not asks).alias("target"))
+    best = vec.sparse_top_k(vec.sparse_blocks(side(items, "item_id", True).unionByName(side(docs, "doc_id", False)), sizes, sublinear), 5)
+    return best.select(F.expr("query_id div 2").alias("query_id"), F.expr("target_id div 2").alias("doc_id"), "score", "rank", "best_rank")
 
 
 @found.add(f"WITH {_BOTH_SIDES}, {_terms_sql('both_sides')}, {_weights_sql()}, {_TOPK}")
 def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest documents of each benchmark item by TF-IDF cosine over words and pairs of words."""
-    return vec.top_k(_benchmark_scores(spark, folder, (1, 2), False), "query_id", "doc_id", 5)
+    return _benchmark_top(spark, folder, (1, 2), False)
 
 
 @found.add(f"WITH {_BOTH_SIDES}, {_terms_sql('both_sides', 'no')}, {_weights_sql('(1 + ln(tf))')}, {_TOPK}")
 def tfidf_sublinear(spark: SparkSession, folder: str) -> DataFrame:
     """The same over single words with damped term frequencies."""
-    return vec.top_k(_benchmark_scores(spark, folder, (1,), True), "query_id", "doc_id", 5)
+    return _benchmark_top(spark, folder, (1,), True)
 
 
 _DOCS_SIDES = "both_sides AS (SELECT CASE WHEN doc_id % 100 = 0 THEN 'q' ELSE 't' END AS side, doc_id AS id, text FROM documents)"
@@ -67,13 +69,10 @@ _SEARCH = """scored AS (SELECT a.id AS query_id, b.id AS target_id, round(sum(a.
   JOIN norms na ON na.side = a.side AND na.id = a.id JOIN norms nb ON nb.side = b.side AND nb.id = b.id WHERE a.side = 'q' GROUP BY a.id, b.id)"""
 
 
-def _search(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosines over pairs of words of the documents whose id is divisible by 100 with all others."""
+def _search(spark: SparkSession, folder: str) -> vec.SparseBlocks:
+    """Pairs of words of all documents as blocks; those whose id is divisible by 100 are queries."""
     docs = table(spark, folder, "documents")
-    weights = _weights(docs.select("doc_id", "text"), ["doc_id"], (2,))
-    queries = weights.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    scores = vec.cosine_scores(queries, weights.withColumnRenamed("doc_id", "target_id"), "query_id", "target_id")
-    return kept(scores.where("query_id <> target_id").withColumn("score", F.round("score", 6)), "scores")
+    return vec.sparse_blocks(docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 100 == 0).alias("query"), F.lit(True).alias("target")), (2,))
 
 
 @found.add(f"""WITH {_DOCS_SIDES}, {_terms_sql('both_sides', 'only')}, {_weights_sql()}, {_SEARCH},
@@ -89,7 +88,7 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     total = docs.count()
     follow = docs.select((F.col("doc_id") - 1).alias("query_id"))
     pos = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "lang").join(follow, "query_id").withColumn("target_id", F.col("query_id") + 1)
-    ranks = ev.positive_ranks(_search(spark, folder), pos.select("query_id", "target_id"), total).join(pos.select("query_id", "lang"), "query_id")
+    ranks = kept(vec.sparse_ranks(_search(spark, folder), pos.select("query_id", "target_id"), total).join(pos.select("query_id", "lang"), "query_id"), "ranks")
     long = ranks.select("lang", F.explode(F.array(F.struct(F.lit("by_id").alias("ties"), "rank"), F.struct(F.lit("shared").alias("ties"), F.col("best_rank").alias("rank")))).alias("x")).select("lang", "x.*")
     return ev.retrieval_metrics(long, ["lang", "ties"], "rank")
 
@@ -100,7 +99,7 @@ SELECT query_id, target_id, score, d.lang AS predicted, q.lang = d.lang AS right
 def knn_transfer(spark: SparkSession, folder: str) -> DataFrame:
     """The language of each query's nearest document, transferred to the query."""
     docs = table(spark, folder, "documents").select("doc_id", "lang")
-    best = vec.top_k(_search(spark, folder), "query_id", "target_id", 1)
+    best = vec.sparse_top_k(_search(spark, folder), 1, skip_own=True)
     named = best.join(docs.select(F.col("doc_id").alias("target_id"), F.col("lang").alias("predicted")), "target_id").join(docs.select(F.col("doc_id").alias("query_id"), "lang"), "query_id")
     return named.select("query_id", "target_id", "score", "predicted", (F.col("lang") == F.col("predicted")).alias("right_lang"))
 
@@ -236,6 +235,7 @@ def embedding_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+_AVERAGE_RANK = "rank() OVER (PARTITION BY task ORDER BY {v}) + (count(*) OVER (PARTITION BY task, {v}) - 1) / 2.0"
 _TRAIN = "('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % 10 < 7"
 
 
@@ -268,3 +268,73 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
 def rouge_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap of stems of each turn and the next one, and of their longest common subsequence."""
     return ev.rouge_stemmed(_aligned(spark, folder), "pair_id", "left_text", "right_text")
+
+
+@found.add(f"""WITH {_BAGS_SQL}, orders AS (SELECT unnest([1, 2, 3, 4]) AS n),
+rw AS (SELECT pair_id, n, list_transform(generate_series(1, len(r) - n + 1), lambda i: array_to_string(r[i:i + n - 1], '_')) AS g, list_transform(generate_series(1, len(h) - n + 1), lambda i: array_to_string(h[i:i + n - 1], '_')) AS hg, len(r) AS m_r, len(h) AS m_h FROM sides, orders),
+a AS (SELECT pair_id, n, g, count(*) AS c FROM (SELECT pair_id, n, unnest(hg) AS g FROM rw) GROUP BY ALL), b AS (SELECT pair_id, n, g, count(*) AS c FROM (SELECT pair_id, n, unnest(g) AS g FROM rw) GROUP BY ALL),
+hits AS (SELECT pair_id, n, sum(least(a.c, b.c)) AS hits FROM a JOIN b USING (pair_id, n, g) GROUP BY ALL),
+p AS (SELECT pair_id, n, m_r, m_h, coalesce(hits, 0) AS hits, (CASE WHEN coalesce(hits, 0) > 0 THEN hits ELSE 0.1 END)::DOUBLE / greatest(len(hg), 1) AS p FROM rw LEFT JOIN hits USING (pair_id, n))
+SELECT pair_id, round(CASE WHEN max(hits) FILTER (n = 1) = 0 THEN 0.0 ELSE CASE WHEN max(m_h) > max(m_r) THEN 1.0 ELSE exp(1 - max(m_r) / max(m_h)) END * exp(avg(ln(p))) END, 6) AS sentence_bleu FROM p GROUP BY pair_id""")
+def sentence_bleu(spark: SparkSession, folder: str) -> DataFrame:
+    """BLEU of each turn and the next one, smoothed."""
+    return ev.sentence_bleu(_aligned(spark, folder), "pair_id", "left_text", "right_text")
+
+
+@found.add(f"""WITH {_BAGS_SQL}, roles AS (SELECT conv_id * 1000 + turn AS pair_id, role FROM conversations), filled AS (SELECT pair_id, role, r, h FROM sides JOIN aligned USING (pair_id) JOIN roles USING (pair_id) WHERE trim(left_text) <> '' AND trim(right_text) <> ''),
+a AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest(r) AS w FROM filled) GROUP BY ALL), b AS (SELECT pair_id, w, count(*) AS n FROM (SELECT pair_id, unnest(h) AS w FROM filled) GROUP BY ALL), shared AS (SELECT pair_id, sum(least(a.n, b.n)) AS shared FROM a JOIN b USING (pair_id, w) GROUP BY pair_id),
+each AS (SELECT role, round(coalesce(2.0 * shared / nullif(len(r) + len(h), 0), 0), 6) AS rouge1, CASE WHEN r = h THEN 1 ELSE 0 END AS exact FROM filled LEFT JOIN shared USING (pair_id)),
+by_role AS (SELECT 'conversations' AS dataset, role, count(*) AS evaluated_count, round(100 * avg(rouge1), 4) AS rouge1, round(100 * avg(exact), 4) AS exact_match FROM each GROUP BY role),
+with_all AS (SELECT * FROM by_role UNION ALL SELECT dataset, 'ALL', sum(evaluated_count)::BIGINT, round(avg(rouge1), 4), round(avg(exact_match), 4) FROM by_role GROUP BY dataset)
+SELECT dataset, role AS part, 'row' AS kind, evaluated_count, rouge1, exact_match FROM with_all UNION ALL SELECT dataset, 'view', 'with ALL', sum(evaluated_count)::BIGINT, round(avg(rouge1), 4), round(avg(exact_match), 4) FROM with_all GROUP BY dataset
+UNION ALL SELECT dataset, 'view', 'without ALL', sum(evaluated_count)::BIGINT, round(avg(rouge1), 4), round(avg(exact_match), 4) FROM with_all WHERE role <> 'ALL' GROUP BY dataset""")
+def summary_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Word overlap and equality of non-empty pairs by role, with the row of all, and the view over these rows with and without it."""
+    pairs = _aligned(spark, folder).where((F.trim("left_text") != "") & (F.trim("right_text") != ""))
+    each = ev.rouge1(pairs, "pair_id", "left_text", "right_text").join(pairs.select("pair_id", "role"), "pair_id")
+    means = lambda rows, n: rows.agg(n.alias("evaluated_count"), F.round(F.avg("rouge1"), 4).alias("rouge1"), F.round(F.avg("exact_match"), 4).alias("exact_match"))
+    by_role = each.groupBy(F.lit("conversations").alias("dataset"), F.col("role").alias("part")).agg(F.count("*").alias("evaluated_count"), F.round(100 * F.avg("rouge1"), 4).alias("rouge1"), F.round(100 * F.avg("exact"), 4).alias("exact_match"))
+    by_role = kept(by_role, "by-role")
+    rows = by_role.unionByName(means(by_role.groupBy("dataset"), F.sum("evaluated_count")).withColumn("part", F.lit("ALL"))).withColumn("kind", F.lit("row"))
+    view = lambda r, kind: means(r.groupBy("dataset"), F.sum("evaluated_count")).withColumns({"part": F.lit("view"), "kind": F.lit(kind)})
+    return rows.unionByName(view(rows, "with ALL")).unionByName(view(rows.where("part <> 'ALL'"), "without ALL"))
+
+
+@found.add(f"""WITH {_DOCS_SIDES}, {_terms_sql('both_sides', 'only')}, {_weights_sql()}, {_SEARCH},
+pos AS (SELECT a.doc_id AS query_id, a.doc_id + 1 AS pos_id, a.lang, s.score FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN scored s ON s.query_id = a.doc_id AND s.target_id = a.doc_id + 1 WHERE a.doc_id % 100 = 0),
+ranks AS (SELECT p.query_id, p.lang, CASE WHEN max(p.score) IS NULL THEN max(n) ELSE 1 + count(*) FILTER (WHERE s.score > p.score) END AS best_rank FROM pos p CROSS JOIN total LEFT JOIN scored s USING (query_id) GROUP BY p.query_id, p.lang),
+size AS (SELECT doc_id, length(text)::DOUBLE AS n FROM documents), pairs AS (SELECT lang, 1.0 / best_rank AS y, round(least(a.n, b.n) / greatest(a.n, b.n), 6) AS x FROM ranks JOIN size a ON a.doc_id = query_id JOIN size b ON b.doc_id = query_id + 1),
+both_tasks AS (SELECT lang AS task, x, y FROM pairs UNION ALL SELECT 'ALL:size_ratio', x, y FROM pairs), ranked AS (SELECT *, {_AVERAGE_RANK.format(v='x')} AS rx, {_AVERAGE_RANK.format(v='y')} AS ry FROM both_tasks)
+SELECT task, count(*) AS n, round(CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END, 6) AS pearson_r, round(CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END, 6) AS spearman_r FROM ranked GROUP BY task""")
+def retrieval_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    """How the reciprocal rank of a document's follower goes with the ratio of their sizes, by language and pooled."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL")
+    size = docs.select("doc_id", F.length("text").cast("double").alias("n"))
+    pairs = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "lang", F.length("text").cast("double").alias("m")).join(size.select((F.col("doc_id") - 1).alias("query_id"), "n"), "query_id")
+    pairs = kept(pairs.withColumn("target_id", F.col("query_id") + 1), "positive-pairs")
+    ranks = vec.sparse_ranks(_search(spark, folder), pairs.select("query_id", "target_id"), table(spark, folder, "documents").count())
+    x = F.round(F.least("m", "n") / F.greatest("m", "n"), 6)
+    rows = kept(pairs.join(ranks, "query_id").select(F.explode(F.array("lang", F.lit("ALL:size_ratio"))).alias("task"), x.alias("x"), (1 / F.col("best_rank")).alias("y")), "rank-pairs")
+    return reports.correlations(rows, ["task"], "x", "y")
+
+
+_STOPWORDS = ("and", "the", "of", "de", "la", "und", "die")
+
+
+@found.add(rf"""WITH cut AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in _STOPWORDS)})) AS ws FROM benchmark),
+grams AS (SELECT item_id, unnest(list_transform(generate_series(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 2], '_'))) AS gram FROM cut) SELECT gram, count(*) AS n, count(DISTINCT item_id) AS items FROM grams GROUP BY gram""")
+def preprocessed_grams(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of three words of the benchmark's items, without stop words."""
+    grams = table(spark, folder, "benchmark").select("item_id", F.explode(tx.preprocessed(F.col("text"), _STOPWORDS, 3)).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("items"))
+
+
+@found.add("""
+WITH named AS (SELECT doc_id, source, CASE WHEN lower(lang) IN ('de', 'deu', 'german') THEN 'de' WHEN lower(lang) IN ('fr', 'fra', 'french') THEN 'fr' ELSE lower(lang) END AS language FROM documents WHERE n_chars > 200 AND NOT coalesce(lower(lang) IN ('es'), false))
+SELECT language, source, count(*) AS n_docs, min(doc_id) AS first_id FROM named GROUP BY ALL""")
+def selected_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of a permitted table by a predicate, without some languages, whose names count in all their spellings."""
+    rows = select_rows(spark, folder, "documents", where="n_chars > 200", without={"lang": ["ES"]})
+    low = F.lower("lang")
+    language = F.when(low.isin("de", "deu", "german"), "de").when(low.isin("fr", "fra", "french"), "fr").otherwise(low)
+    return rows.groupBy(language.alias("language"), "source").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"))

@@ -192,9 +192,9 @@ def sql_s_expressions(spark: SparkSession, folder: str) -> DataFrame:
 
 @found.add()
 def sql_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Edit distance and similarity, common subsequence and METEOR of each turn and the next one, by scalar functions in SQL text."""
+    """Edit similarity, common subsequence and METEOR of each turn and the next one, by scalar functions in SQL text."""
     name = _named_trees(spark, folder)
     return spark.sql(f"""
-        SELECT a.doc_id, ted_distance(a.tree, b.tree) AS distance, round(ted_similarity(a.tree, b.tree), 6) AS similarity,
+        SELECT a.doc_id, round(ted_similarity(a.tree, b.tree), 6) AS similarity,
           lcs_len(split(a.text, ' '), split(b.text, ' ')) AS lcs, round(meteor(split(a.text, ' '), split(b.text, ' ')), 6) AS meteor
         FROM {name} a JOIN {name} b ON b.doc_id = a.doc_id + 1""")

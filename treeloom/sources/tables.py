@@ -4,14 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def select_rows(spark: SparkSession, folder: str, name: str, where: Column | str | None = None, without: Mapping[str, Sequence[str]] | None = None, order: Sequence[str] = (), limit: int | None = None, allowed: Sequence[str] = TABLES) -> DataFrame:
+    """Rows of one of the ``allowed`` tables, by what is asked for: a predicate, values of columns to leave out, the first in an order. Any other name is an error before anything is read."""
+    if name not in allowed:
+        raise ValueError(f"no such table: {name}")
+    rows = table(spark, folder, name)
+    if where is not None:
+        rows = rows.where(where)
+    for column, values in (without or {}).items():
+        rows = rows.where(~F.coalesce(F.lower(column).isin(*[v.lower() for v in values]), F.lit(False)))
+    rows = rows.orderBy(*order) if order else rows
+    return rows if limit is None else rows.limit(limit)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset, one of this machine, if it is the only one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -103,7 +103,8 @@ def test_audio_prints_match_plain_sums():
 
 def test_audio_chroma_matches_a_plain_transform():
     rng = np.random.default_rng(21)
-    samples = (tune(rng.integers(45, 80, 14)) + rng.normal(0, 100, 14 * 1378)).astype("<i2")
+    samples = tune(rng.integers(45, 80, 14))
+    samples = (samples + rng.normal(0, 100, len(samples))).astype("<i2")
     n = (len(samples) - audio_prints.FRAME) // audio_prints.HOP + 1
     image = np.zeros((n, 12))
     for i in range(n):
@@ -204,6 +205,11 @@ def test_audio_planted_copies_among_tunes(spark, docs):
     text = dict([(r.doc_id, r.text) for r in rows] + planted)
     notes = {i: set(re.split("[.?!\n]", t)) for i, t in text.items()}
     assert all(notes[a] & notes[b] - {""} for a, b in got)
+    edited = [(30_000 + i, re.sub(r"[^.?!\n]+(?=[.?!\n])", lambda m: m.group() if zlib.crc32(m.group().encode()) % 12 else "changed " + m.group(), r.text)) for i, r in enumerate(rows) if len(re.findall("[.?!\n]", r.text)) > 20]
+    both = audio_prints.tune_prints(spark.createDataFrame([(r.doc_id, r.text) for r in rows] + edited, "doc_id long, text string"))
+    pairs = {(r.query_id, r.match_id) for r in audio_prints.search(both, F.col("id") >= 30_000).collect()}
+    found = sum((i, rows[i - 30_000].doc_id) in pairs for i, _ in edited)
+    assert len(edited) > 15 and found >= 0.9 * len(edited), (found, len(edited))
     few = audio_prints.search(made, F.lit(True), k=2).collect()
     assert {(r.query_id, r.match_id) for r in few} == {(r.query_id, r.match_id) for r in everything if r["rank"] <= 2}
     assert all(r.matches == sum(x.query_id == r.query_id for x in everything) for r in few)

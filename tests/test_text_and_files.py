@@ -1,5 +1,6 @@
 """Text functions, evaluation scores, readers, writers and the queue."""
 
+import collections
 import hashlib
 import itertools
 import json
@@ -203,6 +204,51 @@ def test_manifest(spark, tmp_path):
     assert [(r.size, r.sha256) for r in rows] == [(3, hashlib.sha256(b"abc").hexdigest())]
 
 
+def test_windows_hold_rows_that_come_late(spark, tmp_path):
+    schema = "ts timestamp, kind string, value double"
+    for i, day in enumerate((20, 21, 22, 1, 2, 20)):
+        spark.createDataFrame([(f"2024-01-{day:02d} 10:00:00", "a", 1.0)], "ts string, kind string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    stream = queue.read_queue(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, files_a_batch=1)
+    queue.collect_windows(queue.windowed_counts(stream, "ts", "kind"), f"{tmp_path}/out", f"{tmp_path}/state")
+    latest = spark.read.parquet(f"{tmp_path}/out").groupBy("start").agg(F.max_by("n", "batch").alias("n")).collect()
+    assert {r.start.day: r.n for r in latest} == {20: 2, 21: 1, 22: 1, 1: 1, 2: 1}
+
+
+def test_sparse_search_equals_brute_force(spark):
+    import math
+
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice("a b c dd ee f g h i".split()) for _ in range(rng.randint(0, 12))) for i in range(60)}
+    texts[7], texts[8] = "", texts[9]
+    rows = spark.createDataFrame([(i, t or None, i % 10 == 0, True) for i, t in texts.items()], "id long, text string, query boolean, target boolean").repartition(5)
+    grams = {i: collections.Counter(w := t.split()) + collections.Counter(zip(w, w[1:])) for i, t in texts.items()}
+    df = collections.Counter(g for c in grams.values() for g in c)
+    weight = {i: {g: n * (math.log(61 / (1 + df[g])) + 1) for g, n in c.items()} for i, c in grams.items()}
+    norm = {i: math.sqrt(sum(x * x for x in w.values())) for i, w in weight.items()}
+    score = lambda a, b: round(sum(x * weight[b].get(g, 0) for g, x in weight[a].items()) / (norm[a] * norm[b]), 6) if norm[a] and norm[b] else 0
+    blocks = vec.sparse_blocks(rows, (1, 2), block=7)
+    got = {}
+    for r in vec.sparse_top_k(blocks, 4, skip_own=True).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.target_id, r.score))
+    for q in range(0, 60, 10):
+        want = sorted((-score(q, t), t) for t in texts if t != q and score(q, t) > 0)[:4]
+        assert [t for t, _ in got.get(q, [])] == [t for _, t in want] and all(abs(s + x[0]) < 2e-6 for (_, s), x in zip(got.get(q, []), want))
+    pos = spark.createDataFrame([(q, q + 7) for q in range(0, 60, 10) if q + 7 in texts], "query_id long, target_id long")
+    for r in vec.sparse_ranks(blocks, pos, 60).collect():
+        p = score(r.query_id, r.query_id + 7)
+        others = [(t, score(r.query_id, t)) for t in texts if t != r.query_id]
+        above, ties = sum(s > p for _, s in others), sum(s == p and t < r.query_id + 7 for t, s in others)
+        assert (r["rank"], r.best_rank) == ((60, 60) if p == 0 else (1 + above + ties, 1 + above))
+
+
+def test_running_counts_stand_far_values(spark):
+    values = [0.001 * i for i in range(2000)] + [1e12, -1e12] + [5.0] * 50
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.n_upto for r in reports.cumulative(rows, [], "v", {"n": F.lit(1)}).collect()}
+    ordered = sorted(values)
+    assert got == {v: ordered.index(v) for v in set(values)}
+
+
 def test_queue_goes_on_where_it_stopped(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
     rows.write.parquet(f"{tmp_path}/in")

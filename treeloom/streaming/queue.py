@@ -24,9 +24,14 @@ def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, c
     work(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Rows of each window and value of ``by``; rows later than ``delay`` are dropped by the engine."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Rows of each window and value of ``by``, in whatever order they come; the state holds a row for each of these.
+
+    With ``delay``, windows leave the state that long after the latest time
+    seen, and rows that come later than that are lost: for queues without end.
+    """
+    timed = stream if delay is None else stream.withWatermark(time, delay)
+    return timed.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def collect_windows(counts: DataFrame, out: str, checkpoint: str) -> None:

@@ -170,16 +170,11 @@ size AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM grams GROUP BY doc_id), do
 SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(CASE WHEN na.norm IS NULL AND nb.norm IS NULL THEN 1.0 WHEN na.norm IS NULL OR nb.norm IS NULL THEN 0.0 ELSE coalesce(dot, 0) / (na.norm * nb.norm) END, 6) AS ngram_cosine
 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN size na ON na.doc_id = a.doc_id LEFT JOIN size nb ON nb.doc_id = b.doc_id LEFT JOIN dots d ON d.doc_id = a.doc_id""")
 def ngram_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine of the word-pair counts of each document and the next one: 1 if both have none, 0 if one has."""
-    docs = table(spark, folder, "documents")
-    grams = vec.term_counts(docs, ["doc_id"], F.col("text"), (2,), "_").withColumnRenamed("tf", "n")
-    size = grams.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    back = lambda d: d.withColumn("doc_id", F.col("doc_id") - 1)
-    dots = grams.join(back(grams).withColumnRenamed("n", "m"), ["doc_id", "term"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    ids = docs.select("doc_id")
-    pair = ids.join(back(ids), "doc_id").join(size.withColumnRenamed("norm", "na"), "doc_id", "left").join(back(size).withColumnRenamed("norm", "nb"), "doc_id", "left").join(dots, "doc_id", "left")
-    cosine = F.when(F.col("na").isNull() & F.col("nb").isNull(), 1.0).when(F.col("na").isNull() | F.col("nb").isNull(), 0.0).otherwise(F.coalesce("dot", F.lit(0)) / (F.col("na") * F.col("nb")))
-    return pair.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id"), F.round(cosine, 6).alias("ngram_cosine"))
+    """Cosine of the word-pair counts of each document and the next one: 1 if both have none, 0 if one has. A pair is one row, of hashes."""
+    grams = table(spark, folder, "documents").select("doc_id", vec.hashed_terms(F.col("text"), (2,)).alias("a"))
+    pairs = grams.join(grams.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    found = vec.pair_cosines(pairs, "doc_id", "a", "b")
+    return found.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id"), F.round("cosine", 6).alias("ngram_cosine"))
 
 
 _BAGS_SQL = f"""{_PAIRS_SQL}, sides AS (SELECT pair_id, regexp_extract_all(lower(left_text), '[\\p{{L}}\\p{{N}}_]+') AS r, regexp_extract_all(lower(right_text), '[\\p{{L}}\\p{{N}}_]+') AS h FROM aligned)"""
@@ -338,3 +333,15 @@ def selected_languages(spark: SparkSession, folder: str) -> DataFrame:
     low = F.lower("lang")
     language = F.when(low.isin("de", "deu", "german"), "de").when(low.isin("fr", "fra", "french"), "fr").otherwise(low)
     return rows.groupBy(language.alias("language"), "source").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"))
+
+
+@found.add(f"""WITH {_DOCS_SIDES}, {_terms_sql('both_sides', 'only')}, {_weights_sql()}, {_SEARCH},
+best AS (SELECT s.query_id, q.lang AS language1, t.lang AS language2, s.score, s.target_id, row_number() OVER (PARTITION BY s.query_id, t.lang ORDER BY s.score DESC, s.target_id) AS nth FROM scored s JOIN documents q ON q.doc_id = s.query_id JOIN documents t ON t.doc_id = s.target_id WHERE q.lang <> t.lang)
+SELECT language1, language2, count(*) AS sample_count, round(avg(score), 6) AS mean_score, max(score) AS max_score, min(target_id) AS first_target FROM best WHERE nth = 1 GROUP BY ALL""")
+def directed_language_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest document in each other language, by ordered pair of languages."""
+    docs = table(spark, folder, "documents").where("lang IS NOT NULL OR text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 100 == 0).alias("query"), F.lit(True).alias("target"), "lang")
+    best = vec.sparse_top_k(vec.sparse_blocks(texts, (2,), part="lang"), 1, skip_own=True, parts=True)
+    named = best.join(docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("language1")), "query_id").where("part <> language1 AND part <> ''")
+    return named.groupBy("language1", F.col("part").alias("language2")).agg(F.count("*").alias("sample_count"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.min("target_id").alias("first_target"))

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 import zlib
 
 import numpy as np
@@ -580,6 +581,30 @@ def test_flow_is_cheapest_by_brute_force():
         assert (sum(sent.values()), -sum(price(patterns[p], n) for p, n in sent.items())) == best
 
 
+def test_flow_of_many_patterns():
+    rng = np.random.default_rng(5)
+    alone = {(f"s{i}",): int(rng.integers(0, 1000)) for i in range(10_000)}
+    quotas = {p[0]: int(rng.integers(0, 2000)) for p in alone}
+    began = time.perf_counter()
+    assert mixing.min_cost_flow(alone, quotas) == {p: {p[0]: min(3 * n, quotas[p[0]])} for p, n in alone.items()}
+    shared = {tuple(f"s{i}" for i in sorted(rng.choice(500, int(rng.integers(1, 4)), replace=False))): int(rng.integers(1, 1000)) for _ in range(10_000)}
+    quotas = {s: int(rng.integers(0, 90_000)) for p in shared for s in p}
+    flow = mixing.min_cost_flow(shared, quotas)
+    assert time.perf_counter() - began < 60
+    into = collections.Counter()
+    for p, to in flow.items():
+        assert set(to) == set(p) and 0 <= sum(to.values()) <= 3 * shared[p] and min(to.values()) >= 0
+        into.update(to)
+    assert all(into[s] <= quotas[s] for s in quotas)
+    # A pattern with words left has no source with room left, so the flow is maximal unless words are moved; a cut proves it.
+    open_ = {s for s in quotas if into[s] < quotas[s]}
+    grown = True
+    while grown:
+        more = {s for p, to in flow.items() for s in p if to[s] and open_ & set(p)} - open_
+        open_, grown = open_ | more, bool(more)
+    assert all(sum(to.values()) == 3 * shared[p] for p, to in flow.items() if open_ & set(p))
+
+
 def test_mix_edges(spark, edges):
     got = mixing.mix(edges, F.array("source")).toPandas()
     assert len(got) == len(EDGES) and (got[got.text.isna() | (got.text == "")].taken == 0).all()

@@ -7,7 +7,8 @@ in the number of repeats; an arc leads from a pattern to each of its sources,
 and each source takes up to its quota. The cheapest maximal flow gives each
 pattern a number of words. Its documents, in seeded order, then supply whole
 passes over the pattern and a last part of a pass; the document at the edge of
-that part is cut there, so that the words taken equal the flow.
+that part is cut there, so that the words taken equal the flow. Sources that share
+no document need no flow; the others are solved by groups that share some.
 
 Nulls, ties, edges: a null source is a source of its own, sorted last; a null
 or empty text has size 0 and nothing is taken of it. The seeded order is by a
@@ -18,8 +19,7 @@ no rows. Columns named as an output are replaced.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,65 +57,104 @@ def capped_targets(sizes: dict, weights: Sequence[float] = (1, 2, 3), most: floa
             return {s: fixed[s] for s in sizes}
 
 
-def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_repeats: int = 3) -> dict[tuple, dict]:
-    """Words that each pattern sends to each of its sources: a maximal flow of least repetition cost, by successive shortest paths with potentials."""
-    ids: dict = {}
-    graph: list[list[int]] = []
-    to, room, cost = [], [], []
-
-    def node(name) -> int:
-        if name not in ids:
-            ids[name] = len(graph)
-            graph.append([])
-        return ids[name]
-
-    def arc(a: int, b: int, capacity: int, price: int) -> int:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-        return len(to) - 2
-
-    source, sink = node("source"), node("sink")
-    for s, quota in quotas.items():
-        arc(node(("to", s)), sink, int(quota), 0)
-    sent = {}
-    for pattern, words in patterns.items():
-        for level in range(max_repeats):
-            arc(source, node(("of", pattern)), int(words), level)
-        for s in pattern:
-            sent[pattern, s] = arc(node(("of", pattern)), node(("to", s)), int(words) * max_repeats, 0)
-    potential = [0] * len(graph)
+def _components(patterns: Iterable[tuple]) -> list[list[tuple]]:
+    """Patterns in groups that share no source with each other."""
+    parent: dict = {}
+
+    def root(s):
+        while parent.setdefault(s, s) != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            parent[root(s)] = root(p[0])
+    groups: dict = {}
+    for p in patterns:
+        groups.setdefault(root(p[0]), []).append(p)
+    return list(groups.values())
+
+
+def _push(spare: list[int], room: list[int], near: list[list[int]], sent: list[dict[int, int]]) -> None:
+    """Raise the flow ``sent`` from patterns (nodes below ``len(spare)``) to sources (the others) to its maximum, by blocking flows.
+
+    What a pattern can still send is ``spare``, what a source still takes ``room``.
+    A step from a source to a pattern takes back what that pattern sends to it.
+    """
+    n = len(spare)
     while True:
-        far, via = {source: 0}, {}
-        queue, done = [(0, source)], set()
-        while queue:
-            d, a = heapq.heappop(queue)
-            if a in done:
-                continue
-            done.add(a)
-            for e in graph[a]:
-                if room[e] > 0 and (to[e] not in far or d + cost[e] + potential[a] - potential[to[e]] < far[to[e]]):
-                    far[to[e]] = d + cost[e] + potential[a] - potential[to[e]]
-                    via[to[e]] = e
-                    heapq.heappush(queue, (far[to[e]], to[e]))
-        if sink not in far:
-            break
-        limit = max(far.values())
-        for a in range(len(graph)):
-            potential[a] += far.get(a, limit)
-        path, a = [], sink
-        while a != source:
-            path.append(via[a])
-            a = to[via[a] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+        depth = [-1] * len(near)
+        front, reached = [p for p in range(n) if spare[p]], False
+        for p in front:
+            depth[p] = 0
+        while front and not reached:
+            found = []
+            for a in front:
+                for b in near[a]:
+                    if depth[b] < 0 and (a < n or sent[b].get(a)):
+                        depth[b] = depth[a] + 1
+                        found.append(b)
+                        reached = reached or (b >= n and room[b - n] > 0)
+            front = found
+        if not reached:
+            return
+        tried = [0] * len(near)
+        for p in range(n):
+            path = [p] if spare[p] and depth[p] == 0 else []
+            while path:
+                a = path[-1]
+                if a >= n and room[a - n]:
+                    back = list(zip(path[1::2], path[2::2], strict=False))
+                    amount = min(spare[p], room[a - n], *(sent[q][s] for s, q in back))
+                    for s, q in back:
+                        sent[q][s] -= amount
+                    for q, s in zip(path[::2], path[1::2], strict=True):
+                        sent[q][s] = sent[q].get(s, 0) + amount
+                    spare[p] -= amount
+                    room[a - n] -= amount
+                    path = [p] if spare[p] else []
+                    continue
+                while tried[a] < len(near[a]):
+                    b = near[a][tried[a]]
+                    if depth[b] == depth[a] + 1 and (a < n or sent[b].get(a)):
+                        path.append(b)
+                        break
+                    tried[a] += 1
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] += 1
+
+
+def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_repeats: int = 3) -> dict[tuple, dict]:
+    """Words that each pattern sends to each of its sources: a maximal flow of least repetition cost.
+
+    Only the arcs into patterns cost something, the n-th pass over a pattern
+    n - 1; no path of a flow comes back to the start, so paths of equal cost are
+    those through patterns with words left in the same pass, and the cheapest flow
+    is found pass by pass, each by blocking flows on top of those before. A source
+    that shares no document with another has one pattern and takes what it can.
+    """
     flow: dict[tuple, dict] = {}
-    for (pattern, s), e in sent.items():
-        flow.setdefault(pattern, {})[s] = room[e ^ 1]
+    for group in _components(patterns):
+        if len(group) == 1 and len(group[0]) == 1:
+            (p,) = group
+            flow[p] = {p[0]: min(int(patterns[p]) * max_repeats, int(quotas[p[0]]))}
+            continue
+        n, names = len(group), list(dict.fromkeys(s for p in group for s in p))
+        node = {s: n + i for i, s in enumerate(names)}
+        near: list[list[int]] = [[node[s] for s in p] for p in group] + [[] for _ in names]
+        for i, p in enumerate(group):
+            for s in p:
+                near[node[s]].append(i)
+        spare, room = [0] * n, [int(quotas[s]) for s in names]
+        sent: list[dict[int, int]] = [{} for _ in group]
+        for _ in range(max_repeats):
+            spare = [left + int(patterns[p]) for left, p in zip(spare, group, strict=True)]
+            _push(spare, room, near, sent)
+        for p, to in zip(group, sent, strict=True):
+            flow[p] = {s: to.get(node[s], 0) for s in p}
     return flow
 
 
@@ -147,7 +186,10 @@ def mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str = "text
     patterns = {tuple(r["__sources"]): int(r["words"] or 0) for r in per_pattern if r["__sources"]}
     patterns = {p: patterns[p] for p in sorted(patterns, key=lambda p: list(map(by_code, p)))}  # of equally cheap flows always the same
     names = sorted({s for p in patterns for s in p}, key=by_code)
-    sizes = {s: sum(w for p, w in patterns.items() if s in p) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for p, words in patterns.items():
+        for s in p:
+            sizes[s] += words
     targets = capped_targets(sizes, weights, max_repeats)
     flow = min_cost_flow(patterns, {s: round(t) for s, t in targets.items()}, max_repeats)
     plan = [(list(p), sizes[p[0]], float(targets[p[0]]), *divmod(sum(flow[p].values()), max(words, 1))) for p, words in patterns.items()]

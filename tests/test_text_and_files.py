@@ -1,7 +1,9 @@
 """Text functions, evaluation scores, readers, writers and the queue."""
 
 import collections
+import csv
 import hashlib
+import io
 import itertools
 import json
 import random
@@ -104,8 +106,29 @@ def test_sinks(spark, tmp_path):
     sinks.write_partitions(old, f"{tmp_path}/p", "k")
     sinks.write_partitions(new.where("k = 'b'"), f"{tmp_path}/p", "k")
     assert rows(spark.read.parquet(f"{tmp_path}/p").select("k", "n")) == [("a", 1), ("b", 5)]
-    sinks.append_csv(old, f"{tmp_path}/c")
-    assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 2
+
+
+def test_csv_has_one_header_and_holds_any_text(spark, tmp_path):
+    path, kind = f"{tmp_path}/c", "k string, n int, t string"
+    said = [("a", 1, ' "x",\n y\r\nz '), ("", None, None), (None, 2, ""), ("k", 3, "n"), ("ü", 4, "\\")]
+    for part in (said[:2], said[2:4], said[4:]):
+        sinks.append_csv(spark.createDataFrame(part, kind), path)
+    assert sorted(map(tuple, sinks.read_csv(spark, path, kind).collect()), key=repr) == sorted(said, key=repr)
+    whole = "".join(p.read_text(newline="") for p in sorted((tmp_path / "c").rglob("*.csv")))
+    assert whole.startswith("k,n,t\n") and whole.count("k,n,t") == 1
+    assert list(csv.reader(io.StringIO(whole, newline="")))[1:][0] in ([("a"), "1", ' "x",\n y\r\nz '], ["", "", ""])
+
+
+def test_tree_files(spark, tmp_path):
+    rows = [("1", '{"type": "a",\n "children": []}', "x"), ('q"uote', '{"type": "b"}', "y"), ("3", None, None)]
+    sinks.write_trees(spark.createDataFrame(rows, "key string, tree string, lang string"), f"{tmp_path}/t", "key", "tree", ["lang"])
+    got = {r.key: (r.tree and json.loads(r.tree), r.lang) for r in files.read_trees(spark, f"{tmp_path}/t").collect()}
+    assert got == {"1": ({"type": "a", "children": []}, "x"), 'q"uote': ({"type": "b"}, "y"), "3": (None, None)}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text('{"type": "a",\n "text": "x"}\n')
+    (tmp_path / "one" / "b.json").write_text("no tree")
+    got = {r.file.rsplit("/", 1)[1]: r.tree and json.loads(r.tree) for r in files.read_trees(spark, f"{tmp_path}/one", whole=True).collect()}
+    assert got == {"a.json": {"type": "a", "text": "x"}, "b.json": None}
 
 
 def test_export_goes_on(spark, tmp_path):
@@ -201,7 +224,20 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "d" / "one").write_bytes(b"abc")
     (tmp_path / "d" / ".two").write_bytes(b"x")
     rows = files.manifest(spark, str(tmp_path / "d")).collect()
-    assert [(r.size, r.sha256) for r in rows] == [(3, hashlib.sha256(b"abc").hexdigest())]
+    assert [(r.path, r.size, r.sha256) for r in rows] == [("one", 3, hashlib.sha256(b"abc").hexdigest())]
+    (tmp_path / "d" / "in").mkdir()
+    (tmp_path / "d" / "in" / "a").write_bytes(b"xy")
+    (tmp_path / "d" / "empty").write_bytes(b"")
+    lines = "".join(f"{p}\t{len(b)}\t{hashlib.sha256(b).hexdigest()}\n" for p, b in (("in/a", b"xy"), ("one", b"abc")))
+    assert tuple(files.manifest_totals(files.manifest(spark, str(tmp_path / "d"))).head()) == (2, 5, hashlib.sha256(lines.encode()).hexdigest())
+
+
+def test_audit_rows(spark):
+    rows = spark.createDataFrame([(1, "x", 2), (2, None, None)], "k int, t string, n int")
+    got = reports.audit_rows(rows, {"row_id": F.col("k")}, {"code": F.col("t")}, {"a": {"n": F.col("n")}}, [{"n": F.col("n")}], {"n": "nodes"}).orderBy("row_id").collect()
+    assert [r.code_sha256 for r in got] == [hashlib.sha256(t).hexdigest() for t in (b"x", b"")]
+    assert json.loads(got[0].summary) == {"a": {"n": 2}} and json.loads(got[1].summary) == {"a": {}}
+    assert json.loads(got[0].raw_runs) == {"measurement_count": 1, "runs": [{"n": 2}], "columns": {"n": "nodes"}}
 
 
 def test_windows_hold_rows_that_come_late(spark, tmp_path):

@@ -122,3 +122,29 @@ def run_record(spark: SparkSession, folder: str) -> DataFrame:
     rows = row.select(F.explode(F.from_json("steps", step)).alias("step", "x"), told.alias("e"))
     described = F.col("e.host").isNotNull() & F.col("e.python").isNotNull() & F.col("e.packages")["pyspark"].isNotNull() & (F.length(F.col("e.scripts")["store_queries.py"]) == 64)
     return rows.select("step", "x.n_rows", "x.n_chars", (F.col("x.seconds") >= 0).alias("timed"), described.alias("described"))
+
+
+@found.add("SELECT doc_id, lang, source, strlen(text) AS n_bytes, sha256(text) AS text_sha256 FROM documents")
+def csv_appends(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents appended to one CSV in three batches, and read back."""
+    path, docs = _folder(spark, "csv"), table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    for i in range(3):
+        sinks.append_csv(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == i), path)
+    rows = sinks.read_csv(spark, path, "doc_id long, lang string, source string, text string")
+    text = F.col("text").cast("binary")
+    return rows.select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
+@found.add("""
+WITH shards AS (SELECT 'shard=' || (doc_id // 100) AS path, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, text) || chr(10) AS content FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id // 100),
+files AS (SELECT path, strlen(content)::BIGINT AS size, sha256(content) AS sha256 FROM shards)
+SELECT path, 1::BIGINT AS file_count, size, sha256 FROM files UNION ALL SELECT 'manifest', count(*), sum(size)::BIGINT, sha256(string_agg(path || chr(9) || size || chr(9) || sha256 || chr(10), '' ORDER BY path)) FROM files
+""")
+def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the files that a hundred documents each are written to, and its totals."""
+    path = _folder(spark, "artifact")
+    docs = table(spark, folder, "documents").where("doc_id IS NOT NULL").select(F.expr("doc_id div 100").alias("shard"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("shard").sortWithinPartitions("shard", "doc_id", "value").select("value", "shard").write.partitionBy("shard").text(path)
+    rows = files.manifest(spark, path, F.regexp_extract("path", r"(shard=-?\d+)/[^/]*$", 1)).where("path <> ''")
+    totals = files.manifest_totals(rows).select(F.lit("manifest").alias("path"), "file_count", F.col("total_bytes").alias("size"), "sha256")
+    return rows.select("path", F.lit(1).cast("long").alias("file_count"), "size", "sha256").unionByName(totals)

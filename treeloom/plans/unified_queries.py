@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.operators import edit_distance as ed
 from treeloom.operators import node_tables as nt
+from treeloom.operators import reports
 from treeloom.plans.common import Queries
-from treeloom.plans.statement_queries import LANGUAGES, STATEMENTS_SQL, statement_nodes
+from treeloom.plans.statement_queries import LANGUAGES, STATEMENTS_SQL, statement_nodes, statement_trees, with_language
 from treeloom.plans.tree_queries import SEVERITIES, turns
-from treeloom.sources.tables import kept
+from treeloom.sources.files import read_trees
+from treeloom.sources.sinks import write_trees
+from treeloom.sources.tables import kept, shared_dir
 
 found = Queries()
 
@@ -209,3 +215,70 @@ def statement_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
     base = rows.where("severity = 0").select("metric", "doc_id", F.col("value").alias("baseline"))
     each = rows.join(base, ["metric", "doc_id"]).withColumn("delta", F.col("value") - F.col("baseline"))
     return each.groupBy("metric", "severity").agg(F.count("*").alias("sample_count"), F.round(F.avg("value"), 6).alias("value"), F.round(F.avg("delta"), 6).alias("delta"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"))
+
+
+@found.add(f"""WITH {STATEMENTS_SQL} SELECT language, type, count(*) AS n_nodes, count(DISTINCT doc_id) AS n_trees, sum(depth)::BIGINT AS depths, sum(strlen(nodes.text))::BIGINT AS n_bytes FROM nodes JOIN turns USING (doc_id) GROUP BY language, type""")
+def tree_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All turns' statement trees written as JSON files by language, read back and flattened: nodes by language and type."""
+    path = f"{shared_dir(spark)}/treeloom/trees-{uuid.uuid4().hex}"
+    named = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    made = statement_trees(turns(spark, folder)).withColumn("language", F.try_element_at(named, F.col("role")))
+    write_trees(made.select("doc_id", "tree", "language"), path, "doc_id", "tree", ["language"])
+    read = read_trees(spark, path, "doc_id").select(F.struct("language", "doc_id").alias("turn"), "tree")
+    nodes = nt.read_nodes(read, "turn", "tree", "json")
+    return nodes.groupBy("turn.language", "type").agg(F.count("*").alias("n_nodes"), F.countDistinct("turn.doc_id").alias("n_trees"), F.sum("depth").cast("long").alias("depths"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+
+
+@found.add(f"""WITH {UNIFIED_SQL}, o AS (SELECT doc_id, count(*) AS n, {_WORDS_SQL} AS a, string_agg(repeat('  ', depth) || type, chr(10) ORDER BY node_id) AS shown FROM nodes GROUP BY doc_id),
+u AS (SELECT doc_id, count(*) AS n, {_WORDS_SQL} AS a, string_agg(repeat('  ', depth) || type, chr(10) ORDER BY node_id) AS shown FROM unified GROUP BY doc_id)
+SELECT 'conversations' AS dataset, language, role AS split, doc_id AS row_id, sha256(coalesce(turns.text, '')) AS code_sha256, sha256(o.shown) AS original_sha256, sha256(coalesce(u.shown, '')) AS unified_sha256,
+  '{{"representation":{{"nodes":{{"original":' || o.n || ',"unified":' || coalesce(u.n, 0) || '}},"attributes":{{"original":' || o.a || ',"unified":' || coalesce(u.a, 0) || '}}}}}}' AS summary,
+  '{{"measurement_count":1,"runs":[{{"stage":"original","nodes":' || o.n || '}},{{"stage":"unified","nodes":' || coalesce(u.n, 0) || '}}],"columns":{{"nodes":"nodes of a tree","attributes":"words of its texts"}}}}' AS raw_runs
+FROM turns JOIN o USING (doc_id) LEFT JOIN u USING (doc_id)""")
+def measurement_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn's measurements as nested JSON of a summary and of its runs, beside hashes of its text and of both trees."""
+    nodes = statement_nodes(spark, folder)
+    unified = unified_nodes(nodes)
+    of = lambda rows, p: nt.attributes(rows, "doc_id", f"{p}_words").withColumnRenamed("n_nodes", f"{p}_nodes").join(nt.indented(rows, "doc_id", f"{p}_shown"), "doc_id")
+    rows = of(nodes, "o").join(of(unified, "u"), "doc_id", "left").na.fill(0, ["u_nodes", "u_words"]).na.fill("", ["u_shown"])
+    return reports.audit_rows(with_language(rows, spark, folder).join(turns(spark, folder).select("doc_id", "role", "text"), "doc_id"), {
+        "dataset": F.lit("conversations"), "language": F.col("language"), "split": F.col("role"), "row_id": F.col("doc_id"),
+    }, {"code": F.col("text"), "original": F.col("o_shown"), "unified": F.col("u_shown")}, {
+        "representation": {"nodes": {"original": F.col("o_nodes"), "unified": F.col("u_nodes")}, "attributes": {"original": F.col("o_words"), "unified": F.col("u_words")}},
+    }, [{"stage": F.lit(stage), "nodes": F.col(f"{stage[0]}_nodes")} for stage in ("original", "unified")], {"nodes": "nodes of a tree", "attributes": "words of its texts"})
+
+
+STAGES = {"types": {"texts": False, "compress": False}, "texts": {"types": False, "compress": False}, "types_texts": {"compress": False}, "full": {}}
+_STAGES_SQL = f"""{UNIFIED_SQL}, s_types AS (SELECT doc_id, {_case(_CLEAN)} AS type, {_PLAIN} AS text FROM nodes), s_texts AS (SELECT doc_id, type, {_SAID} AS text FROM nodes),
+s_types_texts AS (SELECT doc_id, {_case(_CLEAN)} AS type, {_SAID} AS text FROM nodes), s_full AS (SELECT doc_id, type, text FROM unified),
+{_TABLE_SQL}, {_found_sql("had", "nodes", "type")}, {", ".join(_found_sql(f"has_{v}", f"s_{v}", "type") for v in STAGES)},
+s_has AS ({" UNION ALL ".join(f"SELECT '{v}' AS variant, * FROM has_{v}" for v in STAGES)}),
+s_sizes AS ({" UNION ALL ".join(f"SELECT '{v}' AS variant, doc_id, count(*) AS n, {_WORDS_SQL} AS words FROM s_{v} GROUP BY doc_id" for v in STAGES)}),
+s_whole AS (SELECT doc_id, count(*) AS n_original, {_WORDS_SQL} AS words_original FROM nodes GROUP BY doc_id),
+s_trees AS (SELECT variant, doc_id, language, n_original, words_original FROM s_whole JOIN turns USING (doc_id), (VALUES {", ".join(f"('{v}')" for v in STAGES)}) v(variant))"""
+
+
+@found.add(f"""WITH {_STAGES_SQL}, s_pec AS (SELECT s.variant, s.doc_id, {", ".join(f"CASE WHEN count(h.category) FILTER ({w}) = 0 THEN 1.0 ELSE count(x.category) FILTER ({w}) / count(h.category) FILTER ({w}) END AS {v}" for v, w in (("code", "h.category <> 'OOP'"), ("whole", "true")))}
+  FROM s_trees s LEFT JOIN had h USING (doc_id) LEFT JOIN s_has x ON x.variant = s.variant AND x.doc_id = h.doc_id AND x.category = h.category GROUP BY s.variant, s.doc_id)
+SELECT variant, language, count(*) AS sample_count, round(avg(coalesce(n, 0)), 6) AS avg_nodes, round(avg(coalesce(n, 0) / n_original), 6) AS structure_ratio, round(1 - avg(coalesce(n, 0) / n_original), 6) AS structure_gain,
+  round(sum(words_original - coalesce(words, 0)) / greatest(sum(words_original), 1), 6) AS words_lost, round(avg(code), 6) AS pec_code, round(avg(whole), 6) AS pec_all
+FROM s_trees JOIN s_pec USING (variant, doc_id) LEFT JOIN s_sizes USING (variant, doc_id) GROUP BY variant, language""")
+def statement_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of each stage of unification by the turns' language: nodes, structure, words lost, completeness without and with classes."""
+    nodes = statement_nodes(spark, folder)
+    spoken = with_language(nodes.select("doc_id").distinct(), spark, folder)
+    variant = F.explode(F.array(*map(F.lit, STAGES)))
+    stages = [nt.unify(nodes, "doc_id", RULES, **flags).withColumn("variant", F.lit(name)) for name, flags in STAGES.items()]
+    left = kept(reduce(DataFrame.unionByName, stages).withColumn("tree", F.struct("variant", "doc_id")), "stages")
+    table = spark.createDataFrame(_CATEGORY_ROWS, "language string, type string, category string")
+    of = lambda rows, key: nt.table_categories(rows.join(spoken, "doc_id"), key, table, RULES.aliases, TYPE_TEXTS, F.col("language"))
+    had = of(nodes, "doc_id").withColumn("variant", variant).withColumn("tree", F.struct("variant", "doc_id")).drop("variant", "doc_id")
+    pec = nt.completeness(had, of(left, "tree"), "tree", {v: VIEWS[v] for v in ("code", "all")})
+    share = lambda v: F.when(F.col(f"had_{v}") == 0, 1.0).otherwise(F.col(f"kept_{v}") / F.col(f"had_{v}"))
+    sizes = nt.attributes(left, "tree", "words").withColumnRenamed("n_nodes", "n")
+    whole = nt.attributes(nodes, "doc_id", "words_original").withColumnRenamed("n_nodes", "n_original").join(spoken, "doc_id")
+    trees = whole.withColumn("variant", variant).withColumn("tree", F.struct("variant", "doc_id"))
+    rows = trees.join(pec, "tree").join(sizes, "tree", "left").na.fill(0, ["n", "words"])
+    ratio, lost = F.avg(F.col("n") / F.col("n_original")), F.sum(F.col("words_original") - F.col("words")) / F.greatest(F.sum("words_original"), F.lit(1))
+    means = {"avg_nodes": F.avg("n"), "structure_ratio": ratio, "structure_gain": 1 - ratio, "words_lost": lost, "pec_code": F.avg(share("code")), "pec_all": F.avg(share("all"))}
+    return rows.groupBy("variant", "language").agg(F.count("*").alias("sample_count"), *[F.round(v, 6).alias(k) for k, v in means.items()])

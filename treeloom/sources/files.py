@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,8 +69,42 @@ def read_parallel(spark: SparkSession, sides: dict[str, str], split: str, stem:
     return out.select(F.concat(F.lit(f"{split}_func_"), F.col("line").cast("string")).alias("func_name"), "file", "line", *sides)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and SHA-256 of all files below ``path``; hidden files and folders are skipped."""
+def manifest(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """Name, size and SHA-256 of all files below ``path``; hidden files and folders are skipped.
+
+    ``name`` is an expression of the file's whole ``path``; by default it is the
+    path below the folder. Each file is read whole, of 2 GB at most; Spark's reader
+    skips empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    shown = files.where(~F.col("path").rlike(r"/\.[^/]*"))
-    return shown.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    base = path.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
+    below = F.substring_index("path", base, -1)
+    shown = files.where(~F.concat(F.lit("/"), below).rlike(r"/\.[^/]*"))
+    return shown.select((below if name is None else name).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_totals(rows: DataFrame) -> DataFrame:
+    """``file_count``, ``total_bytes`` and ``sha256`` of a manifest: that of its lines of path, size and hash between tabs, by path in code points.
+
+    A flat hash is sequential, so one task holds a line of some hundred bytes for
+    each file; the listing of the files does so as well. ``manifest_hash`` of the
+    plans is a tree of hashes for entries of any number.
+    """
+    line = F.concat("path", F.lit("\t"), F.col("size").cast("string"), F.lit("\t"), "sha256", F.lit("\n"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
+    whole = F.array_join(F.transform(sorted_, lambda x: x["line"]), "")
+    return rows.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.sha2(whole.cast("binary"), 256).alias("sha256"))
+
+
+def read_trees(spark: SparkSession, path: str | list[str], key: str = "key", tree: str = "tree", whole: bool = False) -> DataFrame:
+    """JSON trees of files: with ``whole``, one a file, by its ``file`` name; else a line holds a key and a tree (``sinks.write_trees``).
+
+    The tree stays JSON text. Folders named column=value give columns. A line or
+    a file that is no JSON object has a null tree, a blank line is none.
+    """
+    if whole:
+        rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias(tree))
+        return rows.withColumn(tree, F.when(F.from_json(tree, "map<string, string>").isNotNull(), F.col(tree)))
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    read = F.from_json("value", T.StructType([T.StructField(key, T.StringType()), T.StructField(tree, T.StringType())]))
+    return lines.withColumn("__read", read).select(*[c for c in lines.columns if c != "value"], F.col(f"__read.{key}").alias(key), F.col(f"__read.{tree}").alias(tree))

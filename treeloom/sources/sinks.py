@@ -7,11 +7,13 @@ dynamic partition overwrite.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -41,9 +43,42 @@ def write_partitions(rows: DataFrame, path: str, column: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
+_EMPTY = "\0empty"  # what the reader gives for a quoted empty field, as it holds a plain one for null
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def append_csv(rows: DataFrame, path: str) -> None:
-    """Append rows as CSV; each part has a header."""
-    rows.write.mode("append").option("header", True).csv(path)
+    """Append rows as CSV below ``path``; the header is a part of its own, written with the first rows.
+
+    Each batch is a folder named by its time, so that all parts in order of path
+    are one CSV file. A null is an empty field, an empty text a quoted one.
+    """
+    spark = rows.sparkSession
+    try:
+        spark.read.text(f"{path}/batch={0:020d}").schema  # noqa: B018
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        head = spark.range(1).select(*[F.lit(c).alias(c) for c in rows.columns])
+        head.coalesce(1).write.options(**_CSV).mode("overwrite").csv(f"{path}/batch={0:020d}")
+    rows.write.options(**_CSV).csv(f"{path}/batch={time.time_ns():020d}")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The rows that ``append_csv`` wrote, of all batches."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    batch = T.StructField("batch", T.StringType())
+    rows = spark.read.schema(T.StructType([*kind.fields, batch])).options(**_CSV, multiLine=True, nullValue="", emptyValue=_EMPTY).csv(path).where(F.col("batch") != f"{0:020d}")
+    filled = lambda f: F.when(F.col(f.name) == _EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+    return rows.select(*map(filled, kind.fields))
+
+
+def write_trees(rows: DataFrame, path: str, key: str, tree: str, by: Sequence[str] = ()) -> None:
+    """JSON trees as lines that hold a key and a tree, in folders of the columns ``by``; ``files.read_trees`` reads them."""
+    named = F.to_json(F.struct(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)))  # {"key":"..."}
+    line = F.concat(named.substr(F.lit(1), F.length(named) - 1), F.lit(f',"{tree}":'), F.coalesce(F.regexp_replace(tree, r"[\r\n]+", " "), F.lit("null")), F.lit("}"))
+    out = rows.select(line.alias("value"), *by).write
+    (out.partitionBy(*by) if by else out).text(path)
 
 
 def export_lines(rows: DataFrame, path: str, columns: Sequence[str], key: str) -> None:

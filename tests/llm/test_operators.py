@@ -308,7 +308,9 @@ def plain_code_length(samples, text, order, least):
 def test_ppm_matches_plain_counts(spark):
     samples = {"a": [b"abracadabra, abracadabra", b"a bra and a cad"], "b": [b"hokus pokus, fidibus", b"hokus pokus", b"hokus pokus"]}
     rows = spark.createDataFrame([(t.decode(), k) for k, v in samples.items() for t in v], "text string, lang string")
-    model = langid.fit_ppm(rows, max_order=3, min_count=2)
+    model = langid.fit_ppm(rows, max_order=3, min_count=2, max_contexts=None)
+    few = langid.fit_ppm(rows, max_order=3, min_count=2, max_contexts=5)
+    assert few.bits.shape[1] < model.bits.shape[1] and (langid.fit_ppm(rows, max_order=3, min_count=2).bits == model.bits).all()
     for text in (b"abra", b"hokus", b"a pokus bra\xc3\xa9", b"zz", b"", b"us, a"):
         want = [plain_code_length(v, text, 3, 2) for v in samples.values()]
         assert np.allclose(model.code_lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0], want, rtol=1e-4, atol=1e-4)

@@ -102,13 +102,13 @@ def _count_runs(order: int):
     return counts
 
 
-def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 4, sample_bytes: int = 400_000, max_contexts: int = 6_000, min_count: int = 4) -> PpmModel:
+def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 4, sample_bytes: int = 400_000, max_contexts: int | None = 6_000, min_count: int = 4) -> PpmModel:
     """Context trees of the labelled rows of ``docs``.
 
     The sample is about ``sample_bytes`` of whole texts a language (all of them
     in smaller corpora); its byte runs are counted by Spark. A tree keeps its
     ``max_contexts`` most frequent contexts of at least ``min_count`` bytes, so
-    that the model has the same size for any corpus.
+    that the model has the same size for any corpus; None keeps all of those.
     """
     prepare(docs.sparkSession)
     # The sample has a fixed size: a fixed number of tasks counts it.
@@ -116,7 +116,8 @@ def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order:
     whole = Window.partitionBy("lang", "k", F.shiftright("gram", 8))
     frequent = grams.withColumn("total", F.sum("n").over(whole)).where((F.col("total") >= min_count) | (F.col("k") == 0))
     rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.desc("total"), "k", F.shiftright("gram", 8)))
-    return build_ppm(frequent.withColumn("rank", rank).where(F.col("rank") <= max_contexts).select("lang", "k", "gram", "n").toArrow(), max_order)
+    chosen = frequent if max_contexts is None else frequent.withColumn("rank", rank).where(F.col("rank") <= max_contexts)
+    return build_ppm(chosen.select("lang", "k", "gram", "n").toArrow(), max_order)
 
 
 def build_ppm(grams: pa.Table, max_order: int) -> PpmModel:

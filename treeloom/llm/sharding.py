@@ -103,9 +103,11 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     if MAX_BITS not in depths:
         return plain
     full = F.col("__at.depth") == MAX_BITS
-    last = _overflow_parts(placed.where(full).drop("shard_bytes"), limit)
+    # Only such a key can hold more than the limit: its rows meet its home by salt. A skewed partition of the others is split by adaptive execution.
+    salted = homes.where(full).drop("shard_bytes").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    last = _overflow_parts(sized.join(salted.withColumn("__salt", F.col("__salt").cast(sized.schema["__salt"].dataType)), ["__bits", "__salt"]), limit)
     totals = last.groupBy("__bits", "shard_part").agg(F.sum("n_bytes").alias("shard_bytes"))
-    plain = placed.where(~full).withColumn("shard_part", F.lit(0).cast("long")).select(*shown)
+    plain = sized.join(homes.where(~full), "__bits").withColumn("shard_part", F.lit(0).cast("long")).select(*shown)
     return plain.unionByName(last.join(totals, ["__bits", "shard_part"]).select(*shown))
 
 

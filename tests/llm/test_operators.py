@@ -216,6 +216,45 @@ def test_audio_planted_copies_among_tunes(spark, docs):
     assert all(r.matches == sum(x.query_id == r.query_id for x in everything) for r in few)
 
 
+def test_audio_every_offset_with_enough_votes_is_tried(spark, monkeypatch):
+    # Brute force over all offsets of all pairs; where a recording agrees, another offset has more equal prints.
+    rng = np.random.default_rng(31)
+    monkeypatch.setattr(audio_prints, "CELLS", 500)
+    sets = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in rng.integers(1, 90, 40)]
+    for i in range(20, 40):  # noisy passages of others, two prints left whole
+        a = sets[i - 20]
+        flips = np.bitwise_or.reduce(np.uint32(1) << rng.integers(0, 32, (5, len(a))).astype(np.uint32), axis=0)
+        flips[rng.integers(0, len(a), 2)] = 0
+        sets[i] = np.concatenate((rng.integers(0, 2**32, rng.integers(0, 30), dtype=np.uint32), a ^ flips, a[:1].repeat(3), rng.integers(0, 2**32, 40, dtype=np.uint32)))
+        sets[i][-30:-26] = a[:4] if len(a) > 4 else sets[i][-30:-26]  # more equal prints, at an offset that doesn't agree
+    rows = [(i, x.astype("<u4").tobytes()) for i, x in enumerate(sets)] + [(50, sets[3].astype("<u4").tobytes()), (51, None), (None, sets[2].astype("<u4").tobytes())]
+    least = np.log(sum(map(len, sets)) / audio_prints.CHANCE)
+    want = {}
+    for q in range(0, 40, 3):
+        for d in range(40):
+            for off in range(-len(sets[q]), len(sets[d])):
+                lo, hi = max(0, -off), min(len(sets[q]), len(sets[d]) - off)
+                if q != d and hi > lo and (sets[q][lo:hi] == sets[d][lo + off : hi + off]).sum() >= min(audio_prints.LEAST_VOTES, len(sets[q]), len(sets[d])) and (got := audio_prints.agreement(sets[q], sets[d], off)):
+                    told = audio_prints.evidence(sets[q][got[0] : got[0] + got[1]], sets[d][got[0] + off : got[0] + got[1] + off])
+                    if told >= least:
+                        want[q, d] = max(want.get((q, d), ()), (told, -abs(off), -off))
+    table = spark.createDataFrame(rows, "id long, prints binary")
+    asked = F.col("id") % 3 == 0
+    got = {(r.query_id, r.match_id): (r.evidence, -abs(r.offset), -r.offset) for r in audio_prints.search(table, asked).collect() if r.query_id != r.match_id}
+    assert got == want and len(want) > 8
+    linked = {r.id: r for r in audio_prints.links(table, asked).collect()}
+    partners = collections.defaultdict(set)
+    for a, b in want:
+        partners[a].add(b)
+        partners[b].add(a)
+    assert {i: r.links for i, r in linked.items()} == {i: len(partners[3 if i == 50 else i]) for i in [*range(40), 50, 51, None]}
+    assert linked[50].class_id == 3 and linked[50].copies == 2 and linked[51].class_id is None
+    for i, r in linked.items():
+        if r.links:
+            me = r.class_id
+            assert r.best_id in partners[me] and r.evidence == max(want[p][0] for p in want if me in p)
+
+
 def test_audio_edges(spark, edges):
     made = audio_prints.tune_prints(edges)
     assert audio_prints.search(made, F.lit(True)).columns == ["query_id", "rank", "match_id", "copies", "offset", "votes", "start", "overlap", "errors", "evidence", "matches"]

@@ -7,10 +7,12 @@ frames-by-pitch image, each sum taken from the image's integral in four
 look-ups; every filter gives two bits in Gray code, so that a position gives a
 32-bit integer.
 
-Two recordings align where many equal integers have one offset: a histogram of
-offsets names the best, and the share of differing bits decides: over the whole
-overlap there, or else over the segment of at least ``PASSAGE`` prints that
-agrees best. What agrees must be more than chance gives: its evidence, in nats,
+Two recordings align where ``LEAST_VOTES`` equal integers have one offset. Every
+such offset of the histogram has its turn, not only the one of most, and the share
+of differing bits decides: over the whole overlap there, or else over the segment
+of at least ``PASSAGE`` prints that agrees best. Of the offsets that pass, the one
+of most evidence is the match. What agrees must be more than chance gives: its
+evidence, in nats,
 is n (1 - 2e)^2 / 2 (the bound of Hoeffding) for a share e of differing bits and
 n bits, where only prints not met before in the segment count, with the bits that
 they change (a held tone tells no more than one print does). It must reach
@@ -22,7 +24,7 @@ match without that.
 Nulls, ties, edges: audio that is null or empty takes no part. One too short for
 a print is repeated until it has one; where the shorter of two recordings has
 fewer prints than votes or overlap are asked for, all of its prints are asked for.
-Offsets with equal counts are ordered by their absolute value, then the smaller.
+Offsets of equal evidence are ordered by their absolute value, then the smaller.
 A query matches its own class only where that has other members. Repeated rows are members of one class.
 Empty tables give no rows. Other columns are not read.
 """
@@ -55,6 +57,7 @@ PASSAGE = 2 * WINDOW
 CHANCE = 0.1
 OWN_BITS = 16  # what a single print tells: its bits come in pairs
 BLOCK = 1 << 21  # prints of a block
+CELLS = 1 << 20  # pairs of prints that are compared at a time
 
 
 def _pitch_matrix(rate: int = RATE, frame: int = FRAME) -> tuple[slice, np.ndarray]:
@@ -164,22 +167,55 @@ def evidence(a: np.ndarray, b: np.ndarray) -> float:
     return min(told)
 
 
-def align(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
-    """Recording, best offset and its count for all recordings with at least ``LEAST_VOTES`` there, or as many as the shorter has prints.
-
-    ``ordered`` holds the prints of recordings in ascending order, ``owner`` and ``place`` whose and where they are, ``sizes`` their numbers of prints.
-    """
+def alignments(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recording, offset and count of equal prints, for every offset with at least ``LEAST_VOTES`` of them, or as many as the shorter has prints; arguments as for ``align``."""
     lo, hi = np.searchsorted(ordered, query, "left"), np.searchsorted(ordered, query, "right")
     count = hi - lo
-    if not count.sum():
-        return []
     at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     offset = place[at] - np.repeat(np.arange(len(query)), count)
-    span = int(np.abs(offset).max()) + 1
+    span = int(np.abs(offset).max(initial=0)) + 1
     key, votes = np.unique(owner[at] * (2 * span) + offset + span, return_counts=True)
     who, off = key // (2 * span), key % (2 * span) - span
     enough = votes >= np.minimum(min(LEAST_VOTES, len(query)), sizes[who])
-    who, off, votes = who[enough], off[enough], votes[enough]
+    return who[enough], off[enough], votes[enough]
+
+
+def agreeing(query: np.ndarray, every: np.ndarray, ends: np.ndarray, who: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Where ``agreement`` finds something, of the recordings ``who`` (cut from ``every`` at ``ends``) at ``offset``."""
+    size = ends[who + 1] - ends[who]
+    lo = np.maximum(0, -offset)
+    n = np.minimum(len(query), size - offset) - lo
+    out = np.zeros(len(who), bool)
+    able = np.flatnonzero(n >= np.maximum(1, np.minimum(LEAST_OVERLAP, np.minimum(len(query), size))))
+    if not len(able):
+        return out
+    for at in np.split(able, np.flatnonzero(np.diff(np.cumsum(n[able]) // CELLS)) + 1):
+        count = n[at]
+        first = np.concatenate(([0], np.cumsum(count)))
+        own = np.repeat(np.arange(len(at)), count)
+        mine = lo[at][own] + np.arange(first[-1]) - first[own]
+        bits = np.bitwise_count(query[mine] ^ every[ends[who[at]][own] + mine + offset[at][own]]).astype(np.int64)
+        out[at] = np.add.reduceat(bits, first[:-1]) <= MOST_ERRORS * 32 * count
+        # Running sums of all segments in one array, each far below those before it, so that minima stay within a segment.
+        gain = np.concatenate(([0.0], np.cumsum(MOST_ERRORS * 32 - bits)))
+        deep = 64.0 * (first[-1] + 1)
+        own = np.repeat(np.arange(len(at)), count + 1)
+        begin = first[:-1] + np.arange(len(at))
+        inner = np.arange(len(own)) - begin[own]
+        sums = gain[first[own] + inner] - gain[first[own]] - deep * own
+        low = np.minimum.accumulate(sums)
+        end = np.flatnonzero(inner >= PASSAGE)
+        good = end[sums[end] - low[end - PASSAGE] >= -1e-3]  # a little less than nothing: the exact test follows
+        out[at[np.unique(own[good])]] = True
+    return out
+
+
+def align(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """Recording, best offset and its count for all recordings with at least ``LEAST_VOTES`` there, or as many as the shorter has prints.
+
+    ``ordered`` holds the prints of recordings in ascending order, ``owner`` and ``place`` whose and where they are, ``sizes`` their numbers of prints.
+    """
+    who, off, votes = alignments(query, ordered, owner, place, sizes)
     order = np.lexsort((off, np.abs(off), -votes, who))
     first = np.ones(len(order), bool)
     first[1:] = who[order][1:] != who[order][:-1]
@@ -231,6 +267,17 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
 HIT = T.StructType([*(T.StructField(x, T.LongType()) for x in ("query_id", "match_id", "offset", "votes", "start", "overlap", "errors")), T.StructField("evidence", T.DoubleType())])
 
 
+def named(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "prints") -> DataFrame:
+    """``id``, prints, their ``size`` in bytes, ``name`` (a digest of them, null where the row takes no part) and whether it is ``asked`` of all rows, written once."""
+    takes_part = F.col(to).isNotNull() & F.col(key).isNotNull()
+    return stored(recordings.select(F.col(key).alias("id"), F.when(takes_part, F.sha2(to, 256)).alias("name"), F.col(to).alias("prints"), F.length(to).alias("size"), is_query.alias("asked")), "prints")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """The classes of equal prints among ``named`` rows: ``name``, smallest ``id``, ``copies``, ``size`` and whether a query is among them (``asked``)."""
+    return stored(rows.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("asked").alias("asked")), "print-classes")
+
+
 def search(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "prints", k: int | None = None) -> DataFrame:
     """Alignments of the classes of the rows that ``is_query`` names with all classes, or the ``k`` of most evidence for each.
 
@@ -239,14 +286,44 @@ def search(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "
     which prints agree, with ``errors`` differing bits. ``matches`` counts all of the query's. A class matches itself only
     where it has ``copies``. Equal evidence is ordered by ``match_id``.
     """
-    rows = recordings.where(F.col(to).isNotNull() & F.col(key).isNotNull())
-    merged = stored(rows.groupBy(F.sha2(to, 256).alias("name")).agg(F.min(key).alias("id"), F.count("*").alias("copies"), F.first(to).alias(to), F.max(is_query).alias("asked")), "prints")
-    every, asked_for = merged.agg(F.sum(F.length(to)), F.sum(F.when(F.col("asked"), F.length(to)))).head()
-    least = float(np.log(max(1, (every or 0) // 4) / CHANCE))
+    rows = named(recordings, is_query, key, to)
+    classes = merged(rows)
+    hits = matches(rows, classes).join(classes.select(F.col("id").alias("match_id"), "copies"), "match_id").where("query_id <> match_id OR copies > 1")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("evidence"), "match_id"))).withColumn("matches", F.count("*").over(Window.partitionBy("query_id")))
+    return (hits if k is None else hits.where(F.col("rank") <= k)).select("query_id", "rank", "match_id", "copies", "offset", "votes", "start", "overlap", "errors", "evidence", "matches")
+
+
+def links(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "prints") -> DataFrame:
+    """A row for each recording: its class (``class_id``, the smallest id, and ``copies``) and how that is linked with others.
+
+    ``links`` counts the other classes that match its class where one of the two has a row that ``is_query`` names: the
+    pairs that ``search`` lists. The best of these (most evidence, then the smaller ``best_id``) is told with its
+    ``evidence``, ``votes``, ``overlap``, ``errors`` and ``offset`` (its place less the row's). Rows that take no part have no class.
+    """
+    rows = named(recordings, is_query, key, to)
+    classes = merged(rows)
+    told = ["evidence", "votes", "overlap", "errors"]
+    found = stored(matches(rows, classes).where("query_id <> match_id"), "matches")
+    both = found.select(F.col("query_id").alias("class_id"), F.col("match_id").alias("other"), "offset", *told)
+    both = both.unionByName(found.select(F.col("match_id").alias("class_id"), F.col("query_id").alias("other"), (-F.col("offset")).alias("offset"), *told))
+    # Two classes that are both queries found each other twice, maybe at different offsets of equal evidence.
+    order = F.struct("evidence", (-F.col("other")).alias("less"), (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"), *told[1:])
+    both = both.groupBy("class_id", "other").agg(F.max(order).alias("best"))
+    best = both.groupBy("class_id").agg(F.count("*").alias("links"), F.max("best").alias("best"))
+    classes = classes.select("name", F.col("id").alias("class_id"), "copies").join(best, "class_id", "left")
+    return rows.select("id", "name").join(classes, "name", "left").select(
+        "id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), (-F.col("best.less")).alias("best_id"), (-F.col("best.low")).alias("offset"), *[F.col(f"best.{x}") for x in told]
+    )
+
+
+def matches(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``HIT`` for every pair of an asked class and a class, the same one too, that agree; arguments as ``named`` and ``merged`` give them."""
+    prints_of = lambda some: rows.select("name", "id", "prints").join(some.select("name", "id"), ["name", "id"]).dropDuplicates(["name", "id"]).select("id", "prints")
+    count, asked_for = classes.agg(F.sum("size"), F.sum(F.when(F.col("asked"), F.col("size")))).head()
+    least = float(np.log(max(1, (count or 0) // 4) / CHANCE))
     full = lambda n: max(1, -(-(n or 0) // (4 * BLOCK)))  # noqa: E731  as few blocks as there can be: each is copied to every block of the other side
-    wanted = merged.where("asked").select("id", to)
-    asked = stored(_blocks(wanted.coalesce(full(asked_for)), BLOCK, "q"), "query-blocks")
-    held = stored(_blocks(merged.select("id", to), BLOCK, "v"), "print-blocks")
+    asked = stored(_blocks(prints_of(classes.where("asked")).coalesce(full(asked_for)), BLOCK, "q"), "query-blocks")
+    held = stored(_blocks(prints_of(classes), BLOCK, "v"), "print-blocks")
 
     def opened(ids: bytes, counts: bytes, raw: bytes):
         ends = np.concatenate(([0], np.cumsum(np.frombuffer(counts, np.int64))))
@@ -264,21 +341,26 @@ def search(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "
                 found = []
                 for i, q_id in enumerate(q_ids):
                     query = q_all[q_ends[i] : q_ends[i + 1]]
-                    for j, offset, votes in align(query, ordered, owner, place, np.diff(ends)):
+                    who, offsets, votes = alignments(query, ordered, owner, place, np.diff(ends))
+                    other = ids[who] != q_id
+                    who, offsets, votes = who[other], offsets[other], votes[other]
+                    best: dict[int, tuple] = {}
+                    for c in np.flatnonzero(agreeing(query, every, ends, who, offsets)).tolist():
+                        j, offset = int(who[c]), int(offsets[c])
                         match = every[ends[j] : ends[j + 1]]
                         if (agreed := agreement(query, match, offset)) is None:
                             continue
                         start, n, errors = agreed
                         told = evidence(query[start : start + n], match[start + offset : start + offset + n])
-                        if told >= least or q_id == ids[j]:
-                            found.append((q_id, ids[j], offset, votes, start, n, errors, told))
+                        if told >= least and (j not in best or (told, -abs(offset), -offset) > best[j][0]):
+                            best[j] = (told, -abs(offset), -offset), (offset, int(votes[c]), start, n, errors, told)
+                    found += [(q_id, ids[j], *hit) for j, (_, hit) in best.items()]
+                    if len(own := np.flatnonzero(ids == q_id)):
+                        found.append((q_id, ids[own[0]], 0, len(query), 0, len(query), 0, evidence(query, query)))
                 columns = list(zip(*found, strict=True)) or [()] * len(HIT)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if f.name == "evidence" else pa.int64()) for x, f in zip(columns, HIT, strict=True)], names=HIT.names)
 
-    hits = block_pairs(held, asked).select("q_ids", "q_counts", "q_prints", "v_ids", "v_counts", "v_prints").mapInArrow(run, HIT)
-    hits = hits.join(merged.select(F.col("id").alias("match_id"), "copies"), "match_id").where("query_id <> match_id OR copies > 1")
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("evidence"), "match_id"))).withColumn("matches", F.count("*").over(Window.partitionBy("query_id")))
-    return (hits if k is None else hits.where(F.col("rank") <= k)).select("query_id", "rank", "match_id", "copies", "offset", "votes", "start", "overlap", "errors", "evidence", "matches")
+    return block_pairs(held, asked).select("q_ids", "q_counts", "q_prints", "v_ids", "v_counts", "v_prints").mapInArrow(run, HIT)
 
 
 CHORD = 3  # notes
@@ -336,5 +418,5 @@ def tune_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", note:
 
 
 def op2_audio_prints(spark, sf_dir: str) -> DataFrame:
-    """All alignments of the tunes of ``documents`` whose id is divisible by 100 among all tunes."""
-    return search(tune_prints(spark.read.parquet(f"{sf_dir}/documents.parquet")), F.col("id") % 100 == 0)
+    """A row for each of ``documents``: the class of its tune, and its links among all alignments of the tunes whose id is divisible by 100 with all tunes."""
+    return links(tune_prints(spark.read.parquet(f"{sf_dir}/documents.parquet")), F.col("id") % 100 == 0)

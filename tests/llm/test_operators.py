@@ -405,6 +405,42 @@ def test_near_dedup_brute_force(spark, docs):
     assert len(set(got.values())) < len(ids)
 
 
+def test_near_dedup_by_exact_frequencies(spark, docs, monkeypatch):
+    # Copies of one text differ in a word: by exact frequencies what they share counts less, and some aren't similar any more.
+    monkeypatch.setattr(near_dedup, "RANGE", 1000)
+    monkeypatch.setattr(near_dedup, "RUN", 7)
+    rng = np.random.default_rng(13)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("length(text) < 6000").collect()]
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(90)]
+        for n in range(25):
+            own = list(words)
+            for at in rng.integers(0, 90, rng.choice([1, 2, 3])):
+                own[at] = f"v{rng.integers(10**9)}"
+            rows.append((6000 + 100 * base + n, " ".join(own)))
+    rows += [(7000, None), (7001, ""), (7002, "two words"), (7003, "Two words!")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).persist()
+    df = collections.Counter(g for _, t in rows for g in plain_set(t, {}, len(rows)))
+    shared = near_dedup.shared_shingles(near_dedup.in_runs(table, "text"), "text").collect()
+    counts = dict(x for r in shared for x in zip(*(y.tolist() for y in near_dedup.unpack_counts(r.blob)), strict=True))
+    assert sorted(counts.values()) == sorted(f for f in df.values() if f > 1) and len({r["__run"] for r in shared}) > 20
+    idf = lambda f: np.log((1 + len(rows)) / (1 + f)) + 1
+    sets = {i: {g: n * idf(df[g]) / idf(max(df[g], near_dedup.FLOOR * len(rows))) for g, n in plain_set(t, df, len(rows)).items()} for i, t in rows}
+    want = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            both = sum(min(w, b[g]) for g, w in a.items() if g in b)
+            if a and b and both >= (0.8 - 1e-9) * (sum(a.values()) + sum(b.values()) - both):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if x == high else x for k, x in want.items()}
+    want[7001] = 7000
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(table, floor=None).collect()}
+    flat = {r.doc_id: r.class_id for r in near_dedup.classes(table).collect()}
+    assert got == want and got != flat
+
+
 def test_weighted_samples_estimate_similarity():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 2**63, 400).astype(np.uint64)

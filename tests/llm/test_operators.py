@@ -3,10 +3,12 @@
 import collections
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -929,3 +931,29 @@ def test_extract_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "old"), (1, "u", PAGE, "old"), (None, None, "", "old")], "page_id long, url string, html string, text string")
     got = html_text.extract(rows).collect()
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_near_dedup_ranges_are_counted_in_little_memory():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 150_000, dtype=np.uint64)
+    runs = [np.unique(rng.choice(pool, 20_000)) for _ in range(20)] + [np.zeros(0, np.uint64), pool[:1]]
+    counts = [rng.integers(1, 3, len(x)) for x in runs]
+    keys, at = np.unique(np.concatenate(runs), return_inverse=True)
+    df = np.bincount(at, np.concatenate(counts)).astype(int)
+    blobs = pa.chunked_array([pa.array([near_dedup.pack_counts(k, c) for k, c in zip(runs, counts, strict=True)], pa.binary())])
+    tracemalloc.start()
+    got = near_dedup.answers(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for run, blob in zip(runs, got, strict=True):
+        found, n = near_dedup.unpack_counts(blob)
+        want = df[np.searchsorted(keys, run)]
+        assert np.array_equal(found, run[want > 1]) and np.array_equal(n, want[want > 1])
+    assert peak < 30 * sum(map(len, runs))  # bytes; about 70 where a whole range is sorted at once
+
+
+def test_texts_come_in_small_batches_where_workers_keep_memory(spark, docs):
+    for make in (langid.fit_ppm, lambda d: quality.with_features(d.select("doc_id", "text")), lambda d: packing.tokenized_pieces(d, public_tokenizers.path("word_bpe_49k.json"))):
+        make(docs)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+        common.prepare(spark)

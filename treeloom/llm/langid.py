@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import prepare, utf8
+from treeloom.llm.common import SMALL_BATCHES, prepare, utf8
 
 UND = "und"
 _SAMPLE_BUCKETS = 1 << 20
@@ -110,7 +110,7 @@ def fit_ppm(docs: DataFrame, text: str = "text", lang: str = "lang", max_order:
     ``max_contexts`` most frequent contexts of at least ``min_count`` bytes, so
     that the model has the same size for any corpus; None keeps all of those.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, *SMALL_BATCHES)
     # The sample has a fixed size: a fixed number of tasks counts it.
     grams = _sample(docs, text, lang, sample_bytes).coalesce(8).mapInArrow(_count_runs(max_order), "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("lang", "k", F.shiftright("gram", 8))
@@ -172,7 +172,7 @@ def build_ppm(grams: pa.Table, max_order: int) -> PpmModel:
 
 def predict_language(docs: DataFrame, model: PpmModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the posterior of the shortest code, all languages alike beforehand."""
-    spark = prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession, *SMALL_BATCHES)
     kept = docs.drop("lang_pred", "score")
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if not model.langs:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import prepare, span_hashes, stored, utf8
+from treeloom.llm.common import SMALL_BATCHES, prepare, span_hashes, stored, utf8
 
 SALTS = 256
 _SIMPLE = "".join(map(chr, range(256)))
@@ -140,7 +140,7 @@ def cut_lengths(total: int, length: int, piece: int) -> list[int]:
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", length: int = 2048, piece: int = 512, end_id: int = 1) -> DataFrame:
     """A row for each piece: key, ``start``, ``length``, ``ids`` as little-endian 32-bit integers, ``doc_tokens``."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, *SMALL_BATCHES)
     key_type = docs.schema[key].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

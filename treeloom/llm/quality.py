@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import prepare, span_hashes, stored, utf8, words
+from treeloom.llm.common import SMALL_BATCHES, prepare, span_hashes, stored, utf8, words
 
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "upper", "digit", "space", "other_letters", "pipe", "hash_percent", "amp_dollar", "star", "exclamation", "stop_comma", "other_sign",
@@ -83,7 +83,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_features(docs: DataFrame, text: str = "text", to: str = "features") -> DataFrame:
     """``docs`` without its text, with the text's features as an array of floats."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, *SMALL_BATCHES)
     rest = docs.drop(text, to)
     schema = T.StructType([*rest.schema.fields, T.StructField(to, T.ArrayType(T.FloatType()))])
 
@@ -162,7 +162,7 @@ def score(features: DataFrame, model: BradleyTerry | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: BradleyTerry | None, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least the model's cut."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, *SMALL_BATCHES)
     if model is None:
         return docs
     at = docs.columns.index(text)

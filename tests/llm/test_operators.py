@@ -957,3 +957,17 @@ def test_texts_come_in_small_batches_where_workers_keep_memory(spark, docs):
         make(docs)
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
         common.prepare(spark)
+
+
+def test_audio_prints_are_not_shuffled_to_be_compared(spark):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**32, 60, dtype=np.uint32) for _ in range(30)]
+    rows = [(i, sets[i % 30].tobytes()) for i in range(90)] + [(200, None), (None, sets[0].tobytes())]
+    table = spark.createDataFrame(rows, "id long, prints binary").repartition(8)
+    named = audio_prints.named(table, F.col("id") == 61)
+    found = audio_prints.matches(named, audio_prints.merged(named))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("prints" in line for line in plan.split("\n") if "Exchange hashpartitioning" in line or "SortMergeJoin" in line)
+    # Copies in several blocks are one class, listed once.
+    assert [(r.query_id, r.match_id, r.overlap) for r in found.collect()] == [(1, 1, 60)]
+    assert sorted(r.class_id for r in audio_prints.links(table, F.col("id") == 61).collect() if r.class_id is not None) == sorted(i % 30 for i in range(90))

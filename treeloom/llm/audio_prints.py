@@ -39,7 +39,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.ann import block_pairs
 from treeloom.llm.common import prepare, span_hashes, stored, utf8, words
 
 RATE, FRAME, HOP = 2756, 1024, 341
@@ -167,15 +166,23 @@ def evidence(a: np.ndarray, b: np.ndarray) -> float:
     return min(told)
 
 
-def alignments(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Recording, offset and count of equal prints, for every offset with at least ``LEAST_VOTES`` of them, or as many as the shorter has prints; arguments as for ``align``."""
-    lo, hi = np.searchsorted(ordered, query, "left"), np.searchsorted(ordered, query, "right")
+def spans(queries: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the prints equal to each of ``queries`` begin and end in ``ordered``; looked up in ascending order, as near places are in the cache."""
+    order = np.argsort(queries, kind="stable")
+    lo, hi = np.empty(len(queries), np.int64), np.empty(len(queries), np.int64)
+    lo[order], hi[order] = (np.searchsorted(ordered, queries[order], side) for side in ("left", "right"))
+    return lo, hi
+
+
+def alignments(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray, span: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recording, offset and count of equal prints, for every offset with at least ``LEAST_VOTES`` of them, or as many as the shorter has prints; arguments as for ``align``, ``span`` as ``spans`` gives it."""
+    lo, hi = spans(query, ordered) if span is None else span
     count = hi - lo
     at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
     offset = place[at] - np.repeat(np.arange(len(query)), count)
-    span = int(np.abs(offset).max(initial=0)) + 1
-    key, votes = np.unique(owner[at] * (2 * span) + offset + span, return_counts=True)
-    who, off = key // (2 * span), key % (2 * span) - span
+    wide = int(np.abs(offset).max(initial=0)) + 1
+    key, votes = np.unique(owner[at] * (2 * wide) + offset + wide, return_counts=True)
+    who, off = key // (2 * wide), key % (2 * wide) - wide
     enough = votes >= np.minimum(min(LEAST_VOTES, len(query)), sizes[who])
     return who[enough], off[enough], votes[enough]
 
@@ -241,30 +248,35 @@ def with_prints(recordings: DataFrame, audio: str, to: str = "prints", rate: int
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` prints: ids, numbers of prints, prints of whole recordings."""
+    """Blocks of about ``size`` prints of the ``rows`` (id, name, prints): ids, names, numbers of prints, prints of whole recordings. A block holds the first of a name only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
+        sets: dict[bytes, tuple[int, bytes]] = {}
+        held = 0
 
         def out():
-            counts = np.array([len(x) // 4 for x in sets], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), counts.tobytes(), b"".join(sets))], names=[f"{name}_ids", f"{name}_counts", f"{name}_prints"])
+            ids, prints = zip(*sets.values(), strict=True)
+            counts = np.array([len(x) // 4 for x in prints], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), b"".join(sets), counts.tobytes(), b"".join(prints))], names=columns)
 
         for batch in batches:
-            for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                sets.append(p)
+            for i, n, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if n in sets:
+                    continue
+                sets[n] = i, p
                 held += len(p) // 4
                 if held >= size:
                     yield out()
-                    ids, sets, held = [], [], 0
-        if ids:
+                    sets, held = {}, 0
+        if sets:
             yield out()
 
-    return rows.mapInArrow(make, f"{name}_ids binary, {name}_counts binary, {name}_prints binary")
+    columns = [f"{name}_{x}" for x in ("ids", "names", "counts", "prints")]
+    return rows.select("id", F.unhex("name"), "prints").mapInArrow(make, ", ".join(f"{x} binary" for x in columns))
 
 
-HIT = T.StructType([*(T.StructField(x, T.LongType()) for x in ("query_id", "match_id", "offset", "votes", "start", "overlap", "errors")), T.StructField("evidence", T.DoubleType())])
+NAME = 32  # bytes
+HIT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("match", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("offset", "votes", "start", "overlap", "errors")), T.StructField("evidence", T.DoubleType())])
 
 
 def named(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "prints") -> DataFrame:
@@ -317,32 +329,39 @@ def links(recordings: DataFrame, is_query: Column, key: str = "id", to: str = "p
 
 
 def matches(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``HIT`` for every pair of an asked class and a class, the same one too, that agree; arguments as ``named`` and ``merged`` give them."""
-    prints_of = lambda some: rows.select("name", "id", "prints").join(some.select("name", "id"), ["name", "id"]).dropDuplicates(["name", "id"]).select("id", "prints")
+    """``HIT`` with ``match_id`` for every pair of an asked class and a class, the same one too, that agree; arguments as ``named`` and ``merged`` give them.
+
+    Blocks are cut from the rows where they lie: a class that lies in several blocks is found in each, alike, and
+    listed once. Blocks and queries are read side by side from files; no prints but the queries' go through a shuffle.
+    """
     count, asked_for = classes.agg(F.sum("size"), F.sum(F.when(F.col("asked"), F.col("size")))).head()
     least = float(np.log(max(1, (count or 0) // 4) / CHANCE))
-    full = lambda n: max(1, -(-(n or 0) // (4 * BLOCK)))  # noqa: E731  as few blocks as there can be: each is copied to every block of the other side
-    asked = stored(_blocks(prints_of(classes.where("asked")).coalesce(full(asked_for)), BLOCK, "q"), "query-blocks")
-    held = stored(_blocks(prints_of(classes), BLOCK, "v"), "print-blocks")
+    full = max(1, -(-(asked_for or 0) // (4 * BLOCK)))  # as few blocks of queries as there can be: each meets all others
+    questions = rows.where("asked AND name IS NOT NULL").groupBy("name").agg(F.first("prints").alias("prints")).join(classes.select("name", "id"), "name")
+    asked = stored(_blocks(questions.coalesce(full), BLOCK, "q"), "query-blocks")
+    held = stored(_blocks(rows.where("name IS NOT NULL"), BLOCK, "v"), "print-blocks")
 
-    def opened(ids: bytes, counts: bytes, raw: bytes):
+    def opened(ids: bytes, names: bytes, counts: bytes, raw: bytes):
         ends = np.concatenate(([0], np.cumsum(np.frombuffer(counts, np.int64))))
-        return np.frombuffer(ids, np.int64), ends, np.frombuffer(raw, "<u4")
+        return np.frombuffer(ids, np.int64), [names[i : i + NAME] for i in range(0, len(names), NAME)], ends, np.frombuffer(raw, "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, q_ends, q_all = opened(row["q_ids"], row["q_counts"], row["q_prints"])
-                ids, ends, every = opened(row["v_ids"], row["v_counts"], row["v_prints"])
-                owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+                q_ids, q_names, q_ends, q_all = opened(*(row[f"q_{x}"] for x in ("ids", "names", "counts", "prints")))
+                _, names, ends, every = opened(*(row[f"v_{x}"] for x in ("ids", "names", "counts", "prints")))
+                own = {n: j for j, n in enumerate(names)}
+                owner = np.repeat(np.arange(len(names)), np.diff(ends))
                 place = np.arange(len(every)) - ends[owner]
                 order = np.argsort(every, kind="stable")
                 ordered, owner, place = every[order], owner[order], place[order]
+                low, high = spans(q_all, ordered)
                 found = []
                 for i, q_id in enumerate(q_ids):
-                    query = q_all[q_ends[i] : q_ends[i + 1]]
-                    who, offsets, votes = alignments(query, ordered, owner, place, np.diff(ends))
-                    other = ids[who] != q_id
+                    at = slice(q_ends[i], q_ends[i + 1])
+                    query, mine = q_all[at], own.get(q_names[i], -1)
+                    who, offsets, votes = alignments(query, ordered, owner, place, np.diff(ends), (low[at], high[at]))
+                    other = who != mine
                     who, offsets, votes = who[other], offsets[other], votes[other]
                     best: dict[int, tuple] = {}
                     for c in np.flatnonzero(agreeing(query, every, ends, who, offsets)).tolist():
@@ -354,13 +373,15 @@ def matches(rows: DataFrame, classes: DataFrame) -> DataFrame:
                         told = evidence(query[start : start + n], match[start + offset : start + offset + n])
                         if told >= least and (j not in best or (told, -abs(offset), -offset) > best[j][0]):
                             best[j] = (told, -abs(offset), -offset), (offset, int(votes[c]), start, n, errors, told)
-                    found += [(q_id, ids[j], *hit) for j, (_, hit) in best.items()]
-                    if len(own := np.flatnonzero(ids == q_id)):
-                        found.append((q_id, ids[own[0]], 0, len(query), 0, len(query), 0, evidence(query, query)))
+                    found += [(q_id, names[j], *hit) for j, (_, hit) in best.items()]
+                    if mine >= 0:
+                        found.append((q_id, names[mine], 0, len(query), 0, len(query), 0, evidence(query, query)))
                 columns = list(zip(*found, strict=True)) or [()] * len(HIT)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if f.name == "evidence" else pa.int64()) for x, f in zip(columns, HIT, strict=True)], names=HIT.names)
+                kinds = {"match": pa.binary(), "evidence": pa.float64()}
+                yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(f.name, pa.int64())) for x, f in zip(columns, HIT, strict=True)], names=HIT.names)
 
-    return block_pairs(held, asked).select("q_ids", "q_counts", "q_prints", "v_ids", "v_counts", "v_prints").mapInArrow(run, HIT)
+    hits = held.crossJoin(asked).mapInArrow(run, HIT).distinct()
+    return hits.join(classes.select(F.unhex("name").alias("match"), F.col("id").alias("match_id")), "match").drop("match")
 
 
 CHORD = 3  # notes

@@ -159,6 +159,33 @@ def test_audio_evidence_is_against_chance():
     assert chance < least
 
 
+@pytest.mark.parametrize("many", [0, 100, 1e9])
+def test_audio_overlaps_of_repeated_lines_are_judged_at_once(monkeypatch, many):
+    monkeypatch.setattr(audio_prints, "MANY", many)
+    monkeypatch.setattr(audio_prints, "CELLS", 5000)
+    rng = np.random.default_rng(11)
+    line = rng.integers(0, 2**32, 9, dtype=np.uint32)
+    texts = [np.concatenate((rng.integers(0, 2**32, int(rng.integers(1, 9)), dtype=np.uint32), np.tile(line, int(rng.integers(1, 40))) ^ (rng.random(1) < 0.5).astype(np.uint32))) for _ in range(9)]
+    texts += [line[:1], line[:3], np.tile(line[:1], 50)]
+    every, ends = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    agreed = 0
+    for query in texts:
+        who, offset = (np.array(x) for x in zip(*[(j, o) for j, x in enumerate(texts) for o in range(-len(query), len(x) + 1)], strict=True))
+        lo, n = audio_prints.overlaps(query, ends, who, offset)
+        errors = audio_prints.overlap_errors(query, every, ends, who, offset, lo, n)
+        whole = np.flatnonzero((n > 0) & (errors <= audio_prints.MOST_ERRORS * 32 * n))
+        told = dict(zip(whole.tolist(), audio_prints.evidences(query, every, ends, who[whole], offset[whole], lo[whole], n[whole]).tolist(), strict=True))
+        for c, (j, o) in enumerate(zip(who.tolist(), offset.tolist(), strict=True)):
+            got = audio_prints.agreement(query, texts[j], o)
+            if c not in told:
+                assert got is None or n[c] >= audio_prints.PASSAGE and got[1] <= n[c]
+                continue
+            assert got == (lo[c], n[c], errors[c])
+            assert told[c] == audio_prints.evidence(query[lo[c] : lo[c] + n[c]], texts[j][lo[c] + o : lo[c] + o + n[c]])
+            agreed += 1
+    assert agreed > 1000
+
+
 def test_audio_finds_shifted_and_noisy_copies(spark):
     rng = np.random.default_rng(3)
     song, other = rng.integers(45, 80, 60), rng.integers(45, 80, 60)

@@ -57,6 +57,7 @@ CHANCE = 0.1
 OWN_BITS = 16  # what a single print tells: its bits come in pairs
 BLOCK = 1 << 21  # prints of a block
 CELLS = 1 << 20  # pairs of prints that are compared at a time
+MANY = 100  # times the prints of two recordings that may be compared one by one
 
 
 def _pitch_matrix(rate: int = RATE, frame: int = FRAME) -> tuple[slice, np.ndarray]:
@@ -115,7 +116,8 @@ def prints(image: np.ndarray) -> np.ndarray:
             a, b = area(w // 4, w // 2, y, h), area(0, w // 4, y, h) + area(3 * w // 4, w // 4, y, h)
         ratios[i] = a, b
     logs = np.log1p(ratios)
-    bits = GRAY[np.searchsorted(STEPS, logs[:, 0] - logs[:, 1])]
+    change = logs[:, 0] - logs[:, 1]
+    bits = GRAY[sum((change > step).view(np.uint8) for step in STEPS)]
     return np.bitwise_or.reduce(bits << np.arange(2 * len(FILTERS) - 2, -1, -2, dtype=np.uint32)[:, None], axis=0)
 
 
@@ -162,7 +164,7 @@ def evidence(a: np.ndarray, b: np.ndarray) -> float:
     for side in (a, b):
         new = np.sort(np.unique(side, return_index=True)[1])
         n = OWN_BITS + int(np.bitwise_count(side[new[1:]] ^ side[new[1:] - 1]).sum())
-        told.append(n * max(0.0, 1 - 2 * bits[new].sum() / (32 * len(new))) ** 2 / 2)
+        told.append(n * np.square(max(0.0, 1 - 2 * bits[new].sum() / (32 * len(new)))) / 2)
     return min(told)
 
 
@@ -187,6 +189,89 @@ def alignments(query: np.ndarray, ordered: np.ndarray, owner: np.ndarray, place:
     return who[enough], off[enough], votes[enough]
 
 
+def overlaps(query: np.ndarray, ends: np.ndarray, who: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place in ``query`` and length (none where it is too short) of its overlap with the recordings ``who`` at ``offset``."""
+    size = ends[who + 1] - ends[who]
+    lo = np.maximum(0, -offset)
+    n = np.minimum(len(query), size - offset) - lo
+    return lo, np.where(n >= np.maximum(1, np.minimum(LEAST_OVERLAP, np.minimum(len(query), size))), n, 0)
+
+
+def _waves(side: np.ndarray, size: int) -> np.ndarray:
+    """The spectrum of each bit of the prints ``side``, as 1 or -1."""
+    return np.fft.rfft(np.unpackbits(np.ascontiguousarray(side, "<u4").view(np.uint8).reshape(-1, 4), axis=1).T * 2.0 - 1, size)
+
+
+def overlap_errors(query: np.ndarray, every: np.ndarray, ends: np.ndarray, who: np.ndarray, offset: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Differing bits of whole overlaps, as ``overlaps`` gives them; ``who`` ascends. A recording met at many offsets is correlated with the query at all of them at once."""
+    out = np.zeros(len(who), np.int64)
+    if not len(who):
+        return out
+    edge = np.flatnonzero(np.diff(who, prepend=-1, append=-1))
+    cells = np.add.reduceat(n, edge[:-1])
+    many = cells > MANY * (len(query) + ends[who[edge[:-1]] + 1] - ends[who[edge[:-1]]])
+    own: dict[int, np.ndarray] = {}
+    for k in np.flatnonzero(many).tolist():
+        at, match = slice(edge[k], edge[k + 1]), every[ends[who[edge[k]]] : ends[who[edge[k]] + 1]]
+        size = 1 << (len(query) + len(match)).bit_length()
+        if size not in own:
+            own[size] = _waves(query, size).conj()
+        alike = np.fft.irfft((own[size] * _waves(match, size)).sum(0), size)[offset[at] % size]
+        out[at] = np.where(n[at] > 0, np.rint((32 * n[at] - alike) / 2), 0)
+    few = np.flatnonzero(np.repeat(~many, np.diff(edge)) & (n > 0))
+    for at in np.split(few, np.flatnonzero(np.diff(np.cumsum(n[few]) // CELLS)) + 1) if len(few) else []:
+        first = np.concatenate(([0], np.cumsum(n[at])))
+        mine = np.arange(first[-1]) + np.repeat(lo[at] - first[:-1], n[at])
+        bits = np.bitwise_count(query[mine] ^ every[mine + np.repeat(ends[who[at]] + offset[at], n[at])])
+        out[at] = np.add.reduceat(bits, first[:-1], dtype=np.int64)
+    return out
+
+
+def last_seen(side: np.ndarray) -> np.ndarray:
+    """The place before each print where it was last met, or -1."""
+    order = np.argsort(side, kind="stable")
+    again = side[order[1:]] == side[order[:-1]]
+    out = np.full(len(side), -1)
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
+def _told(side: np.ndarray, other: np.ndarray, before: np.ndarray, lo: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """What ``side``'s new prints tell from ``lo`` on where place i meets ``other``'s i + offset, for many segments; ``before`` as ``last_seen`` gives it."""
+    change = np.bitwise_count(side ^ np.roll(side, 1)).astype(np.int64)
+    out = np.empty(len(lo))
+    order = np.argsort(lo, kind="stable")
+    for at in np.array_split(order, max(1, int(n.sum()) // CELLS)):
+        # A print is new in the segments that begin after it was last met, up to its own place.
+        since, until = np.searchsorted(lo[at], before, "right"), np.searchsorted(lo[at], np.arange(len(side)), "right")
+        count = until - since
+        i = np.repeat(np.arange(len(side)), count)
+        k = np.arange(len(i)) + np.repeat(since - np.cumsum(count) + count, count)
+        inside = i < (lo + n)[at][k]
+        i, k = i[inside], k[inside]
+        bits = np.bitwise_count(side[i] ^ other[i + offset[at][k]])
+        tells = np.bincount(k, np.where(i == lo[at][k], OWN_BITS, change[i]), len(at))
+        share = 2 * np.bincount(k, bits, len(at)) / (32 * np.bincount(k, minlength=len(at)))
+        out[at] = tells * np.square(np.maximum(0.0, 1 - share)) / 2
+    return out
+
+
+def evidences(query: np.ndarray, every: np.ndarray, ends: np.ndarray, who: np.ndarray, offset: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``evidence`` of whole overlaps, as ``overlaps`` gives them; ``who`` ascends."""
+    out = np.empty(len(who))
+    if not len(who):
+        return out
+    edge = np.flatnonzero(np.diff(who, prepend=-1, append=-1))
+    before = last_seen(query)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        at, match = slice(a, b), every[ends[who[a]] : ends[who[a] + 1]]
+        if b - a < 4:
+            out[at] = [evidence(query[x : x + m], match[x + o : x + o + m]) for x, m, o in zip(lo[at].tolist(), n[at].tolist(), offset[at].tolist(), strict=True)]
+        else:
+            out[at] = np.minimum(_told(query, match, before, lo[at], n[at], offset[at]), _told(match, query, last_seen(match), lo[at] + offset[at], n[at], -offset[at]))
+    return out
+
+
 def agreeing(query: np.ndarray, every: np.ndarray, ends: np.ndarray, who: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Where ``agreement`` finds something, of the recordings ``who`` (cut from ``every`` at ``ends``) at ``offset``."""
     size = ends[who + 1] - ends[who]
@@ -356,15 +441,28 @@ def matches(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 order = np.argsort(every, kind="stable")
                 ordered, owner, place = every[order], owner[order], place[order]
                 low, high = spans(q_all, ordered)
+                sizes = np.diff(ends)
                 found = []
                 for i, q_id in enumerate(q_ids):
                     at = slice(q_ends[i], q_ends[i + 1])
                     query, mine = q_all[at], own.get(q_names[i], -1)
-                    who, offsets, votes = alignments(query, ordered, owner, place, np.diff(ends), (low[at], high[at]))
+                    who, offsets, votes = alignments(query, ordered, owner, place, sizes, (low[at], high[at]))
                     other = who != mine
                     who, offsets, votes = who[other], offsets[other], votes[other]
+                    lo, n = overlaps(query, ends, who, offsets)
+                    errors = overlap_errors(query, every, ends, who, offsets, lo, n)
+                    whole = np.flatnonzero((n > 0) & (errors <= MOST_ERRORS * 32 * n))
+                    told = evidences(query, every, ends, who[whole], offsets[whole], lo[whole], n[whole])
+                    whole, told = whole[told >= least], told[told >= least]
+                    first = np.lexsort((offsets[whole], np.abs(offsets[whole]), -told, who[whole]))
+                    first = first[np.flatnonzero(np.diff(who[whole][first], prepend=-1))]
                     best: dict[int, tuple] = {}
-                    for c in np.flatnonzero(agreeing(query, every, ends, who, offsets)).tolist():
+                    for c, x in zip(whole[first].tolist(), told[first].tolist(), strict=True):
+                        offset = int(offsets[c])
+                        best[int(who[c])] = (x, -abs(offset), -offset), (offset, int(votes[c]), int(lo[c]), int(n[c]), int(errors[c]), x)
+                    # Where the overlap does not agree, a passage of it may.
+                    part = np.flatnonzero((n >= PASSAGE) & (errors > MOST_ERRORS * 32 * n))
+                    for c in part[agreeing(query, every, ends, who[part], offsets[part])].tolist():
                         j, offset = int(who[c]), int(offsets[c])
                         match = every[ends[j] : ends[j + 1]]
                         if (agreed := agreement(query, match, offset)) is None:
@@ -405,7 +503,11 @@ def tunes(texts: pa.Array, scale: np.ndarray) -> Iterator[np.ndarray]:
     name = span_hashes(data, start, end)
     pitch = np.stack([(name >> np.uint64(20 * i)) % np.uint64(len(scale)) for i in range(CHORD)], axis=1).astype(np.int64)
     edge = np.searchsorted(own, np.arange(len(texts) + 1))
-    return (sum(scale[pitch[a:b, i]] for i in range(CHORD)).astype("<i2", copy=False).ravel() for a, b in zip(edge[:-1], edge[1:], strict=True))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        samples = scale.take(pitch[a:b, 0], axis=0)
+        for i in range(1, CHORD):
+            samples += scale.take(pitch[a:b, i], axis=0)
+        yield samples.ravel()
 
 
 def derived_audio(docs: DataFrame, key: str = "doc_id", text: str = "text", note: float = NOTE) -> DataFrame:

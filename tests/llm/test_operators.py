@@ -434,6 +434,22 @@ def test_near_dedup_brute_force(spark, docs):
     assert len(set(got.values())) < len(ids)
 
 
+def test_near_dedup_sends_no_table_of_links_through_the_driver(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (1, 5), (7, 9)], "a long, b long")
+    plans = []
+
+    def seen(df, name, keep=near_dedup.stored):
+        out = keep(df, name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "stored", seen)
+        got = {(r.node, r.comp) for r in near_dedup.components(links).collect()}
+    assert {x for x in got if x[0] != x[1]} == {(2, 1), (3, 1), (5, 1), (9, 7)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_near_dedup_by_exact_frequencies(spark, docs, monkeypatch):
     # Copies of one text differ in a word: by exact frequencies what they share counts less, and some aren't similar any more.
     monkeypatch.setattr(near_dedup, "RANGE", 1000)

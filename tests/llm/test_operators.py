@@ -887,6 +887,20 @@ def test_packing_gives_the_sequences(spark):
     assert whole.max() == 2048 and whole.sum() == len(want)
 
 
+def test_packing_ranks_rows_as_they_pass(spark):
+    rows = [(i % 300, "the same words " * (i % 4)) for i in range(3000)]  # parts of many batches
+    pieces = common.stored(packing.tokenized_pieces(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    made = packing.pack(pieces)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    got = made.select("length", "sequence_id", "offset").collect()
+    assert len(got) == len({(r.sequence_id, r.offset) for r in got}) == 3000
+    ends = collections.defaultdict(list)
+    for r in got:
+        ends[r.sequence_id].append((r.offset, r.offset + r.length))
+    assert all(a[1] == b[0] for x in map(sorted, ends.values()) for a, b in zip([(0, 0), *x], x, strict=False))
+
+
 def test_packing_edges(spark, edges):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack_documents(edges, path).toPandas()

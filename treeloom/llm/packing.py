@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import SMALL_BATCHES, prepare, span_hashes, stored, utf8
@@ -235,15 +235,25 @@ def pack(pieces: DataFrame, key: str = "doc_id", length: int = 2048) -> DataFram
     # One sorted key for look-ups: length and first rank.
     wide = np.int64(1) << np.int64(40)
     table = spark.sparkContext.broadcast((before, slots["length"].to_numpy() * wide + slots["first"].to_numpy(), slots[["first", "sequence", "offset"]].to_numpy()))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(key, "start", "ids")) - 1)
+    # Rows in order are counted as they pass: a window would hold those of a part, beside what sorting takes.
+    ranked = salted.repartition("length", "__salt").sortWithinPartitions("length", "__salt", key, "start", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead, keys, to = table.value
+        part, seen = -1, 0
         for batch in batches:
-            size, salt, rank = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "__salt", "__rank"))
+            if not batch.num_rows:
+                continue
+            size, salt = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "__salt"))
+            parts = size * SALTS + salt
+            first = np.flatnonzero(np.diff(parts, prepend=-1))
+            rank = np.arange(len(parts)) - np.repeat(first, np.diff(first, append=len(parts)))
+            if parts[0] == part:
+                rank[: first[1] if len(first) > 1 else None] += seen
+            part, seen = parts[-1], rank[-1] + 1
             rank = rank + ahead[size, salt]
             at = to[np.searchsorted(keys, size * wide + rank, "right") - 1].reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(at[:, 1] + rank - at[:, 0]), pa.array(at[:, 2])], names=[*batch.schema.names[:-2], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at[:, 1] + rank - at[:, 0]), pa.array(at[:, 2])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, f"{key} {pieces.schema[key].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -450,6 +450,30 @@ def test_near_dedup_sends_no_table_of_links_through_the_driver(spark):
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_near_dedup_merges_in_few_jobs(spark):
+    # The driver keeps something of each job, and rounds of merging have many of them.
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").coalesce(1)
+    stars = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21)], "a long, b long").coalesce(1)
+    passes = collections.Counter()
+
+    def seen(df, name, keep=near_dedup.stored):
+        passes[name] += 1
+        return keep(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dedup, "stored", seen)
+        assert {(r.node, r.comp) for r in near_dedup.components(stars).collect()} == {(i, 0) for i in range(1, 9)} | {(21, 20)}
+        assert not passes
+        spark.sparkContext.setJobGroup("merging", "merging")
+        try:
+            merged = near_dedup.components(path)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("merging"))
+        assert {(r.node, r.comp) for r in merged.collect()} == {(i, 0) for i in range(1, 31)}
+    assert 0 < jobs <= 8 * passes["stars"] and passes["stars"] < 6
+
+
 def test_near_dedup_by_exact_frequencies(spark, docs, monkeypatch):
     # Copies of one text differ in a word: by exact frequencies what they share counts less, and some aren't similar any more.
     monkeypatch.setattr(near_dedup, "RANGE", 1000)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import collections
+import os
 import re
 import time
 import tracemalloc
@@ -474,6 +475,19 @@ def test_near_dedup_merges_in_few_jobs(spark):
     assert 0 < jobs <= 8 * passes["stars"] and passes["stars"] < 6
 
 
+def test_kept_texts_take_less_disk(spark, docs, monkeypatch):
+    size = {}
+
+    def seen(df, name, keep=near_dedup.stored, **how):
+        out = keep(df, name, **how)
+        size[name] = [sum(os.path.getsize(f.removeprefix("file://")) for f in t.inputFiles()) for t in (out, keep(df, name))]
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    assert near_dedup.keep_one(docs).count() <= docs.count()
+    assert size["rows"][0] < 0.85 * size["rows"][1]
+
+
 def test_near_dedup_by_exact_frequencies(spark, docs, monkeypatch):
     # Copies of one text differ in a word: by exact frequencies what they share counts less, and some aren't similar any more.
     monkeypatch.setattr(near_dedup, "RANGE", 1000)

@@ -81,6 +81,14 @@ def test_upper_median_and_ranks(spark):
     assert ranks[-3:] == [("b", 7.0, 1.5), ("b", 7.0, 1.5), ("b", 9.0, 3.0)]
 
 
+def test_ranges_are_cut_once(spark):
+    """Approximate percentiles differ by the order in which parts arrive: a second evaluation would put rows into other ranges."""
+    rows = spark.createDataFrame([(None if v % 3 else "a", float(v)) for v in range(30)], "g string, v double")
+    sums = reports.cumulative(rows, ["g"], "v", {"n": F.lit(1)})
+    assert "percentile_approx" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.g: r.m for r in reports.order_statistics(rows, ["g"], "v", {"m": F.floor(F.col("__all") / 2)}).collect()} == {"a": 15.0, None: 16.0}
+
+
 def test_correlation_guards(spark):
     rows = spark.createDataFrame([("two", 1.0, 2.0), ("two", 2.0, 1.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)], "g string, x double, y double")
     assert all(r.pearson_r is None and r.spearman_r is None for r in reports.correlations(rows, ["g"], "x", "y").collect())

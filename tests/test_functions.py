@@ -83,6 +83,12 @@ def test_stratified_split_has_exact_shares(spark):
     assert {r.k for r in got.where("label = 'a' AND calibration").collect()} == set(order[:71])
 
 
+def test_stratified_split_rounds_halves_up(spark):
+    for n, want in ((15, 11), (45, 32), (85, 60)):
+        got = ev.stratified_split(spark.range(n).selectExpr("id AS k", "'a' AS label"), "label", "k", 0.7)
+        assert got.where("calibration").count() == want
+
+
 def test_top_terms_take_equals_by_letters(spark):
     freq = {"d": 5, "a": 3, "b": 3, "c": 3, "e": 1}
     counts = spark.createDataFrame([(i, t, 1) for t, n in freq.items() for i in range(n)], "k long, term string, tf long")

@@ -89,6 +89,11 @@ def test_ranges_are_cut_once(spark):
     assert {r.g: r.m for r in reports.order_statistics(rows, ["g"], "v", {"m": F.floor(F.col("__all") / 2)}).collect()} == {"a": 15.0, None: 16.0}
 
 
+def test_correlations_of_a_null_group(spark):
+    rows = spark.createDataFrame([(g, float(i), float(i * i)) for g in (None, "a") for i in range(9)], "g string, x double, y double")
+    assert {r.g: (r.n, r.spearman_r) for r in reports.correlation_tests(rows, ["g"], "x", "y").collect()} == {None: (9, 1.0), "a": (9, 1.0)}
+
+
 def test_correlation_guards(spark):
     rows = spark.createDataFrame([("two", 1.0, 2.0), ("two", 2.0, 1.0), ("flat", 1.0, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)], "g string, x double, y double")
     assert all(r.pearson_r is None and r.spearman_r is None for r in reports.correlations(rows, ["g"], "x", "y").collect())

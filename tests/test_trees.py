@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from treeloom import catalog
 from treeloom.functions import text as tx
 from treeloom.operators import edit_distance as ed
 from treeloom.operators import evaluation, trees
@@ -234,3 +235,22 @@ def test_stage_ablation_has_similarity_and_completeness(spark):
     got = {r.variant: r for r in algebra_queries.stage_ablation(spark, "/root/testdata/sf0.001").collect()}
     assert got["none"].similarity == got["none"].pec_all == got["types"].pec_all == 1
     assert all(0 < r.similarity <= 1 and 0 < r.pec_core <= 1 for r in got.values()) and got["all"].similarity < 1
+
+
+def test_drawn_leaves_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b, c\n\nd 1 e!\n"), (2, ""), (3, None), (4, "\n" + "x " * 40), (None, "a")], "doc_id long, text string")
+    seed = F.concat(F.lit("s"), F.col("doc_id").cast("string"))
+    once = trees.drawn_leaves(docs, seed)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    by_rows = trees.drawn(trees.leaves(docs), seed).select(once.columns)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, by_rows.collect())) and once.count() == 48
+    for s in (0.0, 0.3, 0.9, 1.0):
+        got = sorted(map(repr, trees.corrupted(once, F.lit(s)).collect()))
+        assert got == sorted(map(repr, trees.degraded(trees.leaves(docs), F.lit(s), seed).collect()))
+
+
+@pytest.mark.parametrize("name", ["degrade_tree", "sensitivity", "identifier_prf"])
+def test_corruption_joins_nothing(spark, name):
+    """What severities share is drawn once; a join of lines or leaves at each severity was too much for the driver."""
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

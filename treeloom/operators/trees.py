@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import text as tx
@@ -132,6 +132,65 @@ def flatten_json(trees: DataFrame, key: str, tree: str, max_depth: int | None =
     return trees.select(key, tree).mapInArrow(run, schema)
 
 
+def _paths(line: Column, pos: Column) -> tuple[Column, Column]:
+    """The places of a line and of a leaf below the root, as tuples are written."""
+    up = (line - 1).cast("string")
+    return F.concat(F.lit("("), up, F.lit(",)")), F.concat(F.lit("("), up, F.lit(", "), (pos - 1).cast("string"), F.lit(")"))
+
+
+def drawn_leaves(docs: DataFrame, seed: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``leaves`` with what ``drawn`` draws for them, in the task that reads a text: no leaf is shuffled."""
+    words = lambda w: F.regexp_extract_all(w, F.lit(tx.LEAF), F.lit(0))
+    said = docs.where(F.col(key).isNotNull()).select(key, seed.alias("__seed"), F.transform(F.split(text, "\n", -1), lambda w, i: F.struct((i + 1).alias("line"), words(w).alias("words"))).alias("__lines"))
+    own, none = F.col("__seed"), F.lit(1)
+    line = lambda x: F.struct(tx.unit_float(own, _paths(x["line"], none)[0], F.lit("drop")).alias("drop"), x["line"].alias("line"), x["words"].alias("words"))
+    lines = said.select(key, "__seed", F.transform(F.filter("__lines", lambda x: F.size(x["words"]) > 0), line).alias("__lines"))
+    # What holds for all lines of a text, or all leaves of a line, is found before these become rows. An outer explode
+    # doesn't make Spark draw all once more to see whether there are any.
+    ends = F.transform("__lines", lambda x: F.struct(x["drop"], x["line"]))
+    lines = lines.select(key, "__seed", F.array_max(ends).getField("drop").alias("__line_most"), F.array_min(ends).getField("line").alias("__line_least"), "__lines")
+    each = lines.select(key, "__seed", "__line_most", "__line_least", F.explode_outer("__lines").alias("x")).where("x IS NOT NULL")
+    leaf = F.transform("x.words", lambda w, j: F.struct(tx.unit_float(own, _paths(F.col("x.line"), j + 1)[1], F.lit("drop")).alias("drop"), (j + 1).alias("pos"), w.alias("text")))
+    each = each.select(key, "__seed", "__line_most", "x.line", F.col("x.drop").alias("__line_drop"), (F.col("__line_least") == F.col("x.line")).alias("__line_first"), leaf.alias("__leaves"))
+    ends = F.transform("__leaves", lambda x: F.struct(x["drop"], x["pos"]))
+    drawn_once = [c for c in each.columns if c != "__leaves"]
+    each = each.select(*drawn_once, F.array_max(ends).getField("drop").alias("__most"), F.array_min(ends).getField("pos").alias("__least"), "__leaves")
+    each = each.select(*drawn_once, "__most", "__least", F.explode_outer("__leaves").alias("x"))
+    return each.select(key, "line", "x.pos", leaf_type(F.col("x.text")).alias("type"), "x.text", tx.unit_float(own, _paths(F.col("line"), F.col("x.pos"))[1], F.lit("node")).alias("__h"), "__line_drop", "__line_most", "__line_first", F.col("x.drop").alias("__drop"), "__most", (F.col("__least") == F.col("x.pos")).alias("__first"))
+
+
+def drawn(rows: DataFrame, seed: Column, key: str = "doc_id") -> DataFrame:
+    """``rows`` (leaves) with numbers from 0 to 1 drawn from ``seed`` and path, for the drop of leaf and line and for the node, the largest drop among siblings, and which sibling has the least."""
+    line_path, leaf_path = _paths(F.col("line"), F.col("pos"))
+    marked = rows.where(F.col(key).isNotNull()).repartition(key).withColumns({"__line_drop": tx.unit_float(seed, line_path, F.lit("drop")), "__drop": tx.unit_float(seed, leaf_path, F.lit("drop")), "__h": tx.unit_float(seed, leaf_path, F.lit("node"))})
+    lines, own = Window.partitionBy(key), Window.partitionBy(key, "line")
+    first = lambda drop, place, among: F.struct(drop, place) == F.min(F.struct(drop, place)).over(among)
+    return marked.withColumns({"__line_most": F.max("__line_drop").over(lines), "__line_first": first("__line_drop", "line", lines), "__most": F.max("__drop").over(own), "__first": first("__drop", "pos", own)})
+
+
+def survives(severity: Column) -> Column:
+    """Whether a drawn leaf is left: neither it nor its line dropped, or each of these the one that stays where all would go."""
+    stays = lambda p: (F.col(f"__{p}drop") >= severity) | ((F.col(f"__{p}most") < severity) & F.col(f"__{p}first"))
+    return stays("line_") & stays("")
+
+
+def masked(severity: Column) -> Column:
+    """Whether a drawn leaf's type is masked."""
+    return F.col("__h") < 0.55 * severity
+
+
+def blanked(severity: Column) -> Column:
+    """Whether a drawn leaf's text is blanked."""
+    return F.col("__h") < 0.70 * severity
+
+
+def corrupted(leaves_drawn: DataFrame, severity: Column, key: str = "doc_id") -> DataFrame:
+    """The leaves that are left of drawn ones at each ``severity``: a number, or an explode of several. Nothing that is drawn depends on it."""
+    s = F.col("severity")
+    rows = leaves_drawn.withColumn("severity", severity).where(survives(s))
+    return rows.select(key, "line", "pos", "severity", F.when(masked(s), F.concat(F.lit("masked_"), F.col("type"))).otherwise(F.col("type")).alias("type"), F.when(blanked(s), F.lit("")).otherwise(F.col("text")).alias("text"))
+
+
 def degraded(rows: DataFrame, severity: Column, seed: Column, key: str = "doc_id") -> DataFrame:
     """Leaves of deterministically corrupted trees.
 
@@ -140,15 +199,4 @@ def degraded(rows: DataFrame, severity: Column, seed: Column, key: str = "doc_id
     second hash; where all children of a node would go, the one of the smallest
     hash stays. A dropped line takes its leaves along.
     """
-    line_path = F.concat(F.lit("("), (F.col("line") - 1).cast("string"), F.lit(",)"))
-    leaf_path = F.concat(F.lit("("), (F.col("line") - 1).cast("string"), F.lit(", "), (F.col("pos") - 1).cast("string"), F.lit(")"))
-    marked = rows.withColumns({"__severity": severity, "__seed": seed})
-    lines = marked.select(key, "line", "__severity", "__seed").distinct().withColumn("__drop", tx.unit_float(F.col("__seed"), line_path, F.lit("drop")))
-    ends = lines.groupBy(key, "__severity").agg(F.max("__drop").alias("__most"), F.min(F.struct("__drop", "line")).alias("__least"))
-    lives = lambda place: (F.col("__drop") >= F.col("__severity")) | ((F.col("__most") < F.col("__severity")) & (F.col(f"__least.{place}") == F.col(place)))
-    lines = lines.join(ends, [key, "__severity"]).where(lives("line")).select(key, "line", "__severity")
-    kept = marked.join(lines, [key, "line", "__severity"]).withColumn("__drop", tx.unit_float(F.col("__seed"), leaf_path, F.lit("drop")))
-    ends = kept.groupBy(key, "line", "__severity").agg(F.max("__drop").alias("__most"), F.min(F.struct("__drop", "pos")).alias("__least"))
-    kept = kept.join(ends, [key, "line", "__severity"]).where(lives("pos"))
-    h = tx.unit_float(F.col("__seed"), leaf_path, F.lit("node"))
-    return kept.select(key, "line", "pos", F.col("__severity").alias("severity"), F.when(h < 0.55 * F.col("__severity"), F.concat(F.lit("masked_"), F.col("type"))).otherwise(F.col("type")).alias("type"), F.when(h < 0.70 * F.col("__severity"), F.lit("")).otherwise(F.col("text")).alias("text"))
+    return corrupted(drawn(rows, seed, key), severity, key)

@@ -254,3 +254,16 @@ def test_corruption_joins_nothing(spark, name):
     """What severities share is drawn once; a join of lines or leaves at each severity was too much for the driver."""
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_corrupted_trees_are_not_shuffled(spark):
+    tree = json.dumps(node("a", node("b", node("c", text="x"), node("d", text="y")), node("e", text="z"), text="all"))
+    read = nt.read_nodes(spark.createDataFrame([(1, tree), (2, tree)], "k long, t string"), "k", "t", "json").drop("tree")
+    got = nt.degraded(read, "k", (0.0, 0.5, 1.0), F.col("k").cast("string"), ordered=True)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert sorted((r.k, r.node_id, r.type, r.text, r.leaf) for r in rows if r.severity == 0.0) == sorted((r.k, r.node_id, r.type, r.text, r.n_children == 0) for r in read.collect())
+    for k in (1, 2):
+        left = [r for r in rows if r.severity == 1.0 and r.k == k]
+        # All children are dropped but one of each node that is left, down to a leaf.
+        assert sorted(r.depth for r in left) == list(range(len(left))) and left[-1].leaf and all(r.text == "" for r in left)

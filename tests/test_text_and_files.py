@@ -306,3 +306,11 @@ def test_queue_goes_on_where_it_stopped(spark, tmp_path):
     rows.withColumn("id", F.col("id") + 2).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3, 4]
+
+
+def test_sparse_blocks_meet_without_a_join(spark):
+    """A row of two blocks for each pair of them was too much for an executor, and copies of queries grew with the targets."""
+    rows = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} c{i % 5}", i % 10 == 0, True) for i in range(90)], "id long, text string, query boolean, target boolean")
+    found = vec.sparse_top_k(vec.sparse_blocks(rows, (1,), block=2), 2, skip_own=True)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 18

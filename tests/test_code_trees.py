@@ -159,3 +159,13 @@ def test_statement_trees_of_nulls(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, " \n,;"), (4, "One two.\nthree")], "doc_id long, text string")
     nodes = nt.read_nodes(sq.statement_trees(rows), "doc_id", "tree", "json")
     assert {r.doc_id: r["count"] for r in nodes.groupBy("doc_id").count().collect()} == {1: 1, 2: 1, 3: 4, 4: 10}
+
+
+def test_flow_queries_keep_texts_of_names_alone(spark, monkeypatch):
+    from treeloom.plans import statement_queries as sq
+
+    seen = []
+    monkeypatch.setattr(sq, "kept", lambda df, name: seen.append(df) or df)
+    sq.dfg_edge_prf(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and not seen[0].where("text IS NOT NULL AND type NOT IN ('parameter', 'variable', 'identifier', 'parameters')").count()
+    assert "depth" not in seen[0].columns

@@ -267,3 +267,12 @@ def test_corrupted_trees_are_not_shuffled(spark):
         left = [r for r in rows if r.severity == 1.0 and r.k == k]
         # All children are dropped but one of each node that is left, down to a leaf.
         assert sorted(r.depth for r in left) == list(range(len(left))) and left[-1].leaf and all(r.text == "" for r in left)
+
+
+def test_ablation_compares_a_shape_once(spark, monkeypatch):
+    from treeloom.plans import algebra_queries as aq
+
+    compared = []
+    monkeypatch.setattr(aq.ed, "edit_similarity", lambda pairs, *a, f=ed.edit_similarity: compared.append(pairs.count()) or f(pairs, *a))
+    rows = aq.stage_ablation(spark, "/root/testdata/sf0.001").collect()
+    assert {r.variant for r in rows} == set(aq.STAGES) and compared[0] < rows[0].sample_count
